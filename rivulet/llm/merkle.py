@@ -1,7 +1,7 @@
 """Document fingerprints by Merkle trees (operator 7, native).
 
 A text falls into sections (ended by blank lines), sections into paragraphs (ended by line ends) and paragraphs into
-leaves: sentences, cut after LEAF_CHARS characters. Leaves joined give the text back, so trees are equal only for equal
+leaves: sentences, cut after LEAF_CHARS characters. Parts joined give the text back, so trees are equal only for equal
 texts. A node's hash covers its children's hashes in order. A fingerprint is the root and the short codes of the leaves.
 """
 
@@ -31,8 +31,8 @@ def _hash(parts: Column) -> Column:
 def tree(text: Column) -> Column:
     """Sections of paragraphs of leaf hashes: array<array<array<string>>>."""
     leaves = lambda p: F.transform(F.regexp_extract_all(p, F.lit(_LEAF), F.lit(0)), lambda x: F.sha2(x.cast("binary"), 256))
-    paragraphs = lambda s: F.transform(F.split(s, r"(?<=\n)"), leaves)
-    return F.transform(F.split(text, r"(?<=\n\n)(?!\n)"), paragraphs)
+    paragraphs = lambda s: F.transform(F.split(s, "\n"), leaves)
+    return F.transform(F.split(text, "\n\n"), paragraphs)
 
 
 def branches(nodes: Column) -> Column:
