@@ -149,7 +149,7 @@ def _search(rows: DataFrame, k: int, every: int) -> DataFrame:
                 made["v"] += [asked.v.iloc[i]] * len(order)
                 made["score"] += exact[order].tolist()
                 made["ids"] += [members.ids.iloc[j] for j in best[order]]
-        return pd.DataFrame(made)
+        return pd.DataFrame({c: pd.Series(x, dtype=float if c == "score" else object) for c, x in made.items()})
 
     indexed = materialise(kept.mapInPandas(encode, "cell int, ids array<long>, v array<double>, code binary"))
     blocks = indexed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # MAX_CELLS rows at most
