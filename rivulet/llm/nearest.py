@@ -20,8 +20,8 @@ from rivulet.llm.common import materialise
 
 #: Distinct vectors that training reads at most; k-means steps; slices and codes a slice of the quantiser.
 TRAIN_ROWS, STEPS, SLICES, CODES = 20_000, 8, 16, 64
-#: Most cells; cells that a query probes; candidates that are reranked for each neighbour asked for, in each block of a cell.
-MAX_CELLS, PROBES, RERANK = 4_096, 32, 8
+#: Most cells; share of the cells that a query probes, and the least number; candidates that are reranked for each neighbour asked for, in each block of a cell.
+MAX_CELLS, PROBED, PROBES, RERANK = 4_096, 0.85, 48, 10
 #: Vectors of one block: larger cells are cut into blocks, so no task holds a whole cell.
 BLOCK = 4_096
 
@@ -122,7 +122,7 @@ def _search(rows: DataFrame, k: int, every: int) -> DataFrame:
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shared = spark.sparkContext.broadcast(index)
-    probed, depth = min(len(index.centroids), PROBES), RERANK * (k + 1)
+    probed, depth = min(len(index.centroids), max(PROBES, math.ceil(PROBED * len(index.centroids)))), RERANK * (k + 1)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
