@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rivulet.llm import byte_bpe, chat, language_id, merkle, mixing, nearest, quality, sharding
+from rivulet.llm import byte_bpe, chat, jaccard_join, language_id, merkle, mixing, nearest, quality, sharding
 from rivulet.llm.common import table
 
 
@@ -47,5 +47,9 @@ def op9_byte_bpe(spark, sf_dir):
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality, op4_language_id, op5_nearest, op6_sharding, op7_fingerprints, op8_mixing, op9_byte_bpe)}
+def op10_jaccard_join(spark, sf_dir):
+    return jaccard_join.join_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality, op4_language_id, op5_nearest, op6_sharding, op7_fingerprints, op8_mixing, op9_byte_bpe, op10_jaccard_join)}
 ORACLES: dict[str, str] = {}
