@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rivulet.llm import byte_bpe, chat, jaccard_join, language_id, merkle, mixing, nearest, quality, sharding
+from rivulet.llm import byte_bpe, chat, jaccard_join, katz, language_id, merkle, mixing, nearest, quality, sharding
 from rivulet.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op2_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_katz(spark, sf_dir):
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark, sf_dir):
     return language_id.detect(table(spark, sf_dir, "documents"))
 
@@ -51,5 +55,5 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.join_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality, op4_language_id, op5_nearest, op6_sharding, op7_fingerprints, op8_mixing, op9_byte_bpe, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality, op3_katz, op4_language_id, op5_nearest, op6_sharding, op7_fingerprints, op8_mixing, op9_byte_bpe, op10_jaccard_join)}
 ORACLES: dict[str, str] = {}
