@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,3 +44,16 @@ def held_out(id_col: str | Column, modulus: int, remainder: int) -> Column:
 
 def text_or_empty(text_col: str) -> Column:
     return F.coalesce(F.col(text_col), F.lit(""))
+
+
+def keep_rows(docs: DataFrame, text_col: str, make: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:
+    """The rows whose text passes, with all columns untouched. ``make`` builds a task's test of a list of texts (null as empty)."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = make()
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(np.asarray(test(texts), bool)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -268,3 +268,18 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     joined = signed.select("doc_id", "set_id", "n_shingles").join(classes, "set_id", "left")
     own = F.col("doc_id").cast("long")
     return joined.select(own.alias("doc_id"), "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", own)).otherwise(own).alias("component_id"), "set_id")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay when each component keeps the row of its smallest id.
+
+    Of rows that repeat that id one stays. Rows with a null id stay if nothing with an id is in their component.
+    """
+    found = materialise(join_components(docs, width, percent, id_col, text_col).select("doc_id", "component_id"))
+    kept = found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    names, key = docs.columns, F.col("_row")[id_col].cast("long")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")).join(kept, key.eqNullSafe(F.col("doc_id")), "left_semi")
+    if not kept.where("_rows > 1 and doc_id is not null").isEmpty():
+        first = Window.partitionBy(key).orderBy(F.xxhash64("_row"))
+        rows = rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n").eqNullSafe(1) | key.isNull())
+    return rows.select("_row.*")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import held_out, text_or_empty
+from rivulet.llm.common import held_out, keep_rows, text_or_empty
 
 #: A fit reads at most so many documents a language (in hash order of the id), none longer than so many characters.
 FIT_DOCS, FIT_CHARS = 120, 20_000
@@ -25,6 +25,8 @@ SPACE, LETTERS, ORDER = 1 << 17, 20, 4
 #: Words that one pass of forward-backward holds; a longer text is several chains. Words that a worker remembers.
 CHAIN, KNOWN = 400_000, 300_000
 UNKNOWN = "und"
+#: Mean probability below which no language is told: hardly more than a guess among four.
+LEAST = 0.3
 
 
 def letters_of(token: str) -> str:
@@ -273,3 +275,22 @@ def detect(docs: DataFrame, crf: Crf | None = None, id_col: str = "doc_id", text
 
     found = rows.mapInPandas(run, "doc_id string, lang_pred string, score double")
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
+
+
+def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is in a language that can be told (all, if there is nothing to learn from)."""
+    crf = train(docs, id_col, text_col, lang_col)
+    if crf is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(crf)
+
+    def make():
+        labeller = Labeller(shared.value)
+
+        def test(texts: list[str]) -> np.ndarray:
+            languages, scores = labeller.documents(texts)
+            return (np.array(languages) != UNKNOWN) & (np.array(scores) >= LEAST)
+
+        return test
+
+    return keep_rows(docs, text_col, make)

@@ -16,12 +16,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import held_out, materialise, text_or_empty
+from rivulet.llm.common import held_out, keep_rows, text_or_empty
 
 #: Labelled rows (in hash order of the id) that a fit reads at most; the figures of a row are a few numbers.
 FIT_ROWS = 40_000
 #: Shrinkage toward the pooled covariance, toward a sphere.
 POOLED, SPHERE = 0.1, 0.02
+#: Scores from which a text counts as good.
+THRESHOLD = 0.3
 
 _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
 FEATURES = ("letters", "upper", "digits", "spaces", "enders", "odd", "word_bytes", "distinct", "top_word", "same_next", "line_words", "same_lines", "ended_lines", "spread")
@@ -54,17 +56,6 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the array of statistics of every row; a null text counts as empty; other columns are not read."""
-    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), text_or_empty(text_col).alias("text"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            yield pd.DataFrame({"doc_id": rows.doc_id, "stats": [statistics(t) for t in rows.text]})
-
-    return rows.mapInPandas(run, "doc_id string, stats array<double>")
-
-
 @dataclass
 class Discriminant:
     """Means, inverse Cholesky factors, log determinants, and the calibration of the log density difference."""
@@ -125,36 +116,49 @@ def _calibrate(d: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, fl
     return max(float(w[0]), 1e-3), float(w[1])
 
 
-def train(stats: DataFrame, labels: DataFrame, max_rows: int = FIT_ROWS) -> Discriminant | None:
-    """Fits on labelled rows outside the held-out fifth, at most ``max_rows`` of them in the order of a hash of the id.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = FIT_ROWS) -> Discriminant | None:
+    """Fits on labelled documents outside the held-out fifth, at most ``max_rows`` ids in the order of their hash.
 
-    Rows without an id or a 0/1 label are not labelled; several labels of an id count as their rounded mean.
+    Rows without an id or a 0/1 label are not labelled; several labels of an id count as their rounded mean. The chosen
+    labels have that bound, so they are broadcast; the statistics of their documents are all that reaches the driver.
     """
-    labelled = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.round(F.avg("quality")).cast("int").alias("y"))
-    labelled = labelled.where(~held_out("doc_id", 5, 0))
-    rows = stats.where("doc_id is not null").join(labelled, "doc_id").orderBy(F.xxhash64("doc_id"), "stats").limit(max_rows).toPandas()
-    if not len(rows):
-        return None
-    return fit(np.array(rows.stats.tolist()), rows.y.to_numpy())
-
-
-def score(stats: DataFrame, model: Discriminant | None) -> DataFrame:
-    """Per row: doc_id, held_out, score (probability of label 1) and predicted (score >= 0.3); without a model every score is 0.5."""
+    chosen = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.round(F.avg("quality")).cast("int").alias("y"))
+    chosen = chosen.where(~held_out("doc_id", 5, 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            x = np.array(rows.stats.tolist()).reshape(len(rows), len(FEATURES))
-            yield pd.DataFrame({"doc_id": rows.doc_id, "score": model.score(x) if model else np.full(len(rows), 0.5)})
+            yield pd.DataFrame({"y": rows.y, "stats": [statistics(t) for t in rows.text]})
 
-    scored = stats.mapInPandas(run, "doc_id string, score double")
-    return scored.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    fitted = rows.select("text", "y").mapInPandas(run, "y int, stats array<double>").orderBy("stats", "y").limit(2 * max_rows).toPandas()
+    return fit(np.array(fitted.stats.tolist()), fitted.y.to_numpy()) if len(fitted) else None
+
+
+def score_texts(model: Discriminant | None, texts: list[str]) -> np.ndarray:
+    """Probabilities of label 1; 0.5 without a model."""
+    if model is None or not texts:
+        return np.full(len(texts), 0.5)
+    return model.score(np.array([statistics(t) for t in texts]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Scores every whole text. Labels, languages, sources and ids are no inputs of a score, so equal texts score alike.
+    """Per row: doc_id, held_out, score (probability of label 1) and predicted (1 if score >= THRESHOLD), of every whole text.
 
-    The statistics are written once as a table of 14 numbers a row; only they are joined with the labels. Null ids stay
-    null, a null text counts as empty, repeated rows stay, an empty table gives no rows.
+    Labels, languages, sources and ids are no inputs of a score, so equal texts score alike. Null ids stay null, a null
+    text counts as empty, repeated rows stay, an empty table gives no rows; other columns are not read, nothing is shuffled.
     """
-    stats = materialise(features(docs, id_col, text_col))
-    return score(stats, train(stats, labels))
+    model = train(docs, labels, id_col, text_col)
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), text_or_empty(text_col).alias("text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield pd.DataFrame({"doc_id": rows.doc_id, "score": score_texts(model, rows.text.tolist())})
+
+    scored = rows.mapInPandas(run, "doc_id string, score double")
+    return scored.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is predicted to be good."""
+    model = train(docs, labels, id_col, text_col)
+    return keep_rows(docs, text_col, lambda: lambda texts: score_texts(model, texts) >= THRESHOLD)
