@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
 
+from rivulet.plans import model_plans, network_plans, series_plans
+from rivulet.plans.common import ORACLES, QUERIES
 
-def flagship(spark, sf_dir):
-    """The query that the smoke check runs."""
-    raise NotImplementedError
+__all__ = ["ORACLES", "QUERIES", "flagship", "model_plans", "network_plans", "series_plans"]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings to daily means, weighted areal means and routed flow, held against the unrouted one by fit metrics."""
+    return series_plans.routed_fit(spark, sf_dir)
