@@ -25,9 +25,9 @@ def ts_resample_sum(spark, sf_dir):
     return series.resample(table(spark, sf_dir, "events"), 6 * 3600, "sum", "event_type").withColumn("value", r("value"))
 
 
-@query(f"SELECT user_id, {BUCKET.format('1 day')} AS ts, round(avg(value), 4) AS value, count(*) AS n FROM events GROUP BY ALL")
+@query(f"SELECT user_id, {BUCKET.format('1 day')} AS ts, round(avg(value), 8) AS value, count(*) AS n FROM events GROUP BY ALL")
 def ts_resample_mean(spark, sf_dir):
-    return series.resample(table(spark, sf_dir, "events"), DAY, "mean", "user_id").withColumn("value", r("value"))
+    return series.resample(table(spark, sf_dir, "events"), DAY, "mean", "user_id").withColumn("value", r("value", 8))  # means of cents tie at fewer places
 
 
 @query("""
@@ -163,10 +163,10 @@ def areal_mean_weighted(spark, sf_dir):
 @query(f"""
 WITH d AS (SELECT user_id, {BUCKET.format('1 day')} AS ts, sum(value) AS value FROM events GROUP BY ALL),
 a AS (SELECT user_id, x.ts FROM (SELECT DISTINCT user_id FROM events), (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 1 DAY)) AS ts) x)
-SELECT user_id, ts, round(coalesce(value, avg(value) OVER (PARTITION BY user_id)), 4) AS value FROM a LEFT JOIN d USING (user_id, ts)""")
+SELECT user_id, ts, round(coalesce(value, avg(value) OVER (PARTITION BY user_id)), 8) AS value FROM a LEFT JOIN d USING (user_id, ts)""")
 def spine_left_join_fill(spark, sf_dir):
     days = series.resample(table(spark, sf_dir, "events"), DAY, "sum", "user_id")
-    return series.spine_fill(days, days, "2024-01-01", "2024-01-30", DAY, key="user_id").withColumn("value", r("value"))
+    return series.spine_fill(days, days, "2024-01-01", "2024-01-30", DAY, key="user_id").withColumn("value", r("value", 8))
 
 
 FIT = """SELECT {by}, count(*) AS n, round(1 - sum((s - o) ** 2) / (var_pop(o) * count(*)), 4) AS nse, round(corr(s, o) ** 2, 4) AS r2,
@@ -232,9 +232,9 @@ def peak_events(spark, sf_dir):
     return metrics.peak_errors(found, lagged, reach=2).withColumns({"value": r("value"), "relative_error": r("relative_error")})
 
 
-@query(f"SELECT month(ts)::INT AS month, day(ts)::INT AS day, round(avg(o_totalprice), 4) AS value FROM (SELECT o_orderdate AS ts, o_totalprice FROM orders) GROUP BY 1, 2")
+@query(f"SELECT month(ts)::INT AS month, day(ts)::INT AS day, round(avg(o_totalprice), 8) AS value FROM (SELECT o_orderdate AS ts, o_totalprice FROM orders) GROUP BY 1, 2")
 def climatology_month_day(spark, sf_dir):
-    return series.climatology(table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice").withColumn("value", r("value"))
+    return series.climatology(table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice").withColumn("value", r("value", 8))
 
 
 @query("""
@@ -246,13 +246,13 @@ def design_rain(spark, sf_dir):
 
 
 @query(f"""
-SELECT station, ts, round(value, 4) AS value, false AS is_forecast FROM {DAILY} UNION ALL
-SELECT station, x.ts, round(m, 4), true FROM (SELECT station, avg(value) AS m FROM {DAILY} GROUP BY station), (SELECT unnest(generate_series(TIMESTAMP '2024-02-01', TIMESTAMP '2024-02-07', INTERVAL 1 DAY)) AS ts) x""")
+SELECT station, ts, round(value, 8) AS value, false AS is_forecast FROM {DAILY} UNION ALL
+SELECT station, x.ts, round(m, 8), true FROM (SELECT station, avg(value) AS m FROM {DAILY} GROUP BY station), (SELECT unnest(generate_series(TIMESTAMP '2024-02-01', TIMESTAMP '2024-02-07', INTERVAL 1 DAY)) AS ts) x""")
 def forecast_extend(spark, sf_dir):
     days = daily(spark, sf_dir).select("station", "ts", "value")
     means = days.groupBy("station").agg(F.avg("value").alias("value"))
     axis = F.sequence(F.lit("2024-02-01").cast("timestamp_ntz"), F.lit("2024-02-07").cast("timestamp_ntz"), F.make_dt_interval(days=F.lit(1)))
-    return series.extend(days, means.select("station", F.explode(axis).alias("ts"), "value")).withColumn("value", r("value"))
+    return series.extend(days, means.select("station", F.explode(axis).alias("ts"), "value")).withColumn("value", r("value", 8))
 
 
 @query(f"SELECT station, ts, round(value, 4) AS value, round(lag(value, 1) OVER w, 4) AS value_lag1, round(lag(value, 2) OVER w, 4) AS value_lag2 FROM {DAILY} WINDOW w AS (PARTITION BY station ORDER BY ts)")
