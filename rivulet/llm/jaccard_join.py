@@ -12,7 +12,8 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,8 +23,8 @@ from rivulet.llm.components import components
 
 #: Up to so many differences two levels are used; second-level parts; spare first-level partitions with one and two levels.
 TWO_LEVELS, PARTS, SPARE = 12, 3, 1
-#: Words whose hashes a worker remembers; words in a pass.
-KNOWN, PASS_WORDS = 400_000, 500_000
+#: Words whose hashes a worker remembers; sets that a task remembers, to sign copies once; bytes of text in a pass.
+KNOWN, KNOWN_SETS, PASS_BYTES = 200_000, 1_000_000, 2_000_000
 #: Bits of the filter that tells which documents a verification needs (a fixed bound; more documents only mean more false hits).
 FILTER_BITS = 1 << 23
 
@@ -129,33 +130,49 @@ def set_id(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
-def _passes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in slices of bounded text, so that only so much of it is ever in Python strings."""
     for batch in batches:
-        size = batch.text.str.len().to_numpy().cumsum() // (8 * PASS_WORDS)
-        for _, rows in batch.groupby(size):
-            yield rows
+        ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)) // PASS_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(ends)]
+        for first, last in zip(cuts, cuts[1:], strict=False):
+            if last > first:
+                yield batch.slice(first, last - first)
+
+
+def _lists(parts: list[np.ndarray | None]) -> pa.Array:
+    """array<long> of the parts; None is null."""
+    ends = np.cumsum([0 if x is None else len(x) for x in parts]).tolist()
+    offsets = [None if x is None else end - len(x) for x, end in zip(parts, ends, strict=True)]
+    values = np.concatenate([x.view(np.int64) for x in parts if x is not None] or [np.zeros(0, np.int64)])
+    return pa.ListArray.from_arrays(pa.array([*offsets, len(values)], pa.int32()), pa.array(values))
 
 
 def _signed(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Per row doc_id, set_id, n_shingles; per distinct set of a pass also its signatures (array<long>)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ends = band_ends(percent, 1000)
-        for rows in _passes(batches):
-            seen, out = set(), []
-            for doc_id, shingles in zip(rows.doc_id, shingle_sets(rows.text.tolist(), width), strict=True):
-                n, key, made = len(shingles), set_id(shingles), None
+    """Per row doc_id, set_id, n_shingles; for the first row of a set in a task also its signatures (array<long>)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends, seen = band_ends(percent, 1000), set()
+        for part in _passes(batches):
+            keys, sizes, made = [], [], []
+            for shingles in shingle_sets(part.column("text").to_pylist(), width):
+                n, key = len(shingles), set_id(shingles)
+                keys.append(key)
+                sizes.append(n)
+                made.append(None)
                 if n and key not in seen:
+                    if len(seen) >= KNOWN_SETS:
+                        seen.clear()
                     seen.add(key)
                     if ends[-1] < n:
                         ends = band_ends(percent, n)
                     i = int(np.searchsorted(ends, n))
                     above = (ends[i] + 1) * 100 // percent
-                    made = np.concatenate([signatures(shingles, i, ends[i], percent), signatures(shingles, i + 1, above, percent)]).view(np.int64)
-                out.append((doc_id, key, n, made))
-            yield pd.DataFrame(out, columns=["doc_id", "set_id", "n_shingles", "signatures"])
+                    made[-1] = np.concatenate([signatures(shingles, i, ends[i], percent), signatures(shingles, i + 1, above, percent)])
+            columns = [part.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), _lists(made)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "set_id", "n_shingles", "signatures"])
 
-    return rows.mapInPandas(run, "doc_id string, set_id long, n_shingles long, signatures array<long>")
+    return rows.mapInArrow(run, "doc_id string, set_id long, n_shingles long, signatures array<long>")
 
 
 def _needed_sets(rows: DataFrame, members: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -168,14 +185,14 @@ def _needed_sets(rows: DataFrame, members: DataFrame, wanted: DataFrame, width:
         words[row.word] = row.bits & 0xFFFFFFFFFFFFFFFF
     shared = rows.sparkSession.sparkContext.broadcast(words)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _passes(batches):
-            at = rows.h.to_numpy() % FILTER_BITS
-            rows = rows[(shared.value[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1) > 0]
-            sets = {set_id(s): s for s in shingle_sets(rows.text.tolist(), width) if len(s)}
-            yield pd.DataFrame({"set_id": pd.Series(list(sets), dtype="int64"), "shingles": pd.Series([s.view(np.int64) for s in sets.values()], dtype=object)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _passes(batches):
+            at = part.column("h").to_numpy() % FILTER_BITS
+            part = part.filter(pa.array((shared.value[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1) > 0))
+            sets = {set_id(s): s for s in shingle_sets(part.column("text").to_pylist(), width) if len(s)}
+            yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), _lists(list(sets.values()))], ["set_id", "shingles"])
 
-    found = rows.select("text", F.xxhash64("doc_id").alias("h")).mapInPandas(run, "set_id long, shingles array<long>")
+    found = rows.select("text", F.xxhash64("doc_id").alias("h")).mapInArrow(run, "set_id long, shingles array<long>")
     return found.join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"])
 
 
@@ -229,10 +246,11 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), text_or_empty(text_col).alias("text"))
     signed = materialise(_signed(rows, width, percent))
     members = signed.select("doc_id", "set_id", "n_shingles").where("n_shingles > 0")
-    exploded = signed.where("signatures is not null").select(F.explode("signatures").alias("sig"), F.col("set_id").alias("id"), F.col("n_shingles").alias("n")).distinct()
+    exploded = signed.where("signatures is not null").select(F.explode("signatures").alias("sig"), F.col("set_id").alias("id"), F.col("n_shingles").alias("n"))
     bucket = Window.partitionBy("sig")
     buckets = exploded.select("*", F.min("id").over(bucket).alias("hub"), F.max("id").over(bucket).alias("last")).where("hub != last")
-    buckets = materialise(buckets.select("sig", "id", "n", "hub"))
+    # most signatures stand alone and are gone before copies of other tasks are left out
+    buckets = materialise(buckets.select("sig", "id", "n", "hub").distinct())
     # candidates stand in at most as many rows as signatures; their sets are computed once
     wanted = materialise(buckets.select(F.col("id").alias("set_id")).distinct())
     sets = materialise(_needed_sets(rows, members, wanted, width))

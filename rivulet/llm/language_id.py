@@ -23,7 +23,7 @@ ITERATIONS, RATE, RIDGE = 20, 0.4, 1e-3
 #: Size of the hashed feature space; letters of a word that make features (half from each end, if it is longer); longest n-gram.
 SPACE, LETTERS, ORDER = 1 << 17, 20, 4
 #: Words that one pass of forward-backward holds; a longer text is several chains. Words that a worker remembers.
-CHAIN, KNOWN = 400_000, 300_000
+CHAIN, KNOWN = 150_000, 200_000
 UNKNOWN = "und"
 #: Mean probability below which no language is told: hardly more than a guess among four.
 LEAST = 0.3
