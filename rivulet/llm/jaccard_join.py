@@ -148,8 +148,20 @@ def _lists(parts: list[np.ndarray | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([*offsets, len(values)], pa.int32()), pa.array(values))
 
 
+def _members(rows: DataFrame, width: int) -> DataFrame:
+    """Per row doc_id, set_id, n_shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _passes(batches):
+            sets = shingle_sets(part.column("text").to_pylist(), width)
+            columns = [part.column("doc_id"), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "set_id", "n_shingles"])
+
+    return rows.mapInArrow(run, "doc_id string, set_id long, n_shingles long")
+
+
 def _signed(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Per row doc_id, set_id, n_shingles; for the first row of a set in a task also its signatures (array<long>)."""
+    """Per set, once in a task: id, n (its shingles) and signatures (array<long>). They go straight to the shuffle; as a table they would be larger than the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends, seen = band_ends(percent, 1000), set()
@@ -157,22 +169,21 @@ def _signed(rows: DataFrame, width: int, percent: int) -> DataFrame:
             keys, sizes, made = [], [], []
             for shingles in shingle_sets(part.column("text").to_pylist(), width):
                 n, key = len(shingles), set_id(shingles)
+                if not n or key in seen:
+                    continue
+                if len(seen) >= KNOWN_SETS:
+                    seen.clear()
+                seen.add(key)
+                if ends[-1] < n:
+                    ends = band_ends(percent, n)
+                i = int(np.searchsorted(ends, n))
+                above = (ends[i] + 1) * 100 // percent
                 keys.append(key)
                 sizes.append(n)
-                made.append(None)
-                if n and key not in seen:
-                    if len(seen) >= KNOWN_SETS:
-                        seen.clear()
-                    seen.add(key)
-                    if ends[-1] < n:
-                        ends = band_ends(percent, n)
-                    i = int(np.searchsorted(ends, n))
-                    above = (ends[i] + 1) * 100 // percent
-                    made[-1] = np.concatenate([signatures(shingles, i, ends[i], percent), signatures(shingles, i + 1, above, percent)])
-            columns = [part.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), _lists(made)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "set_id", "n_shingles", "signatures"])
-
-    return rows.mapInArrow(run, "doc_id string, set_id long, n_shingles long, signatures array<long>")
+                made.append(np.concatenate([signatures(shingles, i, ends[i], percent), signatures(shingles, i + 1, above, percent)]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), _lists(made)], ["id", "n", "signatures"])
+
+    return rows.select("text").mapInArrow(run, "id long, n long, signatures array<long>")
 
 
 def _needed_sets(rows: DataFrame, members: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -244,9 +255,9 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     Null ids take part and never name a component that has another; repeated ids and rows stay; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    signed = materialise(_signed(rows, width, percent))
-    members = signed.select("doc_id", "set_id", "n_shingles").where("n_shingles > 0")
-    exploded = signed.where("signatures is not null").select(F.explode("signatures").alias("sig"), F.col("set_id").alias("id"), F.col("n_shingles").alias("n"))
+    every = materialise(_members(rows, width))
+    members = every.where("n_shingles > 0")
+    exploded = _signed(rows, width, percent).select(F.explode("signatures").alias("sig"), "id", "n")
     bucket = Window.partitionBy("sig")
     buckets = exploded.select("*", F.min("id").over(bucket).alias("hub"), F.max("id").over(bucket).alias("last")).where("hub != last")
     # most signatures stand alone and are gone before copies of other tasks are left out
@@ -283,7 +294,7 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     named = smallest.join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     heads = named.groupBy("label").agg(F.min("least").alias("component_id"))
     classes = named.join(heads, "label").select("set_id", "component_id")
-    joined = signed.select("doc_id", "set_id", "n_shingles").join(classes, "set_id", "left")
+    joined = every.join(classes, "set_id", "left")
     own = F.col("doc_id").cast("long")
     return joined.select(own.alias("doc_id"), "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", own)).otherwise(own).alias("component_id"), "set_id")
 
