@@ -23,12 +23,11 @@ from rivulet.llm.components import components
 
 #: Up to so many differences two levels are used; second-level parts; spare first-level partitions with one and two levels.
 TWO_LEVELS, PARTS, SPARE = 12, 3, 1
-#: Words whose hashes a worker remembers; sets that a task remembers, to sign copies once; bytes of text in a pass.
-KNOWN, KNOWN_SETS, PASS_BYTES = 200_000, 1_000_000, 2_000_000
+#: Sets that a task remembers, to sign copies once; bytes of text in a pass.
+KNOWN_SETS, PASS_BYTES = 1_000_000, 2_000_000
 #: Bits of the filter that tells which documents a verification needs (a fixed bound; more documents only mean more false hits).
 FILTER_BITS = 1 << 23
 
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -38,36 +37,50 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Hashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
+#: Whether a byte belongs to a word, the value that it has in a word's hash (A-Z as a-z), and the hash's base (odd, so it has an inverse).
+_IN_WORD = np.array([c != 32 and not 9 <= c <= 13 for c in range(256)], np.int8)
+_VALUE = _mix((np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint64) + np.uint64(1)) * _A)
+_BASE = 0xD1342543DE82EF95
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > KNOWN:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
 
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**i modulo 2**64 for i below n."""
+    found = np.full(n, base, np.uint64)
+    found[:1] = 1
+    return np.cumprod(found, dtype=np.uint64)
 
-_WORDS = Hashes()
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, 64-bit hash) of every word in ``data``: differences of one polynomial's running sums, freed of their position."""
+    raw = np.frombuffer(data, np.uint8)
+    edges = np.flatnonzero(np.diff(_IN_WORD[raw], prepend=np.int8(0), append=np.int8(0)))
+    start, end = edges[::2], edges[1::2]
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_VALUE[raw] * _powers(_BASE, len(raw)), out=sums[1:])
+    return start, _mix((sums[end] - sums[start]) * _powers(_INVERSE, len(raw) + 1)[start] + (end - start).astype(np.uint64))
 
 
 def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     """Sorted 64-bit hashes of each text's distinct shingles of ``width`` words; a shorter text is one shingle, one without words none."""
-    words = [t.encode("utf-8", "surrogatepass").translate(_LOWER).split() for t in texts]
-    hashes = np.array([_WORDS[w] for ws in words for w in ws], np.uint64)
+    coded = [t.encode("utf-8", "surrogatepass") for t in texts]
+    start, hashes = word_hashes(b"\n".join(coded))
+    ends = np.searchsorted(start, np.cumsum([len(c) + 1 for c in coded])).tolist() if coded else []
     n = len(hashes)
     grams = np.zeros(n, np.uint64)
     for i in range(width):
         grams[: n - i] = _mix(grams[: n - i] * _A + hashes[i:] + np.uint64(i + 1))
     sets, at = [], 0
-    for ws in words:
-        if not ws:
-            sets.append(grams[:0])
-        elif len(ws) < width:
-            sets.append(np.array([xxhash.xxh3_64_intdigest(b"\n".join(ws))], np.uint64))
+    for end in ends:
+        if 0 < end - at < width:
+            whole = _C[None] + np.uint64(end - at)
+            for h in hashes[at:end]:
+                whole = _mix(whole * _A + h)
+            sets.append(whole)
         else:
-            sets.append(np.unique(grams[at : at + len(ws) - width + 1]))
-        at += len(ws)
+            found = np.sort(grams[at : max(at, end - width + 1)])
+            sets.append(found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found)
+        at = end
     return sets
 
 
