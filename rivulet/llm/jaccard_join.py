@@ -283,8 +283,8 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     links = materialise(_verified(first, sets, percent))
     tried = first
     rest = buckets.withColumn("most", F.col("n"))
+    labels = materialise(components(links))
     for step in ("bound", "hubs", "bound", "all"):
-        labels = components(links)
         rest = materialise(_mixed(rest.select("sig", "id", "n", "hub", "most").join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))))
         if step == "bound":
             rest = materialise(_mixed(_bounded(rest, sets, percent)))
@@ -299,9 +299,9 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
         if pairs is not None:
             pairs = materialise(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-            links = materialise(links.unionByName(_verified(pairs, sets, percent)))
+            links = links.unionByName(materialise(_verified(pairs, sets, percent)))
+            labels = materialise(components(links))
             tried = tried.unionByName(pairs)
-    labels = components(links)
 
     smallest = members.groupBy("set_id").agg(F.min(F.col("doc_id").cast("long")).alias("least"))
     named = smallest.join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
