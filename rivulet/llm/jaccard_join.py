@@ -162,15 +162,15 @@ def _lists(parts: list[np.ndarray | None]) -> pa.Array:
 
 
 def _members(rows: DataFrame, width: int) -> DataFrame:
-    """Per row doc_id, set_id, n_shingles."""
+    """Per row doc_id, text_hash, set_id, n_shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _passes(batches):
             sets = shingle_sets(part.column("text").to_pylist(), width)
-            columns = [part.column("doc_id"), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "set_id", "n_shingles"])
+            columns = [part.column("doc_id"), part.column("text_hash"), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "set_id", "n_shingles"])
 
-    return rows.mapInArrow(run, "doc_id string, set_id long, n_shingles long")
+    return rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id string, text_hash long, set_id long, n_shingles long")
 
 
 def _signed(rows: DataFrame, width: int, percent: int) -> DataFrame:
@@ -254,8 +254,8 @@ def _bounded(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return known.where((F.col("most") * 100) >= (F.col("n") + F.col("_least") - F.col("most")) * percent).drop("_least")
 
 
-def join_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, set_id, n_shingles and component_id, the smallest doc_id reachable by links.
+def _labelled(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_hash, set_id, n_shingles) of ``docs`` and, per set that has links, set_id and label, the smallest set_id of its component.
 
     Rows of equal sets are one class (set_id); only classes are joined. Each bucket of a signature first compares its
     members with a hub; classes that a component already joins need no more comparing. Of the rest, sets leave that have
@@ -263,9 +263,6 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     still apart is compared with all of other components in the bucket, where sizes and common shingles allow a link. So
     no link that could join components is lost, while copies and families of near copies cost a few comparisons a
     member. Sets are compared by 64-bit shingle hashes.
-
-    A null or empty text, or one of white space, has no set, links with nothing and is its own component (its own id).
-    Null ids take part and never name a component that has another; repeated ids and rows stay; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), text_or_empty(text_col).alias("text"))
     every = materialise(_members(rows, width))
@@ -303,8 +300,18 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             labels = materialise(components(links))
             tried = tried.unionByName(pairs)
 
-    smallest = members.groupBy("set_id").agg(F.min(F.col("doc_id").cast("long")).alias("least"))
-    named = smallest.join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    return every, labels.select(F.col("node").alias("set_id"), "label")
+
+
+def join_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, set_id, n_shingles and component_id, the smallest doc_id reachable by links.
+
+    A null or empty text, or one of white space, has no set, links with nothing and is its own component (its own id).
+    Null ids take part and never name a component that has another; repeated ids and rows stay; other columns are not read.
+    """
+    every, labels = _labelled(docs, width, percent, id_col, text_col)
+    smallest = every.where("n_shingles > 0").groupBy("set_id").agg(F.min(F.col("doc_id").cast("long")).alias("least"))
+    named = smallest.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     heads = named.groupBy("label").agg(F.min("least").alias("component_id"))
     classes = named.join(heads, "label").select("set_id", "component_id")
     joined = every.join(classes, "set_id", "left")
@@ -313,15 +320,24 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that stay when each component keeps the row of its smallest id.
+    """The rows of ``docs``, with all their columns, that stay when each component keeps one row: that of its smallest id, nulls last.
 
-    Of rows that repeat that id one stays. Rows with a null id stay if nothing with an id is in their component.
+    Components are told by their texts, so rows that repeat an id and are no near copies all stay. A row without a set
+    stays; of those that repeat an id one does.
     """
-    found = materialise(join_components(docs, width, percent, id_col, text_col).select("doc_id", "component_id"))
-    kept = found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    names, key = docs.columns, F.col("_row")[id_col].cast("long")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")).join(kept, key.eqNullSafe(F.col("doc_id")), "left_semi")
-    if not kept.where("_rows > 1 and doc_id is not null").isEmpty():
-        first = Window.partitionBy(key).orderBy(F.xxhash64("_row"))
-        rows = rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n").eqNullSafe(1) | key.isNull())
+    every, labels = _labelled(docs, width, percent, id_col, text_col)
+    own = F.col("doc_id").cast("long")
+    rank = F.struct(own.isNull().alias("no_id"), own.alias("doc_id"), "set_id", "text_hash")
+    # a minimum per set comes first, so that copies meet no join
+    heads = every.where("n_shingles > 0").groupBy("set_id").agg(F.min(rank).alias("head"))
+    heads = heads.join(labels, "set_id", "left").groupBy(F.coalesce("label", "set_id").alias("label")).agg(F.min("head").alias("head"))
+    bare = every.where("n_shingles = 0").select(own.alias("doc_id"), "text_hash")
+    bare = bare.where("doc_id is not null").groupBy("doc_id").agg(F.min("text_hash").alias("text_hash")).select("doc_id", "text_hash", F.lit(False).alias("all")).unionByName(bare.where("doc_id is null").distinct().withColumn("all", F.lit(True)))
+    kept = materialise(heads.select("head.doc_id", "head.text_hash", F.lit(False).alias("all")).unionByName(bare))
+    names, key, text_hash = docs.columns, F.col("_row")[id_col].cast("long"), F.xxhash64(F.coalesce(F.col("_row")[text_col], F.lit("")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+    rows = rows.select("_row", key.alias("_id"), text_hash.alias("_hash")).join(kept, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash"))).drop("doc_id", "text_hash")
+    if not every.groupBy(own, "text_hash").count().where("count > 1").isEmpty():
+        first = Window.partitionBy("_id", "_hash").orderBy(F.xxhash64("_row"))
+        rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1 or all")
     return rows.select("_row.*")

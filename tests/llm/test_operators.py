@@ -372,3 +372,12 @@ def test_similar_sets_share_a_signature():
                     ends = jaccard_join.band_ends(percent, 2000)
                     made.append({int(x) for j in (k, k + 1) for x in jaccard_join.signatures(s, j, ends[j], percent)})
                 assert made[0] & made[1]
+
+
+def test_rows_that_repeat_an_id_stay_unless_they_are_copies(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(5, a), (5, b), (3, b + " end"), (7, c), (7, c), (None, c + " end"), (None, d), (None, d + " end"), (None, d), (9, ""), (None, ""), (None, "")]
+    got = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = sorted(((r.doc_id, r.text) for r in got if not r.text.startswith("d0")), key=str)
+    assert kept == sorted([(5, a), (3, b + " end"), (7, c), (9, ""), (None, ""), (None, "")], key=str)
+    assert sum(r.text.startswith("d0") for r in got) == 1
