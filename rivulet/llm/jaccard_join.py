@@ -69,7 +69,8 @@ def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     n = len(hashes)
     grams = np.zeros(n, np.uint64)
     for i in range(width):
-        grams[: n - i] = _mix(grams[: n - i] * _A + hashes[i:] + np.uint64(i + 1))
+        m = max(n - i, 0)
+        grams[:m] = _mix(grams[:m] * _A + hashes[n - m :] + np.uint64(i + 1))
     sets, at = [], 0
     for end in ends:
         if 0 < end - at < width:

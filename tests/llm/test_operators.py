@@ -381,3 +381,13 @@ def test_rows_that_repeat_an_id_stay_unless_they_are_copies(spark):
     kept = sorted(((r.doc_id, r.text) for r in got if not r.text.startswith("d0")), key=str)
     assert kept == sorted([(5, a), (3, b + " end"), (7, c), (9, ""), (None, ""), (None, "")], key=str)
     assert sum(r.text.startswith("d0") for r in got) == 1
+
+
+def test_passes_of_few_words_have_shingles(spark):
+    for n in range(7):
+        got = jaccard_join.shingle_sets([" ".join("abcdefg"[:n])], 5)
+        assert [len(x) for x in got] == [0 if not n else max(1, n - 4)]
+    texts = ["two words", "and three words", "lang wort " * 220_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.n_shingles for r in jaccard_join._members(docs.select(docs.doc_id.cast("string"), "text"), 5).collect()}
+    assert got == {"0": 1, "1": 1, "2": 2}
