@@ -7,8 +7,10 @@ languages. A document's language is the one with the largest mean probability.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -17,10 +19,10 @@ from pyspark.sql import functions as F
 
 from rivulet.llm.common import held_out, keep_rows, text_or_empty
 
-#: A fit reads at most so many documents a language (in hash order of the id), none longer than so many characters.
+#: A fit reads at most so many documents a language (in hash order of the id, longer ones last), and so many characters of each.
 FIT_DOCS, FIT_CHARS = 120, 20_000
 ITERATIONS, RATE, RIDGE = 20, 0.4, 1e-3
-#: Size of the hashed feature space; letters of a word that make features (half from each end, if it is longer); longest n-gram.
+#: Size of the hashed feature space; letters of a word (a longer run of letters is several words); longest n-gram.
 SPACE, LETTERS, ORDER = 1 << 17, 20, 4
 #: Words that one pass of forward-backward holds; a longer text is several chains. Words that a worker remembers.
 CHAIN, KNOWN = 150_000, 200_000
@@ -29,21 +31,26 @@ UNKNOWN = "und"
 LEAST = 0.3
 
 
-def letters_of(token: str) -> str:
-    """The lower-case letters of a token; tokens without any are no words."""
-    return token.lower() if token.isalpha() else "".join(filter(str.isalpha, token)).lower()
+def words_of(token: str) -> list[str]:
+    """The runs of lower-case letters in a token, long ones in consecutive pieces; tokens without letters have none.
+
+    Each has the character before and after it at its ends: a letter where a run is cut, else a space. Marks and format
+    characters part no run, they are left out.
+    """
+    if not token.isalpha():
+        token = "".join(c if c.isalpha() else "" if unicodedata.category(c) in ("Mn", "Mc", "Me", "Cf") else " " for c in token)
+    return [f" {run} "[i : i + LETTERS + 2] for run in token.lower().split() for i in range(0, len(run), LETTERS)]
 
 
 def feature_ids(words: list[str]) -> np.ndarray:
-    """Hashed features of words, -1 where there is none: [word, feature]. Affixes are n-grams at the edges; the lexicon entry is the whole word."""
-    half = LETTERS // 2
-    short = [w if len(w) <= LETTERS else w[:half] + w[-half:] for w in words]
-    codes = np.array(short, dtype=f"U{LETTERS}").view(np.uint32).reshape(len(words), LETTERS).astype(np.uint64)
+    """Hashed features of words with their neighbours, -1 where there is none: [word, feature]. Affixes are n-grams at the edges; the lexicon entry is the whole word."""
+    inner = [w[1:-1] for w in words]
+    codes = np.array(inner, dtype=f"U{LETTERS}").view(np.uint32).reshape(len(words), LETTERS).astype(np.uint64)
     n = (codes > 0).sum(1)
     edged = np.zeros((len(words), LETTERS + 2), np.uint64)
-    edged[:, 0] = 2
+    edged[:, 0] = [2 if w[0] == " " else ord(w[0]) for w in words]
     edged[:, 1:-1] = codes
-    edged[np.arange(len(words)), n + 1] = 3
+    edged[np.arange(len(words)), n + 1] = [3 if w[-1] == " " else ord(w[-1]) for w in words]
     made, gram = [], edged.copy()
     for size in range(1, ORDER + 1):
         width = edged.shape[1] - size + 1
@@ -129,7 +136,7 @@ def marginals(scores: np.ndarray, starts: np.ndarray, transitions: np.ndarray) -
 def fit(texts: list[str], languages: list[str]) -> Crf | None:
     """Maximises the regularised likelihood by full-batch adaptive gradient steps; every word of a text carries its language."""
     names = sorted(set(languages))
-    chains = [[w for w in map(letters_of, t.split()) if w] for t in texts]
+    chains = [[w for token in t.split() for w in words_of(token)] for t in texts]
     used = [(c, names.index(lang)) for c, lang in zip(chains, languages, strict=True) if c]
     if not used:
         return None
@@ -171,13 +178,16 @@ def fit(texts: list[str], languages: list[str]) -> Crf | None:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = FIT_DOCS) -> Crf | None:
-    """Fits on a bounded sample: the first ``per_language`` documents of each language by a hash of id and text, outside the held-out fifth."""
+    """Fits on a bounded sample: the first ``per_language`` documents of each language by a hash of id and text, outside the held-out fifth.
+
+    Documents of more than ``FIT_CHARS`` characters come after all others, with their first ``FIT_CHARS``.
+    """
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= FIT_CHARS) & ~held_out("id", 5, 0))
-    keys = rows.select("lang", F.xxhash64("id", "text").alias("key"))
-    order = Window.partitionBy("lang").orderBy("key")
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id", 5, 0))
+    keys = rows.select("lang", F.xxhash64("id", "text").alias("key"), (F.length("text") > FIT_CHARS).alias("long"))
+    order = Window.partitionBy("lang").orderBy("long", "key")
     chosen = keys.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).select("key").distinct()
-    sample = rows.withColumn("key", F.xxhash64("id", "text")).join(F.broadcast(chosen), "key", "left_semi").dropDuplicates(["key"]).orderBy("key").toPandas()
+    sample = rows.withColumn("key", F.xxhash64("id", "text")).join(F.broadcast(chosen), "key", "left_semi").withColumn("text", F.substring("text", 1, FIT_CHARS)).dropDuplicates(["key"]).orderBy("key").toPandas()
     return fit(sample.text.tolist(), sample.lang.tolist())
 
 
@@ -185,26 +195,25 @@ class Labeller:
     """Scores words for one worker, remembering the emissions of words that it has seen."""
 
     def __init__(self, crf: Crf):
-        self.crf, self.index, self.known = crf, {}, np.zeros((0, len(crf.languages)), np.float32)
+        self.crf, self.index, self.words, self.known = crf, {}, {}, np.zeros((0, len(crf.languages)), np.float32)
 
     def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Rows of ``known`` for all words of the texts, and the number of words of each text."""
-        if len(self.index) > KNOWN:
-            self.index, self.known = {}, self.known[:0]
-        index, fresh, out, counts = self.index, [], [], []
+        if len(self.index) > KNOWN or len(self.words) > KNOWN:
+            self.index, self.words, self.known = {}, {}, self.known[:0]
+        index, words, long, out, counts = self.index, self.words, [], [], []
         for text in texts:
             tokens = text.split()
             for token in tokens:
                 if token not in index:
-                    word = letters_of(token)
-                    if word:
-                        index[token] = len(self.known) + len(fresh)
-                        fresh.append(word)
-                    else:
-                        index[token] = -1
-            found = np.array([index[t] for t in tokens], np.int64)
-            out.append(found[found >= 0])
+                    index[token] = tuple(words.setdefault(w, len(words)) for w in words_of(token))
+                    if len(token) > 2 * LETTERS:
+                        long.append(token)
+            out.append(np.fromiter((row for t in tokens for row in index[t]), np.int64))
             counts.append(len(out[-1]))
+        for token in long:  # their words are remembered
+            del index[token]
+        fresh = list(islice(words, len(self.known), None))
         if fresh:
             parts = [self.crf.emissions(feature_ids(fresh[i : i + 20_000])).astype(np.float32) for i in range(0, len(fresh), 20_000)]
             self.known = np.concatenate([self.known, *parts])
@@ -235,7 +244,7 @@ class Labeller:
         return languages, scores
 
     def spans(self, text: str) -> list[dict]:
-        """Runs of words of one language: {first, last, lang}, words counted from 0 among those with letters."""
+        """Runs of words of one language: {first, last, lang}, words counted from 0 as ``words_of`` parts them."""
         rows, counts = self.rows([text])
         if not len(rows):
             return []

@@ -184,6 +184,23 @@ def test_code_switched_text_has_spans():
     assert labeller.documents(["", "123 !"]) == (["und", "und"], [0.0, 0.0])
 
 
+def test_every_letter_of_a_text_counts():
+    assert language_id.words_of("Ab,cd-12") == [" ab ", " cd "] and language_id.words_of("12!") == []
+    long = "".join(chr(97 + i * 7 % 26) for i in range(53))
+    assert "".join(w[1:-1] for w in language_id.words_of(long)) == long
+    texts = ["der hund und die katze sind nicht hier"] * 5 + ["the dog and the cat are not here"] * 5
+    labeller = language_id.Labeller(language_id.fit(texts, ["de"] * 5 + ["en"] * 5))
+    de, en = ("".join(t.split()) for t in texts[4:6])
+    assert labeller.documents([de * 2 + en * 20 + de * 2, en * 2 + de * 20 + en * 2])[0] == ["en", "de"]
+    assert [s["lang"] for s in labeller.spans(de * 10 + "," + en * 10)] == ["de", "en"]
+
+
+def test_languages_with_only_long_texts_are_learned(spark):
+    rows = [(i, " ".join(["der hund und die katze"] * 1000), "de") for i in range(8)] + [(i, "the dog and the cat are not here", "en") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.train(docs).languages == ["de", "en"]
+
+
 # 5: nearest neighbours
 def _brute(ids, x, every, k=10):
     out = {}
