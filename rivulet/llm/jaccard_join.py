@@ -18,15 +18,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import materialise, text_or_empty
+from rivulet.llm.common import Scratch, free_shuffles, materialise, text_or_empty
 from rivulet.llm.components import components
 
 #: Up to so many differences two levels are used; second-level parts; spare first-level partitions with one and two levels.
 TWO_LEVELS, PARTS, SPARE = 12, 3, 1
+#: Partitions that a set tries whose shingles leave regions empty; rounds in which buckets meet their most connected member.
+SEEDS, HUB_ROUNDS = 8, 2
 #: Sets that a task remembers, to sign copies once; bytes of text in a pass.
 KNOWN_SETS, PASS_BYTES = 1_000_000, 2_000_000
-#: Bits of the filter that tells which documents a verification needs (a fixed bound; more documents only mean more false hits).
-FILTER_BITS = 1 << 23
+#: Least and most bits of the filter that tells which documents a verification needs (more documents only mean more false hits).
+FILTER_BITS = 1 << 16, 1 << 27
+#: Sizes up to this are classes of their own in the comparison of rare shingles; above, a class spans this factor.
+SMALL, STEP = 32, 1.03
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -107,12 +111,30 @@ def differences(end: int, percent: int) -> int:
     return (100 - percent) * 2 * end // (100 + percent)
 
 
+def _regions(shingles: np.ndarray, seed: np.uint64, n1: int, two: bool) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes of a partition's regions, whether each holds a shingle, and how many first-level partitions might be equal in empty regions only."""
+    first = (_mix(shingles + seed) >> np.uint64(32)) % np.uint64(n1)
+    value = _mix(shingles ^ _C)
+    parts = PARTS if two else 1
+    cell = (first * np.uint64(parts) + (_mix(shingles * _A + seed) % np.uint64(parts))).astype(np.int64)
+    count = np.bincount(cell, minlength=n1 * parts).reshape(n1, parts)
+    total = np.zeros(n1 * parts, np.uint64)
+    np.add.at(total, cell, value)
+    total = total.reshape(n1, parts)
+    if two:  # a region leaves one part out
+        count, total = count.sum(1, keepdims=True) - count, total.sum(1, keepdims=True) - total
+    made = _mix(total * _A + np.arange(n1 * parts, dtype=np.uint64).reshape(n1, parts) + seed)
+    return made, count > 0, int((count == 0).any(1).sum())
+
+
 def signatures(shingles: np.ndarray, number: int, end: int, percent: int) -> np.ndarray:
     """The set's signatures for one band.
 
-    With one level there are more partitions than k, so at least ``n1 - k`` are equal; with two levels at least
-    ``n1 - k // 2`` differ in one place at most and then one enumerated subset is equal. Regions without a shingle say
-    nothing and are left out, unless so many are empty that only empty ones might be equal.
+    With one level there are more partitions than k, so at least ``n1 - k`` are equal in similar sets; with two levels at
+    least ``n1 - k // 2`` differ in one place at most and then one enumerated subset is equal. Regions without a shingle
+    say nothing and are left out. Similar sets can have only empty regions in common if so many partitions are weak in
+    both, so each of them signs again by another partition, until one has few enough weak ones; only a set that never
+    finds one (out of ``SEEDS``) signs its empty regions too.
     """
     k = differences(end, percent)
     seed = np.uint64((number + 1) * 0x5851F42D4C957F2D & 0xFFFFFFFFFFFFFFFF)
@@ -120,24 +142,14 @@ def signatures(shingles: np.ndarray, number: int, end: int, percent: int) -> np.
         return _mix(np.array([shingles.sum(dtype=np.uint64)], np.uint64) + seed)
     two = k <= TWO_LEVELS
     n1 = k // 2 + 1 if two else k + 1 + SPARE + (k // 12 if percent < 85 else 0)
-    enough = n1 - (k // 2 if two else k)
-    first = (_mix(shingles + seed) >> np.uint64(32)) % np.uint64(n1)
-    value = _mix(shingles ^ _C)
-    if not two:
-        count = np.bincount(first.astype(np.int64), minlength=n1)
-        total = np.zeros(n1, np.uint64)
-        np.add.at(total, first.astype(np.int64), value)
-        made, filled = _mix(total * _A + np.arange(n1, dtype=np.uint64) + seed), count > 0
-        return made if (~filled).sum() >= enough else made[filled]
-    cell = (first * np.uint64(PARTS) + _mix(shingles * _A) % np.uint64(PARTS)).astype(np.int64)
-    count = np.bincount(cell, minlength=n1 * PARTS).reshape(n1, PARTS)
-    total = np.zeros(n1 * PARTS, np.uint64)
-    np.add.at(total, cell, value)
-    total = total.reshape(n1, PARTS)
-    count, total = count.sum(1, keepdims=True) - count, total.sum(1, keepdims=True) - total
-    made = _mix(total * _A + np.arange(n1 * PARTS, dtype=np.uint64).reshape(n1, PARTS) + seed)
-    empty = count == 0
-    return (made.ravel() if empty.any(1).sum() >= enough else made[~empty]).ravel()
+    enough, found = n1 - (k // 2 if two else k), []
+    for _ in range(SEEDS):
+        made, filled, weak = _regions(shingles, seed, n1, two)
+        found.append(made[filled])
+        if weak < enough:
+            return np.concatenate(found)
+        seed = _mix(seed[None] + _A)[0]
+    return np.concatenate([*found, made[~filled]])
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -201,18 +213,19 @@ def _signed(rows: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _needed_sets(rows: DataFrame, members: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(set_id, shingles) of the wanted sets, computed again from the texts that a fixed-size bit filter lets through."""
+    """(set_id, shingles) of the wanted sets, computed again from the texts that a filter of bounded size lets through."""
     ids = members.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min(F.xxhash64("doc_id")).alias("h"))
-    ids = ids.select(F.pmod("h", F.lit(FILTER_BITS)).alias("bit"))
+    size = min(FILTER_BITS[1], max(FILTER_BITS[0], 1 << (16 * wanted.count()).bit_length()))
+    ids = ids.select(F.pmod("h", F.lit(size)).alias("bit"))
     marked = ids.groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits"))
-    words = np.zeros(FILTER_BITS // 64, np.uint64)
+    words = np.zeros(size // 64, np.uint64)
     for row in marked.toLocalIterator():
         words[row.word] = row.bits & 0xFFFFFFFFFFFFFFFF
     shared = rows.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _passes(batches):
-            at = part.column("h").to_numpy() % FILTER_BITS
+            at = part.column("h").to_numpy() % size
             part = part.filter(pa.array((shared.value[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1) > 0))
             sets = {set_id(s): s for s in shingle_sets(part.column("text").to_pylist(), width) if len(s)}
             yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), _lists(list(sets.values()))], ["set_id", "shingles"])
@@ -222,85 +235,105 @@ def _needed_sets(rows: DataFrame, members: DataFrame, wanted: DataFrame, width:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose Jaccard similarity is at least percent / 100, exactly."""
+    """The pairs (a, b) whose Jaccard similarity is at least percent / 100, exactly. A hub stands in ``a``, so the rows that meet its set are small."""
     left = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", common.alias("common"), (F.size("x") + F.size("y") - common).alias("all"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", common.alias("common"), (F.size("x") + F.size("y") - common).alias("all"))
     return both.where(F.col("common") * 100 >= F.col("all") * percent).select("a", "b")
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """The rows of buckets that hold several components."""
-    bucket = Window.partitionBy("sig")
-    marked = rows.select("*", F.min("label").over(bucket).alias("_low"), F.max("label").over(bucket).alias("_high"))
-    return marked.where("_low != _high").drop("_low", "_high")
+def _mixed(rest: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of buckets that still hold several components, with their labels. Minima per bucket come before the join, so a hot bucket is no group of one task."""
+    known = labels.select(F.col("node").alias("id"), "label")
+    rest = rest.select("sig", "id", "n").join(known, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    several = rest.groupBy("sig").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low != _high").select("sig")
+    return rest.join(several, "sig", "left_semi")
 
 
-def _possible(n_a: str, most_a: str, n_b: str, most_b: str, percent: int) -> Column:
-    """Whether sets of these sizes, of which at most so many shingles occur in other sets too, can be similar."""
-    common = F.least(most_a, most_b)
-    return common * 100 >= (F.col(n_a) + F.col(n_b) - common) * percent
+def _hub_pairs(rest: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+    """Each set with the most connected member of other components that is the hub of one of its buckets and was not tried."""
+    degree = rest.groupBy("id").agg(F.count("*").alias("degree"))  # a family's common ancestor stands in more shared buckets than its offspring
+    heads = rest.join(degree, "id").groupBy("sig").agg(F.max(F.struct("degree", F.col("id").alias("a"), F.col("n").alias("m"), F.col("label").alias("of"))).alias("hub"))
+    met = rest.join(heads, "sig").where("label != hub.of").where(F.least("n", "hub.m") * 100 >= F.greatest("n", "hub.m") * percent)
+    pairs = met.select(F.col("hub.a").alias("a"), F.col("id").alias("b"), "hub.degree").distinct()
+    either = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    best = pairs.join(either, ["a", "b"], "left_anti").groupBy("b").agg(F.max(F.struct("degree", "a")).alias("best"))
+    return best.select("best.a", "b")
 
 
-def _bounded(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Sets ``most``, the number of a set's shingles that occur in another set of ``rows`` too, which bounds what it has in common with any;
-    rows that cannot be similar to any set of their bucket's sizes are left out. Edited copies of one text part here, without being compared."""
-    here = sets.join(rows.select(F.col("id").alias("set_id")).distinct(), "set_id", "left_semi")
-    single = here.select("set_id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("df"), F.min("set_id").alias("id")).where("df = 1")
-    alone = single.groupBy("id").agg(F.count("*").alias("alone"))
-    known = rows.drop("most").join(alone, "id", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0)))
-    least = F.min("n").over(Window.partitionBy("sig"))
-    known = known.withColumn("_least", F.greatest(least, "most"))
-    return known.where((F.col("most") * 100) >= (F.col("n") + F.col("_least") - F.col("most")) * percent).drop("_least")
+def _over(x: Column, y: int) -> Column:
+    """x / y, rounded up, in whole numbers."""
+    return F.call_function("div", x + (y - 1), F.lit(y))
+
+
+def _size_class(n: Column) -> Column:
+    return F.when(n <= SMALL, n).otherwise(SMALL + F.floor(F.log(n / SMALL) / math.log(STEP))).cast("int")
+
+
+def _rare_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a signature and a shingle among the rarest of both.
+
+    Similar sets of sizes n and m have at least o = t / (1 + t) * (n + m) shingles in common, so in any order of all
+    shingles they meet within the first n - o + 1 of one and m - o + 1 of the other. Shingles that one component alone
+    has come first and meet nothing; then the rarest. Copies with many edits of their own therefore leave at once. One
+    join key is a shingle with the classes of both sizes, as these settle how far to look.
+    """
+    known = rest.groupBy("id").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.collect_set("sig").alias("sigs"))
+    here = known.select(F.col("id").alias("set_id"), "n", "label").join(sets, "set_id").select("set_id", "n", "label", F.explode("shingles").alias("shingle"))
+    common = here.groupBy("shingle").agg(F.count("*").alias("df"), F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low != _high").select("shingle", "df")
+    mine = Window.partitionBy("set_id")
+    place = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("df", "shingle"))  # from 1
+    placed = here.join(common, "shingle").withColumn("place", place)
+    n, t = F.col("n"), percent
+    placed = placed.where(F.col("place") <= n - _over(n * t, 100) + 1).withColumn("own", _size_class(n))
+    placed = placed.withColumn("other", F.explode(F.sequence(_size_class(_over(n * t, 100)), _size_class(_over(n * 100, t)))))
+    least = F.when(F.col("other") <= SMALL, F.col("other")).otherwise(F.floor(SMALL * F.pow(F.lit(STEP), F.col("other") - SMALL)) - 1)
+    placed = placed.where(F.col("place") <= n - _over((n + least.cast("long")) * t, 100 + t) + 1)
+    keyed = placed.select("shingle", F.least("own", "other").alias("c"), F.greatest("own", "other").alias("d"), "set_id", "n", "label").distinct()
+    x, y = (keyed.select("shingle", "c", "d", *[F.col(k).alias(f"{k}_{side}") for k in ("set_id", "n", "label")]) for side in "ab")
+    met = x.join(y, ["shingle", "c", "d"]).where("set_id_a < set_id_b and label_a != label_b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * t)
+    pairs = met.select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b")).distinct()
+    signed = [known.select(F.col("id").alias(side), F.col("sigs").alias(f"s{side}")) for side in "ab"]
+    return pairs.join(signed[0], "a").join(signed[1], "b").where(F.arrays_overlap("sa", "sb")).select("a", "b")
 
 
 def _labelled(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, text_hash, set_id, n_shingles) of ``docs`` and, per set that has links, set_id and label, the smallest set_id of its component.
 
-    Rows of equal sets are one class (set_id); only classes are joined. Each bucket of a signature first compares its
-    members with a hub; classes that a component already joins need no more comparing. Of the rest, sets leave that have
-    too many shingles of their own to be similar to any, the others meet the member with the most in common, and what is
-    still apart is compared with all of other components in the bucket, where sizes and common shingles allow a link. So
-    no link that could join components is lost, while copies and families of near copies cost a few comparisons a
-    member. Sets are compared by 64-bit shingle hashes.
+    Rows of equal sets are one class (set_id); only classes are joined. Each member of a signature's bucket is compared
+    with a hub of the bucket, then in turn with the most connected members that are still apart; these comparisons are
+    as many as members. Buckets that still hold several components compare those of their members that have a rare
+    shingle in common. So no link that could join components is lost, while copies, families of near copies and their
+    too distant relatives cost a few comparisons a member. Sets are compared by 64-bit shingle hashes.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), text_or_empty(text_col).alias("text"))
     every = materialise(_members(rows, width))
     members = every.where("n_shingles > 0")
-    exploded = _signed(rows, width, percent).select(F.explode("signatures").alias("sig"), "id", "n")
-    bucket = Window.partitionBy("sig")
-    buckets = exploded.select("*", F.min("id").over(bucket).alias("hub"), F.max("id").over(bucket).alias("last")).where("hub != last")
-    # most signatures stand alone and are gone before copies of other tasks are left out
-    buckets = materialise(buckets.select("sig", "id", "n", "hub").distinct())
-    # candidates stand in at most as many rows as signatures; their sets are computed once
-    wanted = materialise(buckets.select(F.col("id").alias("set_id")).distinct())
-    sets = materialise(_needed_sets(rows, members, wanted, width))
-
-    first = buckets.groupBy("id").agg(F.min("hub").alias("hub")).where("hub != id").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    links = materialise(_verified(first, sets, percent))
-    tried = first
-    rest = buckets.withColumn("most", F.col("n"))
-    labels = materialise(components(links))
-    for step in ("bound", "hubs", "bound", "all"):
-        rest = materialise(_mixed(rest.select("sig", "id", "n", "hub", "most").join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))))
-        if step == "bound":
-            rest = materialise(_mixed(_bounded(rest, sets, percent)))
-            pairs = None
-        elif step == "hubs":
-            head = rest.groupBy("sig").agg(F.max(F.struct("most", "id", "n", "label")).alias("h"))  # the member with the most in common
-            pairs = rest.join(head, "sig").where("label != h.label").where(_possible("n", "most", "h.n", "h.most", percent))
-            pairs = pairs.select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b"))
-        else:
-            x, y = (rest.select("sig", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "most", "label")]) for side in "ab")
-            pairs = x.join(y, "sig").where("id_a < id_b and label_a != label_b").where(_possible("n_a", "most_a", "n_b", "most_b", percent))
-            pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-        if pairs is not None:
-            pairs = materialise(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-            links = links.unionByName(materialise(_verified(pairs, sets, percent)))
-            labels = materialise(components(links))
-            tried = tried.unionByName(pairs)
-
+    with Scratch(spark) as scratch:
+        exploded = _signed(rows, width, percent).select(F.explode("signatures").alias("sig"), "id", "n")
+        bucket = Window.partitionBy("sig")
+        buckets = exploded.select("*", F.min("id").over(bucket).alias("hub"), F.max("id").over(bucket).alias("last")).where("hub != last")
+        # most signatures stand alone and are gone before copies of other tasks are left out
+        rest = scratch.table(buckets.select("sig", "id", "n", "hub").distinct())
+        del exploded, buckets
+        free_shuffles(spark)
+        # candidates stand in at most as many rows as signatures; their sets are computed once
+        wanted = scratch.table(rest.select(F.col("id").alias("set_id")).distinct())
+        sets = scratch.table(_needed_sets(rows, members, wanted, width))
+        pairs = scratch.table(rest.groupBy("id").agg(F.min("hub").alias("hub")).where("hub != id").select(F.col("hub").alias("a"), F.col("id").alias("b")))
+        tried, links = pairs, scratch.table(_verified(pairs, sets, percent))
+        labels = components(links)
+        for step in range(HUB_ROUNDS + 1):
+            rest = scratch.table(_mixed(rest, labels))
+            if rest.isEmpty():
+                break
+            pairs = scratch.table(_hub_pairs(rest, tried, percent) if step < HUB_ROUNDS else _rare_pairs(rest, sets, percent))
+            found = scratch.table(_verified(pairs, sets, percent))
+            tried, links = tried.unionByName(pairs), links.unionByName(found)
+            if not found.isEmpty():
+                labels = components(links)
     return every, labels.select(F.col("node").alias("set_id"), "label")
 
 
