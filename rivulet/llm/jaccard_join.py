@@ -290,10 +290,15 @@ def _rare_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     placed = placed.withColumn("other", F.explode(F.sequence(_size_class(_over(n * t, 100)), _size_class(_over(n * 100, t)))))
     least = F.when(F.col("other") <= SMALL, F.col("other")).otherwise(F.floor(SMALL * F.pow(F.lit(STEP), F.col("other") - SMALL)) - 1)
     placed = placed.where(F.col("place") <= n - _over((n + least.cast("long")) * t, 100 + t) + 1)
-    keyed = placed.select("shingle", F.least("own", "other").alias("c"), F.greatest("own", "other").alias("d"), "set_id", "n", "label").distinct()
-    x, y = (keyed.select("shingle", "c", "d", *[F.col(k).alias(f"{k}_{side}") for k in ("set_id", "n", "label")]) for side in "ab")
-    met = x.join(y, ["shingle", "c", "d"]).where("set_id_a < set_id_b and label_a != label_b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * t)
-    pairs = met.select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b")).distinct()
+    keyed = placed.select("shingle", F.least("own", "other").alias("c"), F.greatest("own", "other").alias("d"), "set_id", "n", "label", "place")
+    # members of the largest component at a shingle don't meet each other
+    sizes = keyed.groupBy("shingle", "label").agg(F.count("*").alias("_size")).groupBy("shingle").agg(F.max_by("label", F.struct("_size", "label")).alias("major"))
+    keyed = keyed.join(sizes, "shingle").withColumn("minor", F.col("label") != F.col("major"))
+    x, y = (keyed.select("shingle", "c", "d", *[F.col(k).alias(f"{k}_{side}") for k in ("set_id", "n", "label", "place", "minor")]) for side in "ab")
+    least = _over((F.col("n_a") + F.col("n_b")) * t, 100 + t)
+    met = x.where("minor_a").join(y, ["shingle", "c", "d"]).where("label_a != label_b and (set_id_a < set_id_b or not minor_b)")
+    met = met.where((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * t) & (F.col("place_a") + least <= F.col("n_a") + 1) & (F.col("place_b") + least <= F.col("n_b") + 1))
+    pairs = met.select(F.least("set_id_a", "set_id_b").alias("a"), F.greatest("set_id_a", "set_id_b").alias("b")).distinct()
     signed = [known.select(F.col("id").alias(side), F.col("sigs").alias(f"s{side}")) for side in "ab"]
     return pairs.join(signed[0], "a").join(signed[1], "b").where(F.arrays_overlap("sa", "sb")).select("a", "b")
 
