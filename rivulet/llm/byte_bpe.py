@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -24,7 +25,7 @@ from rivulet.llm.common import text_or_empty
 #: Bytes that a leaf of the encoding tree holds, and tokens that one of the decoding tree holds.
 LEAF_BYTES, LEAF_TOKENS = 3, 1 << 16
 #: Entries of each of a worker's caches (a full one is emptied) and the longest strings that they keep.
-CACHE, CACHED_BYTES, CACHED_CHARS = 400_000, 8, 24
+CACHE, CACHED_BYTES, CACHED_CHARS = 400_000, 32, 24
 
 
 def load_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -49,21 +50,30 @@ class Bpe:
         self.words: dict[str, bytes] = {}
 
     def merge(self, data: bytes) -> list[int]:
-        """Direct merging of the lowest rank, leftmost first."""
+        """Direct merging of the lowest rank, leftmost first; a heap of pairs and links between parts keep long strings cheap."""
         ranks = self.ranks
         if data in ranks:
             return [ranks[data]]
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+        n = len(data)
+        parts = [data[i : i + 1] for i in range(n)]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(rank, i, data[i : i + 2]) for i in range(n - 1) if (rank := ranks.get(data[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, joined = heapq.heappop(heap)
+            j = after[i] if parts[i] else n
+            if j >= n or len(parts[i]) + len(parts[j]) != len(joined):
+                continue  # one of the two has grown or is gone
+            parts[i], parts[j], k = joined, b"", after[j]
+            after[i] = k
+            if k < n:
+                before[k] = i
+                if (rank := ranks.get(joined + parts[k])) is not None:
+                    heapq.heappush(heap, (rank, i, joined + parts[k]))
+            h = before[i]
+            if h >= 0 and (rank := ranks.get(parts[h] + joined)) is not None:
+                heapq.heappush(heap, (rank, h, parts[h] + joined))
+        return [ranks[p] for p in parts if p]
 
     def seam(self, a: int, b: int) -> list[int]:
         """The encoding of two tokens' bytes; the pair is valid if it is the pair itself."""
@@ -75,19 +85,26 @@ class Bpe:
         return found
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
-        """The encoding of both byte strings together."""
+        """The encoding of both byte strings together.
+
+        A window around the seam is re-encoded. It grows to the left until the pair before it is valid, and to the right
+        token by token until the pair behind it is; what lies outside then stays.
+        """
         if not left or not right:
             return left + right
-        window, width = self.seam(left[-1], right[0]), 1
-        if window == [left[-1], right[0]]:
-            return left + right
-        while True:
-            i, j = max(0, len(left) - width), min(len(right), width)
-            fits_left = i == 0 or self.seam(left[i - 1], window[0]) == [left[i - 1], window[0]]
-            if fits_left and (j == len(right) or self.seam(window[-1], right[j]) == [window[-1], right[j]]):
-                return left[:i] + window + right[j:]
-            width *= 2
-            window = self.merge(b"".join([self.bytes_of[t] for t in left[-width:] + right[:width]]))
+        out = list(left)
+        for j, token in enumerate(right):
+            window = self.seam(out[-1], token)
+            if window == [out[-1], token]:
+                return out + right[j:]
+            out.pop()
+            width = 1
+            while out and self.seam(out[-1], window[0]) != [out[-1], window[0]]:
+                window = self.merge(b"".join([self.bytes_of[t] for t in out[-width:] + window]))
+                del out[-width:]
+                width *= 2
+            out += window
+        return out
 
     def encode_bytes(self, data: bytes) -> list[int]:
         """Encodes the halves and joins them; short strings are remembered. The depth is the logarithm of the length."""
