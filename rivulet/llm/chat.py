@@ -24,7 +24,7 @@ PATCH, FRAMES, PAGE = 28, 12.5, 600
 #: Columns of a typed part; a text turn is one text part.
 PART = T.StructType([T.StructField("type", T.StringType()), T.StructField("text", T.StringType()), T.StructField("ref", T.StringType()), T.StructField("width", T.LongType()), T.StructField("height", T.LongType()), T.StructField("seconds", T.DoubleType()), T.StructField("pages", T.LongType())])
 SEGMENT = (
-    "conv_id long, turn long, role string, segment string, loss_start long, loss_end long, "
+    "conv_id string, turn string, role string, segment string, loss_start long, loss_end long, "
     "attachments array<struct<placeholder: string, kind: string, ref: string, tokens: long>>, expanded_tokens long"
 )
 
@@ -110,7 +110,9 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     ``content_col`` holds a string or an array of PART structs. A null text or part is empty, a null role is the empty
     role; other columns are not read. Rows are formatted where they lie: nothing is shuffled.
     """
-    rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), (F.to_json(content_col) if isinstance(turns.schema[content_col].dataType, T.ArrayType) else F.col(content_col)).alias("content"))
+    ids = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn")).schema
+    # ids travel as text: pandas would make floats of whole numbers beside a null
+    rows = turns.select(F.col(conv_col).cast("string").alias("conv_id"), F.col(turn_col).cast("string").alias("turn"), F.col(role_col).alias("role"), (F.to_json(content_col) if isinstance(turns.schema[content_col].dataType, T.ArrayType) else F.col(content_col)).alias("content"))
     typed = isinstance(turns.schema[content_col].dataType, T.ArrayType)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,16 +121,11 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
             made = pd.DataFrame([format_turn(r, c) for r, c in zip(rows.role, contents, strict=True)], columns=["segment", "loss_start", "loss_end", "attachments", "expanded_tokens"])
             yield pd.concat([rows[["conv_id", "turn", "role"]].reset_index(drop=True), made], axis=1)
 
-    schema = T._parse_datatype_string(SEGMENT)
-    schema["conv_id"].dataType, schema["turn"].dataType = rows.schema["conv_id"].dataType, rows.schema["turn"].dataType
-    return rows.select(F.col("conv_id"), F.col("turn"), "role", "content").mapInPandas(run, _nullable_ints(schema))
+    made = rows.mapInPandas(run, SEGMENT)
+    return made.select(F.col("conv_id").cast(ids["conv_id"].dataType), F.col("turn").cast(ids["turn"].dataType), *made.columns[2:])
 
 
-def _nullable_ints(schema: T.StructType) -> T.StructType:
-    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
-
-
-DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, expanded_tokens long, n_attachments long"
+DIGEST = "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, expanded_tokens long, n_attachments long"
 
 
 def conversation_digests(segments: DataFrame) -> DataFrame:
@@ -139,6 +136,8 @@ def conversation_digests(segments: DataFrame) -> DataFrame:
     """
     ordered = segments.select("conv_id", "turn", "role", "segment", "loss_start", "loss_end", F.size("attachments").alias("attached"), "expanded_tokens")
     ordered = ordered.repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "segment")
+    kind = segments.schema["conv_id"].dataType
+    ordered = ordered.drop("turn").withColumn("conv_id", F.col("conv_id").cast("string"))  # as text: pandas would make floats of whole numbers beside a null
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = None
@@ -149,7 +148,7 @@ def conversation_digests(segments: DataFrame) -> DataFrame:
         for rows in batches:
             done = []
             for row in rows.itertuples(index=False):
-                conv_id = None if pd.isna(row.conv_id) else int(row.conv_id)
+                conv_id = None if pd.isna(row.conv_id) else row.conv_id
                 if state is None or state["conv_id"] != conv_id:
                     if state is not None:
                         done.append(ended(state))
@@ -167,9 +166,8 @@ def conversation_digests(segments: DataFrame) -> DataFrame:
         if state is not None:
             yield _digest_frame([ended(state)])
 
-    return ordered.mapInPandas(run, DIGEST)
+    return ordered.mapInPandas(run, DIGEST).withColumn("conv_id", F.col("conv_id").cast(kind))
 
 
 def _digest_frame(rows: list) -> pd.DataFrame:
-    made = pd.DataFrame(rows, columns=[x.split()[0] for x in DIGEST.split(", ")])
-    return made.astype({"conv_id": "Int64"})
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in DIGEST.split(", ")])
