@@ -24,8 +24,8 @@ FIT_DOCS, FIT_CHARS = 120, 20_000
 ITERATIONS, RATE, RIDGE = 20, 0.4, 1e-3
 #: Size of the hashed feature space; letters of a word (a longer run of letters is several words); longest n-gram.
 SPACE, LETTERS, ORDER = 1 << 17, 20, 4
-#: Words that one pass of forward-backward holds; a longer text is several chains. Words that a worker remembers.
-CHAIN, KNOWN = 150_000, 200_000
+#: Words that one pass of forward-backward holds (a square number); a longer text passes its messages on from part to part. Words that a worker remembers.
+CHAIN, KNOWN = 387**2, 200_000
 UNKNOWN = "und"
 #: Mean probability below which no language is told: hardly more than a guess among four.
 LEAST = 0.3
@@ -82,11 +82,12 @@ class Crf:
         return out
 
 
-def forward_backward(scores: np.ndarray, starts: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def forward_backward(scores: np.ndarray, starts: np.ndarray, transitions: np.ndarray, before: np.ndarray | None = None, behind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Normalised forward and backward messages and potentials of chains that stand one after another; ``starts`` marks first words.
 
     The row of words is cut into equal blocks. Products of the blocks' transfer matrices carry the messages from block
-    to block, so all blocks advance together and no chain is cut; a start forgets what was before.
+    to block, so all blocks advance together and no chain is cut; a start forgets what was before. ``before`` is the
+    message of the last word ahead of the first one, ``behind`` (for a square number of words) the one that the last gets.
     """
     n, k = scores.shape
     size = max(1, int(np.sqrt(n)))
@@ -108,6 +109,10 @@ def forward_backward(scores: np.ndarray, starts: np.ndarray, transitions: np.nda
     for c in range(size):
         block = step(block, c)
     first, last = np.full((rows, k), 1 / k), np.full((rows, k), 1 / k)
+    if before is not None:
+        first[0] = before
+    if behind is not None:
+        last[-1] = behind
     for r in range(1, rows):
         moved = first[r - 1] @ block[r - 1]
         first[r] = moved / moved.sum()
@@ -219,11 +224,36 @@ class Labeller:
             self.known = np.concatenate([self.known, *parts])
         return np.concatenate(out) if out else np.zeros(0, np.int64), np.array(counts, np.int64)
 
-    def probabilities(self, rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        starts = np.zeros(len(rows), bool)
+    def probabilities(self, rows: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(first word, language probabilities) of consecutive words; whole texts share a pass, so none depends on what else is in it."""
         firsts = np.cumsum(counts) - counts
+        starts = np.zeros(len(rows), bool)
         starts[firsts[counts > 0]] = True
-        return marginals(self.known[rows].astype(float), starts, self.crf.transitions)
+        text = 0
+        while text < len(counts):
+            end = max(text + 1, int(np.searchsorted(firsts + counts, firsts[text] + CHAIN, "right")))
+            at, to = int(firsts[text]), int(firsts[end - 1] + counts[end - 1])
+            if to - at <= CHAIN:
+                if to > at:
+                    yield at, marginals(self.known[rows[at:to]].astype(float), starts[at:to], self.crf.transitions)
+            else:
+                yield from self._long(rows, starts, at, to)
+            text = end
+
+    def _long(self, rows: np.ndarray, starts: np.ndarray, at: int, to: int) -> Iterator[tuple[int, np.ndarray]]:
+        """One long text: a forward sweep over its parts keeps one message each, the backward sweep gives the probabilities."""
+        parts = [slice(i, min(i + CHAIN, to)) for i in range(at, to, CHAIN)]
+        a, message, messages = self.crf.transitions, None, []
+        for part in parts:
+            messages.append(message)
+            message = forward_backward(self.known[rows[part]].astype(float), starts[part], a, message)[0][-1]
+        behind = None
+        for part, message in zip(reversed(parts), reversed(messages), strict=True):
+            alpha, beta, potential = forward_backward(self.known[rows[part]].astype(float), starts[part], a, message, behind)
+            both = alpha * beta
+            yield part.start, both / both.sum(1, keepdims=True)
+            behind = np.exp(a - a.max()) @ (potential[0] * beta[0])
+            behind = behind / behind.sum()
 
     def documents(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """Language and mean probability of each text, in groups of texts that fit one pass."""
@@ -232,11 +262,9 @@ class Labeller:
             rows, counts = self.rows(group)
             sums = np.zeros((len(group), len(self.crf.languages)))
             owner = np.repeat(np.arange(len(group)), counts)
-            for i in range(0, len(rows), CHAIN):
-                part = slice(i, i + CHAIN)
-                p = self.probabilities(rows[part], np.bincount(owner[part] - owner[i]))
+            for i, p in self.probabilities(rows, counts):
                 for j in range(p.shape[1]):
-                    sums[:, j] += np.bincount(owner[part], p[:, j], len(group))
+                    sums[:, j] += np.bincount(owner[i : i + len(p)], p[:, j], len(group))
             best = sums.argmax(1)
             for i, n in enumerate(counts):
                 languages.append(self.crf.languages[best[i]] if n else UNKNOWN)
@@ -248,7 +276,9 @@ class Labeller:
         rows, counts = self.rows([text])
         if not len(rows):
             return []
-        best = self.probabilities(rows, counts).argmax(1)
+        best = np.zeros(len(rows), np.int64)
+        for i, p in self.probabilities(rows, counts):
+            best[i : i + len(p)] = p.argmax(1)
         cuts = [0, *(np.flatnonzero(np.diff(best)) + 1).tolist(), len(best)]
         return [{"first": a, "last": b - 1, "lang": self.crf.languages[best[a]]} for a, b in zip(cuts, cuts[1:], strict=False)]
 
