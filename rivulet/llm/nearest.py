@@ -2,7 +2,10 @@
 
 A bounded sample trains coarse centroids and one codebook per slice of the residual. Every vector is indexed under its
 nearest centroid. A query probes its nearest cells, ranks their vectors by asymmetric distance tables and reranks the
-best by exact distances.
+best by exact distances. How many cells it probes is measured on the sample, against brute force.
+
+Queries are sent to the tasks in blocks of bounded size; each task scans its part of the index, which lies in the order
+of the cells, and keeps the best few of each query. No vector is shuffled to a cell or a query.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,10 +24,12 @@ from rivulet.llm.common import materialise
 
 #: Distinct vectors that training reads at most; k-means steps; slices and codes a slice of the quantiser.
 TRAIN_ROWS, STEPS, SLICES, CODES = 20_000, 8, 16, 64
-#: Most cells; share of the cells that a query probes, and the least number; candidates that are reranked for each neighbour asked for, in each block of a cell.
-MAX_CELLS, PROBED, PROBES, RERANK = 4_096, 0.85, 48, 10
-#: Vectors of one block: larger cells are cut into blocks, so no task holds a whole cell.
-BLOCK = 4_096
+#: Vectors of a cell, on average, until the sample bounds the number of cells; least cells that a query probes; candidates that are reranked for each neighbour asked for, in each cell.
+CELL, PROBES, RERANK = 512, 8, 10
+#: Sampled queries, and the share of their true neighbours in the sample that the probed cells must hold.
+TRIALS, AIM = 400, 0.97
+#: Query vectors of one broadcast block.
+QUERIES = 20_000
 
 
 def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -49,6 +55,7 @@ class Index:
     centroids: np.ndarray
     books: np.ndarray
     dim: int
+    probed: int = PROBES
 
     def pad(self, x: np.ndarray) -> np.ndarray:
         return np.pad(x, ((0, 0), (0, self.books.shape[0] * self.books.shape[2] - self.dim)))
@@ -58,9 +65,10 @@ class Index:
         rest = self.pad(x - self.centroids[cells]).reshape(len(x), self.books.shape[0], -1)
         return cells, np.stack([_nearest(rest[:, s], self.books[s]) for s in range(len(self.books))], 1).astype(np.uint8)
 
-    def probes(self, q: np.ndarray, n: int) -> np.ndarray:
+    def probes(self, q: np.ndarray) -> np.ndarray:
+        """The cells that each query probes, nearest first."""
         d = (self.centroids**2).sum(1) - 2 * q @ self.centroids.T
-        return np.argsort(d, 1, kind="stable")[:, :n]
+        return np.argsort(d, 1, kind="stable")[:, : self.probed]
 
     def tables(self, q: np.ndarray, cell: int) -> np.ndarray:
         """Squared distances [query, slice, code] of the queries' residuals in a cell to all codes."""
@@ -68,18 +76,32 @@ class Index:
         return ((rest - self.books[None]) ** 2).sum(-1)
 
 
-def train(vectors: DataFrame, n: int, max_rows: int = TRAIN_ROWS, seed: int = 7) -> Index | None:
-    """Trains on at most ``max_rows`` distinct vectors, chosen by a hash of their values. Cells grow as the root of the number of vectors, to a bound."""
+def train(vectors: DataFrame, n: int, k: int = 10, max_rows: int = TRAIN_ROWS, seed: int = 7) -> Index | None:
+    """Trains on at most ``max_rows`` distinct vectors, chosen by a hash of their values."""
     rows = vectors.select("v").orderBy(F.xxhash64("v"), "v").limit(max_rows).toPandas()
     if not len(rows):
         return None
     x = np.array(rows.v.tolist(), float)
-    centroids = kmeans(x, int(min(MAX_CELLS, max(1, round(math.sqrt(n) / 2)), max(1, len(x) // 8))), seed)
+    centroids = kmeans(x, int(max(1, min(math.ceil(n / CELL), len(x) // 16))), seed)
     rest = x - centroids[_nearest(x, centroids)]
     width = -(-x.shape[1] // SLICES)
     rest = np.pad(rest, ((0, 0), (0, width * SLICES - x.shape[1]))).reshape(len(x), SLICES, width)
     books = np.stack([_fill(kmeans(rest[:, s], CODES, seed + s)) for s in range(SLICES)])
-    return Index(centroids, books, x.shape[1])
+    index = Index(centroids, books, x.shape[1])
+    index.probed = _depth(index, x, k)
+    return index
+
+
+def _depth(index: Index, x: np.ndarray, k: int) -> int:
+    """The number of cells that hold the share AIM of the k nearest of sampled queries. Neighbours in a sample are farther than in all rows, so it errs upwards."""
+    trials = x[: min(TRIALS, len(x))]
+    d = (x**2).sum(1) - 2 * trials @ x.T
+    d[np.arange(len(trials)), np.arange(len(trials))] = np.inf
+    near = np.argsort(d, 1, kind="stable")[:, : min(k, len(x) - 1)]
+    index.probed = len(index.centroids)
+    place = np.argsort(index.probes(trials), 1)  # rank of each cell
+    at = place[np.arange(len(trials))[:, None], _nearest(x, index.centroids)[near]].ravel()
+    return int(max(PROBES, np.quantile(at, AIM, method="higher") + 1 if len(at) else 1))
 
 
 def _fill(book: np.ndarray) -> np.ndarray:
@@ -95,12 +117,12 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def search(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The k nearest found of every query (rows whose id is divisible by ``every``): query_id, rank, vec_id, score (Euclidean distance of the original vectors).
+    """The k nearest found of every distinct query (rows whose id is divisible by ``every``): query_id, rank, vec_id, score (Euclidean distance of the original vectors).
 
     Ties go to the smaller id; a query's own row is no candidate. Equal vectors are one entry of the index: of their
     ids the k + 1 smallest can be among any k nearest, and only those are kept (a window limit, taken before the
     shuffle), so copies cost nothing and nothing is lost. Vectors of another length than the most common one are
-    searched among themselves. Null, zero and non-finite vectors take no part; repeated ids are rows of their own.
+    searched among themselves. Null, zero and non-finite vectors take no part; rows that repeat id and vector are one.
     """
     rows = usable(vectors, id_col, vector_col)
     sizes = [r.n for r in rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").collect()]
@@ -115,57 +137,73 @@ def _search(rows: DataFrame, k: int, every: int) -> DataFrame:
     spark = rows.sparkSession
     rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))  # -0.0 becomes 0.0, so equal vectors are equal keys
     by_vector = Window.partitionBy("v").orderBy("id")
-    kept = rows.withColumn("_n", F.row_number().over(by_vector)).where(F.col("_n") <= k + 1)
-    kept = materialise(kept.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")))
+    kept = rows.withColumn("_n", F.dense_rank().over(by_vector)).where(F.col("_n") <= k + 1)
+    kept = materialise(kept.groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids")))
     n = kept.count()
-    index = train(kept, n)
+    index = train(kept, n, k)
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shared = spark.sparkContext.broadcast(index)
-    probed, depth = min(len(index.centroids), max(PROBES, math.ceil(PROBED * len(index.centroids)))), RERANK * (k + 1)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             cells, codes = shared.value.encode(np.array(batch.v.tolist(), float).reshape(len(batch), -1))
             yield pd.DataFrame({"cell": cells, "ids": batch.ids, "v": batch.v, "code": [c.tobytes() for c in codes]})
 
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            cells = shared.value.probes(np.array(batch.v.tolist(), float).reshape(len(batch), -1), probed)
-            yield pd.DataFrame({"v": [v for v in batch.v for _ in range(probed)], "cell": cells.ravel()})
-
-    def scan(key, asked: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        made = {"v": [], "score": [], "ids": []}
-        if len(asked) and len(members):
-            q, x = np.array(asked.v.tolist(), float), np.array(members.v.tolist(), float)
-            codes = np.frombuffer(b"".join(members.code), np.uint8).reshape(len(members), -1)
-            smallest = members.ids.map(lambda ids: ids[0]).to_numpy()
-            for i, table in enumerate(shared.value.tables(q, int(key[0])) if len(q) <= 256 else _tables(shared.value, q, int(key[0]))):
-                near = table[np.arange(len(table)), codes].sum(1)
-                best = np.argpartition(near, depth - 1)[:depth] if depth < len(near) else np.arange(len(near))
-                exact = np.sqrt(((x[best] - q[i]) ** 2).sum(1))
-                order = np.lexsort((smallest[best], exact))
-                order = order[: k + 1]  # what comes later in a block is not among the k nearest of all others
-                made["v"] += [asked.v.iloc[i]] * len(order)
-                made["score"] += exact[order].tolist()
-                made["ids"] += [members.ids.iloc[j] for j in best[order]]
-        return pd.DataFrame({c: pd.Series(x, dtype=float if c == "score" else object) for c, x in made.items()})
-
-    indexed = materialise(kept.mapInPandas(encode, "cell int, ids array<long>, v array<double>, code binary"))
-    blocks = indexed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # MAX_CELLS rows at most
-    members = indexed.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    indexed = kept.mapInPandas(encode, "cell int, ids array<long>, v array<double>, code binary")
+    indexed = materialise(indexed.repartitionByRange("cell", F.xxhash64("v")).sortWithinPartitions("cell"))
     queries = rows.where(F.col("id") % every == 0).select("id", "v")
-    asked = queries.select("v").distinct().mapInPandas(probe, "v array<double>, cell int").join(F.broadcast(blocks), "cell")
-    asked = asked.select("v", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    found = asked.groupBy("cell", "block").cogroup(members.groupBy("cell", "block")).applyInPandas(scan, "v array<double>, score double, ids array<long>")
+    asked = materialise(queries.select("v").distinct())
+    blocks, found = math.ceil(asked.count() / QUERIES), None
+    for block in range(blocks):
+        q = asked.where(F.pmod(F.xxhash64("v"), F.lit(blocks)) == block).toPandas()
+        if not len(q):
+            continue
+        part = _scanned(indexed, shared, spark.sparkContext.broadcast(np.array(q.v.tolist(), float)), k)
+        part = materialise(part)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     # per distinct query vector: the k + 1 nearest ids; each of its queries then leaves itself out
     nearest = found.select("v", "score", F.explode("ids").alias("vec_id"))
     nearest = nearest.withColumn("_n", F.row_number().over(Window.partitionBy("v").orderBy("score", "vec_id"))).where(F.col("_n") <= k + 1)
-    pairs = queries.select(F.col("id").alias("query_id"), "v").join(nearest, "v").where("query_id != vec_id")
+    pairs = queries.distinct().select(F.col("id").alias("query_id"), "v").join(nearest, "v").where("query_id != vec_id")
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "v").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _tables(index: Index, q: np.ndarray, cell: int) -> Iterator[np.ndarray]:
-    for i in range(0, len(q), 256):
-        yield from index.tables(q[i : i + 256], cell)
+def _scanned(indexed: DataFrame, index: Broadcast, block: Broadcast, k: int) -> DataFrame:
+    """(v, score, ids) of the k + 1 best of each task for each query vector of the block. A task holds a batch of the index and its best so far."""
+    depth = RERANK * (k + 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q = block.value
+        probed = np.zeros((len(q), len(index.value.centroids)), bool)
+        for i in range(0, len(q), 1_000):
+            part = index.value.probes(q[i : i + 1_000])
+            probed[np.arange(i, i + len(part))[:, None], part] = True
+        best: dict[int, list[tuple]] = {}
+        for batch in batches:
+            x, cells = np.array(batch.v.tolist(), float).reshape(len(batch), -1), batch.cell.to_numpy()
+            codes = np.frombuffer(b"".join(batch.code), np.uint8).reshape(len(batch), -1)
+            for cell in np.unique(cells):
+                at = np.flatnonzero(cells == cell)
+                asked = np.flatnonzero(probed[:, cell])
+                for i in range(0, len(asked), 256):
+                    some = asked[i : i + 256]
+                    tables = index.value.tables(q[some], int(cell))
+                    near = sum(tables[:, s, codes[at, s]] for s in range(tables.shape[1]))
+                    top = np.argpartition(near, depth - 1, 1)[:, :depth] if depth < len(at) else np.broadcast_to(np.arange(len(at)), near.shape)
+                    exact = np.sqrt(((x[at[top]] - q[some][:, None]) ** 2).sum(2))
+                    for row, of in enumerate(some):
+                        mine = best.setdefault(int(of), [])
+                        worst = mine[-1][0] if len(mine) > k else np.inf
+                        closer = np.flatnonzero(exact[row] <= worst)
+                        if len(closer):
+                            new = [(exact[row, c], batch.ids.iloc[at[top[row, c]]]) for c in closer]
+                            best[int(of)] = sorted(mine + new, key=lambda m: (m[0], m[1][0]))[: k + 1]  # what comes later is not among the k nearest of all others
+        made = [(q[of], score, ids) for of, mine in best.items() for score, ids in mine]
+        for i in range(0, len(made), 10_000):
+            yield pd.DataFrame(made[i : i + 10_000], columns=["v", "score", "ids"])
+
+    return indexed.mapInPandas(run, "v array<double>, score double, ids array<long>")
