@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -408,3 +409,81 @@ def test_passes_of_few_words_have_shingles(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     got = {r.doc_id: r.n_shingles for r in jaccard_join._members(docs.select(docs.doc_id.cast("string"), "text"), 5).collect()}
     assert got == {"0": 1, "1": 1, "2": 2}
+
+
+# texts, ids and groups that once went wrong
+
+
+def test_repeated_queries_have_distinct_neighbours(spark):
+    rows = [(i, [float(i % 7), float(i), 2.0]) for i in range(40)] + [(100, [1.0, 9.0, 2.0])] * 3
+    got = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("query_id = 100").orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, 11))
+    assert len({r.vec_id for r in got}) == 10
+
+
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_recall_with_and_without_clusters(spark, clusters):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 24)) + (rng.normal(size=(clusters, 24)) * 4)[rng.integers(0, clusters, 6000)] if clusters else rng.normal(size=(6000, 24))
+    got = nearest.search(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).toPandas()
+    hits = 0
+    for q, found in got.groupby("query_id"):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        assert np.allclose(found.score, d[found.vec_id])
+        hits += len(set(found.vec_id) & set(np.argsort(d)[:10].tolist()))
+    assert hits >= 0.9 * 600
+
+
+def test_large_ids_beside_a_null_stay_apart(spark):
+    ids = [None, 2**53, 2**53 + 1, 2**53 + 2]
+    turns = spark.createDataFrame([(i, 0, "user", f"text {i}") for i in ids], "conv_id long, turn long, role string, text string").coalesce(1)
+    got = chat.conversation_digests(chat.format_turns(turns.withColumn("segment", turns.text))).collect()
+    assert {r.conv_id for r in got} == set(ids)
+    assert all(r.n_turns == 1 for r in got)
+
+
+@pytest.mark.parametrize("text", ["-" * 20_000, "=-" * 5_000, "a" * 5_001 + "b" * 4_000, "é-" * 3_000])
+def test_long_pieces_are_encoded_as_whole_ones(text):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = byte_bpe.load_ranks(None, path)
+    direct = tiktoken.Encoding("direct", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    bpe = byte_bpe.Bpe(ranks, public_tokenizers.PATTERN)
+    began = time.time()
+    ids = bpe.encode(text)
+    assert time.time() - began < 5
+    assert np.frombuffer(ids, "<u4").tolist() == direct.encode_ordinary(text)
+    assert bpe.decode(ids) == text.encode()
+
+
+def test_a_text_scores_alike_in_any_company(monkeypatch):
+    rng = np.random.default_rng(0)
+    crf = language_id.Crf(list("abcd"), rng.normal(size=(language_id.SPACE + 1, 4)).astype(np.float32), rng.normal(size=(4, 4)))
+    crf.weights[language_id.SPACE] = 0
+    words = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(300)]
+    texts = [" ".join(rng.choice(words, n)) for n in (30, 900, 2500, 40)]
+    whole = [language_id.Labeller(crf).documents([t]) for t in texts]
+    monkeypatch.setattr(language_id, "CHAIN", 20**2)  # long texts now pass their messages from part to part
+    languages, scores = language_id.Labeller(crf).documents([*texts, texts[0]])
+    for i, (alone_in, score) in enumerate(whole):
+        assert languages[i] == alone_in[0] and abs(scores[i] - score[0]) < 1e-9
+    assert abs(scores[4] - scores[0]) < 1e-9
+
+
+@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
+def test_families_of_edits_and_short_strangers(spark, width, percent):
+    rng = np.random.default_rng(width)
+    words, texts = [f"w{i}" for i in range(200)], []
+    for _ in range(400):
+        texts.append(" ".join(rng.choice(words[:40], rng.integers(1, 30))))
+    for size in (12, 40, 120):
+        base = list(rng.choice(words, size))
+        for _ in range(60):
+            copy = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 3, 4, 6, 9])):
+                at = int(rng.integers(len(copy)))
+                copy[at : at + int(rng.integers(0, 2))] = [str(rng.choice(words))] if rng.random() < 0.7 else []
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = jaccard_join.join_components(docs, width, percent).toPandas()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.itertuples()} == _linked(dict(enumerate(texts)), width, percent)
