@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from rivulet.llm.common import Scratch, free_shuffles, materialise, text_or_empty
 from rivulet.llm.components import components
 
-#: Up to so many differences two levels are used; second-level parts; spare first-level partitions with one and two levels.
-TWO_LEVELS, PARTS, SPARE = 12, 3, 1
+#: Up to so many differences two levels are used; second-level parts; differences for each spare partition of a single level.
+TWO_LEVELS, PARTS, SPARE = 12, 3, 6
 #: Partitions that a set tries whose shingles leave regions empty; rounds in which buckets meet their most connected member.
 SEEDS, HUB_ROUNDS = 8, 2
 #: Sets that a task remembers, to sign copies once; bytes of text in a pass.
@@ -127,8 +127,8 @@ def _regions(shingles: np.ndarray, seed: np.uint64, n1: int, two: bool) -> tuple
     return made, count > 0, int((count == 0).any(1).sum())
 
 
-def signatures(shingles: np.ndarray, number: int, end: int, percent: int) -> np.ndarray:
-    """The set's signatures for one band.
+def signatures(shingles: np.ndarray, number: int, end: int, percent: int) -> tuple[np.ndarray, int]:
+    """The set's signatures for one band, and how many of them it has in common with any similar set, at least.
 
     With one level there are more partitions than k, so at least ``n1 - k`` are equal in similar sets; with two levels at
     least ``n1 - k // 2`` differ in one place at most and then one enumerated subset is equal. Regions without a shingle
@@ -139,17 +139,17 @@ def signatures(shingles: np.ndarray, number: int, end: int, percent: int) -> np.
     k = differences(end, percent)
     seed = np.uint64((number + 1) * 0x5851F42D4C957F2D & 0xFFFFFFFFFFFFFFFF)
     if k == 0:
-        return _mix(np.array([shingles.sum(dtype=np.uint64)], np.uint64) + seed)
+        return _mix(np.array([shingles.sum(dtype=np.uint64)], np.uint64) + seed), 1
     two = k <= TWO_LEVELS
-    n1 = k // 2 + 1 if two else k + 1 + SPARE + (k // 12 if percent < 85 else 0)
+    n1 = k // 2 + 1 if two else k + 2 + k // SPARE
     enough, found = n1 - (k // 2 if two else k), []
     for _ in range(SEEDS):
         made, filled, weak = _regions(shingles, seed, n1, two)
         found.append(made[filled])
         if weak < enough:
-            return np.concatenate(found)
+            return np.concatenate(found), 1 if two or len(found) > 1 else enough - weak
         seed = _mix(seed[None] + _A)[0]
-    return np.concatenate([*found, made[~filled]])
+    return np.concatenate([*found, made[~filled]]), 1
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -187,12 +187,15 @@ def _members(rows: DataFrame, width: int) -> DataFrame:
 
 
 def _signed(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Per set, once in a task: id, n (its shingles) and signatures (array<long>). They go straight to the shuffle; as a table they would be larger than the texts."""
+    """Per set, once in a task, and for each of its two bands: id, meta and signatures (array<long>). They go straight to the shuffle; as a table they would be larger than the texts.
+
+    ``meta`` packs the number of shingles, the least number of signatures in common with a similar set, and which band it is.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends, seen = band_ends(percent, 1000), set()
         for part in _passes(batches):
-            keys, sizes, made = [], [], []
+            keys, metas, made = [], [], []
             for shingles in shingle_sets(part.column("text").to_pylist(), width):
                 n, key = len(shingles), set_id(shingles)
                 if not n or key in seen:
@@ -203,13 +206,14 @@ def _signed(rows: DataFrame, width: int, percent: int) -> DataFrame:
                 if ends[-1] < n:
                     ends = band_ends(percent, n)
                 i = int(np.searchsorted(ends, n))
-                above = (ends[i] + 1) * 100 // percent
-                keys.append(key)
-                sizes.append(n)
-                made.append(np.concatenate([signatures(shingles, i, ends[i], percent), signatures(shingles, i + 1, above, percent)]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), _lists(made)], ["id", "n", "signatures"])
+                for which, end in enumerate((ends[i], (ends[i] + 1) * 100 // percent)):
+                    found, least = signatures(shingles, i + which, end, percent)
+                    keys.append(key)
+                    metas.append(n << 17 | min(least, 0xFFFF) << 1 | which)
+                    made.append(found)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(metas, pa.int64()), _lists(made)], ["id", "meta", "signatures"])
 
-    return rows.select("text").mapInArrow(run, "id long, n long, signatures array<long>")
+    return rows.select("text").mapInArrow(run, "id long, meta long, signatures array<long>")
 
 
 def _needed_sets(rows: DataFrame, members: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -243,14 +247,31 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("common") * 100 >= F.col("all") * percent).select("a", "b")
 
 
-def _mixed(rest: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of buckets that still hold several components, with their labels. Minima per bucket come before the join, so a hot bucket is no group of one task."""
-    known = labels.select(F.col("node").alias("id"), "label")
-    rest = rest.select("sig", "id", "n").join(known, "id", "left").withColumn("label", F.coalesce("label", "id"))
+def _several(rest: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components. Minima per bucket come before the join, so a hot bucket is no group of one task."""
     several = rest.groupBy("sig").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low != _high").select("sig")
     return rest.join(several, "sig", "left_semi")
 
 
+def _open(scratch: Scratch, rest: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows, with their labels, that can still hold a link between components.
+
+    A set that shares fewer signatures of a band with other components than similar sets must leaves that band, whereupon
+    its buckets hold fewer; this goes on while it takes away much. Documents that share a passage only part here.
+    """
+    known = labels.select(F.col("node").alias("id"), "label")
+    rest = scratch.table(_several(rest.drop("label").join(known, "id", "left").withColumn("label", F.coalesce("label", "id"))))
+    left = rest.count()
+    while left:
+        bands = rest.groupBy("id", "meta").agg(F.count("*").alias("_shared")).where((F.col("_shared") >= F.shiftright("meta", 1).bitwiseAND(0xFFFF)))
+        rest = scratch.table(_several(rest.join(bands.drop("_shared"), ["id", "meta"], "left_semi")))
+        before, left = left, rest.count()
+        if left > 0.9 * before:
+            break
+    free_shuffles(rest.sparkSession)
+    return rest
+
+
 def _hub_pairs(rest: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
     """Each set with the most connected member of other components that is the hub of one of its buckets and was not tried."""
     degree = rest.groupBy("id").agg(F.count("*").alias("degree"))  # a family's common ancestor stands in more shared buckets than its offspring
@@ -306,10 +327,10 @@ def _rare_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _labelled(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, text_hash, set_id, n_shingles) of ``docs`` and, per set that has links, set_id and label, the smallest set_id of its component.
 
-    Rows of equal sets are one class (set_id); only classes are joined. Each member of a signature's bucket is compared
-    with a hub of the bucket, then in turn with the most connected members that are still apart; these comparisons are
-    as many as members. Buckets that still hold several components compare those of their members that have a rare
-    shingle in common. So no link that could join components is lost, while copies, families of near copies and their
+    Rows of equal sets are one class (set_id); only classes are joined. Sets that share too few signatures with others
+    leave first. The others are compared with the most connected members of their buckets that are still apart from
+    them; these comparisons are as many as members. Buckets that then hold several components compare those of their
+    members that have a rare shingle in common. So no link that could join components is lost, while copies, families of near copies and their
     too distant relatives cost a few comparisons a member. Sets are compared by 64-bit shingle hashes.
     """
     spark = docs.sparkSession
@@ -317,23 +338,22 @@ def _labelled(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
     every = materialise(_members(rows, width))
     members = every.where("n_shingles > 0")
     with Scratch(spark) as scratch:
-        exploded = _signed(rows, width, percent).select(F.explode("signatures").alias("sig"), "id", "n")
+        exploded = _signed(rows, width, percent).select(F.explode("signatures").alias("sig"), "id", "meta")
         bucket = Window.partitionBy("sig")
-        buckets = exploded.select("*", F.min("id").over(bucket).alias("hub"), F.max("id").over(bucket).alias("last")).where("hub != last")
+        buckets = exploded.select("*", F.min("id").over(bucket).alias("_low"), F.max("id").over(bucket).alias("_high")).where("_low != _high")
         # most signatures stand alone and are gone before copies of other tasks are left out
-        rest = scratch.table(buckets.select("sig", "id", "n", "hub").distinct())
+        rest = scratch.table(buckets.select("sig", "id", "meta", F.shiftright("meta", 17).alias("n")).distinct())
         del exploded, buckets
         free_shuffles(spark)
-        # candidates stand in at most as many rows as signatures; their sets are computed once
-        wanted = scratch.table(rest.select(F.col("id").alias("set_id")).distinct())
-        sets = scratch.table(_needed_sets(rows, members, wanted, width))
-        pairs = scratch.table(rest.groupBy("id").agg(F.min("hub").alias("hub")).where("hub != id").select(F.col("hub").alias("a"), F.col("id").alias("b")))
-        tried, links = pairs, scratch.table(_verified(pairs, sets, percent))
-        labels = components(links)
+        links = tried = scratch.table(spark.createDataFrame([], "a long, b long"))
+        labels, sets = links.select(F.col("a").alias("node"), F.col("b").alias("label")), None
         for step in range(HUB_ROUNDS + 1):
-            rest = scratch.table(_mixed(rest, labels))
+            rest = _open(scratch, rest, labels)
             if rest.isEmpty():
                 break
+            if sets is None:  # those of all candidates are computed once
+                sets = scratch.table(_needed_sets(rows, members, scratch.table(rest.select(F.col("id").alias("set_id")).distinct()), width))
+                free_shuffles(spark)
             pairs = scratch.table(_hub_pairs(rest, tried, percent) if step < HUB_ROUNDS else _rare_pairs(rest, sets, percent))
             found = scratch.table(_verified(pairs, sets, percent))
             tried, links = tried.unionByName(pairs), links.unionByName(found)

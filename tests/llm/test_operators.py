@@ -384,12 +384,16 @@ def test_similar_sets_share_a_signature():
                 cut = int(rng.integers(0, extra + 1))
                 a = np.unique(np.concatenate([common_part, rng.integers(1, 1 << 63, cut, dtype=np.uint64)]))
                 b = np.unique(np.concatenate([common_part, rng.integers(1, 1 << 63, extra - cut, dtype=np.uint64)]))
-                made = []
+                made, least = [], []
                 for s in (a, b):
                     k = jaccard_join.band(len(s), percent)
                     ends = jaccard_join.band_ends(percent, 2000)
-                    made.append({int(x) for j in (k, k + 1) for x in jaccard_join.signatures(s, j, ends[j], percent)})
+                    least.append({j: jaccard_join.signatures(s, j, ends[j], percent) for j in (k, k + 1)})
+                    made.append({int(x) for j in (k, k + 1) for x in jaccard_join.signatures(s, j, ends[j], percent)[0]})
                 assert made[0] & made[1]
+                for j in set(least[0]) & set(least[1]):
+                    common_here = set(least[0][j][0].tolist()) & set(least[1][j][0].tolist())
+                    assert len(common_here) >= max(least[0][j][1], least[1][j][1])
 
 
 def test_rows_that_repeat_an_id_stay_unless_they_are_copies(spark):
