@@ -345,8 +345,8 @@ def _labelled(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
         rest = scratch.table(buckets.select("sig", "id", "meta", F.shiftright("meta", 17).alias("n")).distinct())
         del exploded, buckets
         free_shuffles(spark)
-        links = tried = scratch.table(spark.createDataFrame([], "a long, b long"))
-        labels, sets = links.select(F.col("a").alias("node"), F.col("b").alias("label")), None
+        links = tried = spark.createDataFrame([], "a long, b long")
+        labels, sets = spark.createDataFrame([], "node long, label long"), None  # outlives the scratch tables if nothing is linked
         for step in range(HUB_ROUNDS + 1):
             rest = _open(scratch, rest, labels)
             if rest.isEmpty():
