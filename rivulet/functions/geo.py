@@ -47,6 +47,29 @@ def polyline_length(points: Column) -> Column:
     return _along(points, lambda a, b: haversine(a["x"], a["y"], b["x"], b["y"]))
 
 
+def planar_length(points: Column) -> Column:
+    """Metres along a line of lon/lat points, each step on the plane that touches at its mean latitude."""
+    return _along(points, lambda a, b: planar_distance(a["x"], a["y"], b["x"], b["y"]))
+
+
+def row_col(lon: Column, lat: Column, xll: float, yll: float, cellsize: float, nrows: int) -> tuple[Column, Column]:
+    """Row (from the north) and column of the cell that a point lies in."""
+    return (nrows - 1 - F.floor((lat - yll) / cellsize)).cast("int"), F.floor((lon - xll) / cellsize).cast("int")
+
+
+def cell_centre(i: Column, j: Column, xll: float, yll: float, cellsize: float, nrows: int) -> tuple[Column, Column]:
+    """Longitude and latitude of a cell's centre."""
+    return (j + 0.5) * cellsize + xll, (nrows - 0.5 - i) * cellsize + yll
+
+
+def cell_area_km2(i: Column, yll: float, cellsize: float, nrows: int) -> Column:
+    """Area of a cell of row i; cells of more than half a unit are in metres already."""
+    if abs(cellsize) > 0.5:
+        return F.lit(cellsize * cellsize / 1e6)
+    lat = (nrows - i - 0.5) * cellsize + yll
+    return F.cos(F.radians(lat)) * (cellsize * LON_M) * (cellsize * LAT_M) / 1e6
+
+
 def polygon_area_km2(ring: Column) -> Column:
     """Area of a closed lon/lat ring, planar at its mean latitude."""
     twice = _along(ring, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
@@ -75,7 +98,7 @@ def to_gcj(lon: Column, lat: Column) -> tuple[Column, Column]:
     return F.when(inside, lon + dlon).otherwise(lon), F.when(inside, lat + dlat).otherwise(lat)
 
 
-def from_gcj(lon: Column, lat: Column, rounds: int = 2) -> tuple[Column, Column]:
+def from_gcj(lon: Column, lat: Column, rounds: int = 4) -> tuple[Column, Column]:
     """GCJ-02 to WGS-84 by fixed-point steps: each takes off the shift of the last guess."""
     x, y = lon, lat
     for _ in range(rounds):

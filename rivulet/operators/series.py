@@ -33,7 +33,7 @@ def detect_interval(series: DataFrame, key: str = "station", ts: str = "ts", def
 
 
 def gaps(series: DataFrame, step: int, key: str = "station", ts: str = "ts", most: int | None = 20) -> DataFrame:
-    """(key, gap_no, gap_start, gap_end, steps): where neighbours are more than a step apart; the first ``most`` of a series (the report's length)."""
+    """(key, gap_no, gap_start, gap_end, steps): where neighbours are more than a step apart; the first ``most`` of a series (the report's length, None for all; ``gap_totals`` counts all)."""
     order = Window.partitionBy(key).orderBy(ts)
     beside = series.select(key, F.col(ts).alias("gap_start"), F.lead(ts).over(order).alias("gap_end"))
     found = beside.withColumn("steps", (F.round(seconds_between(F.col("gap_start"), F.col("gap_end")) / step) - 1).cast("long")).where("steps > 0")
@@ -41,6 +41,11 @@ def gaps(series: DataFrame, step: int, key: str = "station", ts: str = "ts", mos
     return found if most is None else found.where(F.col("gap_no") <= most)
 
 
+def gap_totals(series: DataFrame, step: int, key: str = "station", ts: str = "ts") -> DataFrame:
+    """(key, n_gaps, missing_steps) over all gaps of a series; series without gaps have no row."""
+    return gaps(series, step, key, ts, None).groupBy(key).agg(F.count("*").alias("n_gaps"), F.sum("steps").alias("missing_steps"))
+
+
 def quality(series: DataFrame, step: int, key: str = "station", ts: str = "ts") -> DataFrame:
     """Per series: n (distinct times), duplicates, start, end, expected, missing, missing_rate, status."""
     each = series.groupBy(key, ts).agg(F.count("*").alias("_c"))

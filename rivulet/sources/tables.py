@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rivulet.functions.parse import norm_key, parse_time, parse_value
@@ -52,7 +54,6 @@ def sniff_delimiter(lines: list[str]) -> str:
 
 def column_roles(header: list[str]) -> dict[str, list[int]]:
     """Positions of the time column (0 if none tells), station columns and the others. Latin hints must be the whole header or one of its words."""
-    import re
 
     def told(name: str, hints: tuple[str, ...]) -> bool:
         words = re.split(r"[^a-z0-9]+", name.strip().lower())
@@ -81,23 +82,37 @@ def parse_long_values(rows: DataFrame, scale: float = 1.0) -> DataFrame:
     return out.where("ts is not null and value is not null")
 
 
+#: What a date at the beginning of a cell looks like; a whole number.
+_DATE, _NUMBER = re.compile(r"\d{4}[-/.]\d{1,2}|\d{8}(\d{2,6})?$"), re.compile(r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$")
+
+
+def value_roles(cells: list[str]) -> dict[str, list[int]]:
+    """Roles of the columns of a line without header: the first date, a text (the station), and the numbers."""
+    time = next(i for i, c in enumerate(cells) if _DATE.match(c))
+    rest = [i for i in range(len(cells)) if i != time]
+    station = [i for i in rest if cells[i] and not _NUMBER.match(cells[i]) and not _DATE.match(cells[i])][:1]
+    return {"time": [time], "station": station, "value": [i for i in rest if i not in station and (_NUMBER.match(cells[i]) or not cells[i])]}
+
+
 def read_series_text(spark: SparkSession, path: str) -> DataFrame:
     """(station, ts, value) of every file at ``path``, long or wide; station of a file without such a column is the file's name.
 
-    The first lines of each file (at most five) go to the driver to tell its delimiter and columns.
+    The first lines of each file that are not blank (at most five) go to the driver to tell its delimiter and columns. A
+    file whose first line holds a date has no header: its columns are told by what that line holds.
     """
     lines = text_files(spark, path).where("trim(line) != ''")
-    heads = lines.where("line_no < 5").orderBy("path", "line_no").collect()
+    numbered = lines.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy("line_no")))
+    heads = numbered.where("_n <= 5").orderBy("path", "line_no").collect()
     parts = None
     for name in sorted({r.path for r in heads}):
         first = [r.line for r in heads if r.path == name]
+        begin = min(r.line_no for r in heads if r.path == name)
         mark = sniff_delimiter(first)
         pattern = mark if mark == r"\s+" else rf"{mark}(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"
-        import re
-
         header = [h.strip(' "') for h in re.split(pattern, first[0])]
-        roles = column_roles(header)
-        cells = lines.where(F.col("path") == name).where("line_no > 0").select(F.split("line", pattern).alias("c"))
+        bare = any(_DATE.match(h) for h in header)
+        roles = value_roles(header) if bare else column_roles(header)
+        cells = lines.where(F.col("path") == name).where(F.col("line_no") >= begin + (0 if bare else 1)).select(F.split("line", pattern).alias("c"))
         cells = cells.select(*[F.trim(F.translate(F.get("c", F.lit(i)), '"', "")).alias(f"c{i}") for i in range(len(header))])
         time = f"c{roles['time'][0]}"
         if roles["station"]:
@@ -107,7 +122,7 @@ def read_series_text(spark: SparkSession, path: str) -> DataFrame:
             part = parse_long(cells, time, F.lit(stem), f"c{roles['value'][0]}")
         else:
             part = parse_wide(cells, time, [f"c{i}" for i in roles["value"]])
-            names = F.create_map(*[x for i in roles["value"] for x in (F.lit(f"c{i}"), F.lit(header[i]))])
+            names = F.create_map(*[x for i in roles["value"] for x in (F.lit(f"c{i}"), F.lit(f"c{i}" if bare else header[i]))])
             part = part.withColumn("station", names[F.col("station")])
         parts = part if parts is None else parts.unionByName(part)
     return parts if parts is not None else spark.createDataFrame([], "station string, ts timestamp_ntz, value double")

@@ -1,8 +1,12 @@
 """Hand-made rasters and networks."""
 
+import math
+
 import numpy as np
+from pyspark.sql import functions as F
 
-from rivulet.operators import grid, network
+from rivulet.functions import geo
+from rivulet.operators import attach, grid, network
 
 
 def _cells(spark, z):
@@ -69,3 +73,18 @@ def test_nearest_equals_brute_force(spark):
     got = {r.id: r.target for r in grid.nearest(points, targets).collect()}
     d = np.hypot(*(a[:, None] - b[None]).transpose(2, 0, 1))
     assert got == dict(enumerate(d.argmin(1).tolist()))
+
+
+def test_nearest_edge_with_ties_bounds_and_single_points(spark):
+    lines = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 10.0, 0.0), (2, 0, 0.0, 4.0), (2, 1, 10.0, 4.0), (3, 0, 50.0, 50.0)], "edge long, k long, x double, y double")
+    points = spark.createDataFrame([(1, 2.5, 1.0), (2, 5.0, 2.0), (3, 12.0, 4.0), (4, 90.0, 90.0)], "id long, x double, y double")
+    got = {r.id: (r.edge, round(r.distance, 6), round(r.ratio, 6)) for r in attach.nearest_edge(points, lines).collect()}
+    assert got[1] == (1, 1.0, 0.25) and got[2] == (1, 2.0, 0.5) and got[3] == (2, 2.0, 1.0) and got[4][0] == 2
+    assert {r.id for r in attach.nearest_edge(points, lines, most=2.0).collect()} == {1, 2, 3}
+    assert attach.nearest_edge(points, lines.limit(0)).count() == 0
+
+
+def test_cells_of_points_and_their_areas(spark):
+    row = spark.range(1).select(*geo.row_col(F.lit(110.26), F.lit(30.49), 110.0, 30.0, 0.1, 10), *geo.cell_centre(F.lit(5), F.lit(2), 110.0, 30.0, 0.1, 10), geo.cell_area_km2(F.lit(5), 30.0, 0.1, 10)).head()
+    assert tuple(row)[:2] == (5, 2) and abs(row[2] - 110.25) < 1e-9 and abs(row[3] - 30.45) < 1e-9
+    assert abs(row[4] - math.cos(math.radians(30.45)) * 11132.0 * 11054.0 / 1e6) < 1e-6

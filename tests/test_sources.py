@@ -68,3 +68,17 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r.event_type, r.ts.date()): round(r.value, 4) for r in spark.table("resampled").collect()}
     batch = series.resample(events, 86400, "sum", "event_type")
     assert got == {(r.event_type, r.ts.date()): round(r.value, 4) for r in batch.collect()}
+
+
+def test_blank_first_lines_and_files_without_a_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\n" * 7 + "time,station,value\n2024-01-01,north,1\n2024-01-02,north,2\n")
+    (tmp_path / "b.csv").write_text("2024-01-01,south,3\n2024-01-02,south,4\n")
+    (tmp_path / "c.csv").write_text("2024-01-01,5\n2024-01-02,6\n")
+    got = {(r.station, r.ts.day, r.value) for r in tables.read_series_text(spark, str(tmp_path / "*.csv")).collect()}
+    assert got == {("north", 1, 1.0), ("north", 2, 2.0), ("south", 1, 3.0), ("south", 2, 4.0), ("c", 1, 5.0), ("c", 2, 6.0)}
+
+
+def test_gap_totals_count_all_gaps(spark):
+    rows = spark.createDataFrame([("a", dt.datetime(2024, 1, 1) + dt.timedelta(days=2 * i), 1.0) for i in range(31)], "station string, ts timestamp_ntz, value double")
+    assert series.gaps(rows, 86400).count() == 20
+    assert [(r.n_gaps, r.missing_steps) for r in series.gap_totals(rows, 86400).collect()] == [(30, 30)]
