@@ -101,7 +101,7 @@ def glue_coverage(spark, sf_dir):
     return search.band_coverage(bands, obs, ["unit", "ts"], ["unit"]).withColumn("coverage", r("coverage"))
 
 
-@query(GLUE_SQL + " SELECT unit, 'a' AS param, round(min(a), 4) AS low, round(max(a), 4) AS high FROM b GROUP BY unit UNION ALL SELECT unit, 'b', round(min(b), 4), round(max(b), 4) FROM b GROUP BY unit")
+@query(GLUE_SQL + " SELECT unit, 'a' AS param, round(min(a), 4)::DOUBLE AS low, round(max(a), 4)::DOUBLE AS high FROM b GROUP BY unit UNION ALL SELECT unit, 'b', round(min(b), 4)::DOUBLE, round(max(b), 4)::DOUBLE FROM b GROUP BY unit")
 def glue_ranges(spark, sf_dir):
     kept, _, _ = _glue(spark, sf_dir)
     return search.posterior_ranges(kept, ["unit"], ["a", "b"]).withColumns({"low": r("low"), "high": r("high")})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.operators import grid, network
+from rivulet.operators import attach, grid, network
 from rivulet.plans.common import query, r
 from rivulet.sources.tables import table
 
@@ -72,12 +72,14 @@ x AS (SELECT a AS id, 0 AS i, 1 AS o FROM e UNION ALL SELECT b, 1, 0 FROM e)
 SELECT id, sum(i)::BIGINT AS n_in, sum(o)::BIGINT AS n_out, CASE WHEN sum(i) = 0 THEN 'source' WHEN sum(o) = 0 THEN 'outlet' WHEN sum(i) >= 2 THEN 'junction' ELSE 'node' END AS kind FROM x GROUP BY id""")
 def node_kinds(spark, sf_dir):
     c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
-    edges = c.join(s, F.col("c_custkey") % 10 == F.col("s_suppkey") % 10).select(F.col("c_nationkey").alias("from_node"), (F.col("s_nationkey") + 100).alias("to_node")).distinct()
+    start = c.select(F.col("c_nationkey").alias("from_node"), (F.col("c_custkey") % 10).alias("k")).distinct()
+    end = s.select((F.col("s_nationkey") + 100).alias("to_node"), (F.col("s_suppkey") % 10).alias("k")).distinct()
+    edges = start.join(end, "k").select("from_node", "to_node").distinct()
     return network.node_kinds(edges)
 
 
 #: Parts as a grid of 50 columns, with pits.
-CELLS = "cells AS (SELECT (p_partkey // 50)::INT AS i, (p_partkey % 50)::INT AS j, 0.1 * ((p_partkey * 37) % 1009) + 0.01 * (p_partkey // 50) AS z FROM part)"
+CELLS = "cells AS (SELECT (p_partkey // 50)::INT AS i, (p_partkey % 50)::INT AS j, (0.1::DOUBLE * ((p_partkey * 37) % 1009) + 0.01::DOUBLE * (p_partkey // 50))::DOUBLE AS z FROM part)"
 D8_SQL = f"""{CELLS}, w(k, di, dj, dist, code) AS (VALUES {', '.join(str((k, a, b, d, c)) for k, (a, b, d, c) in enumerate(grid.D8))}),
 best AS (SELECT c.i, c.j, arg_max({{'code': w.code, 'i': n.i, 'j': n.j}}, ((c.z - n.z) / w.dist, -w.k)) AS b FROM cells c, w JOIN cells n ON n.i = c.i + w.di AND n.j = c.j + w.dj WHERE (c.z - n.z) / w.dist > 0 GROUP BY c.i, c.j),
 flow AS (SELECT c.i, c.j, c.z, coalesce(b.code, 0)::INT AS code, b.i AS down_i, b.j AS down_j FROM cells c LEFT JOIN best USING (i, j))"""
@@ -153,3 +155,20 @@ def thiessen_weights(spark, sf_dir):
     points, stations = _stations(spark, sf_dir)
     near = grid.nearest(points, stations).join(points.select("id", F.col("label").alias("zone")), "id").withColumnRenamed("target", "station")
     return grid.thiessen_weights(near, "zone", "station").withColumn("weight", r("weight"))
+
+
+LINES = f"""{XY}, pt AS (SELECT vec_id AS id, embedding[3]::DOUBLE AS px, embedding[4]::DOUBLE AS py FROM embeddings),
+ln AS (SELECT label AS edge, x AS ax, y AS ay, lead(x) OVER o AS ex, lead(y) OVER o AS ey, row_number() OVER o AS k FROM xy WINDOW o AS (PARTITION BY label ORDER BY vec_id)),
+sg AS (SELECT *, sqrt((ex - ax) ** 2 + (ey - ay) ** 2) AS len FROM ln WHERE ex IS NOT NULL),
+s2 AS (SELECT *, sum(len) OVER (PARTITION BY edge ORDER BY k) - len AS ahead, sum(len) OVER (PARTITION BY edge) AS total FROM sg),
+m AS (SELECT id, edge, k, ahead, total, len, px, py, ax, ay, ex, ey, CASE WHEN len = 0 THEN 0 ELSE least(1, greatest(0, ((px - ax) * (ex - ax) + (py - ay) * (ey - ay)) / (len * len))) END AS u FROM pt, s2),
+d AS (SELECT id, edge, k, (ahead + u * len) / total AS ratio, sqrt((px - ax - u * (ex - ax)) ** 2 + (py - ay - u * (ey - ay)) ** 2) AS distance FROM m)"""
+
+
+@query(f"WITH {LINES} SELECT id, arg_min(edge, (distance, edge, k)) AS edge, round(min(distance), 6) AS distance, round(arg_min(ratio, (distance, edge, k)), 4) AS ratio FROM d GROUP BY id")
+def nearest_edge(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    at = lambda k: F.get("embedding", F.lit(k)).cast("double")
+    lines = vectors.select(F.col("label").alias("edge"), F.col("vec_id").alias("k"), at(0).alias("x"), at(1).alias("y"))
+    points = vectors.select(F.col("vec_id").alias("id"), at(2).alias("x"), at(3).alias("y"))
+    return attach.nearest_edge(points, lines).withColumns({"distance": r("distance", 6), "ratio": r("ratio")})
