@@ -54,3 +54,8 @@ def nearest_edge(points: DataFrame, lines: DataFrame, most: float | None = None)
         if left.isEmpty():
             return done
         width *= 4
+
+
+def extent(lines: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., x_min, y_min, x_max, y_max) of vertices (by..., x, y)."""
+    return lines.groupBy(*by).agg(F.min("x").alias("x_min"), F.min("y").alias("y_min"), F.max("x").alias("x_max"), F.max("y").alias("y_max"))

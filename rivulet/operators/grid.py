@@ -135,3 +135,10 @@ def thiessen_weights(assigned: DataFrame, zone: str, station: str) -> DataFrame:
     """(zone, station, cells, weight): each station's share of a zone's cells."""
     each = assigned.groupBy(zone, station).agg(F.count("*").alias("cells"))
     return each.withColumn("weight", F.col("cells") / F.sum("cells").over(Window.partitionBy(zone)))
+
+
+def around(points: DataFrame, cells: DataFrame, value: str, reach: int) -> DataFrame:
+    """(id, low, high): extremes of ``value`` over the cells within ``reach`` rows and columns of each point (id, i, j); null where none is."""
+    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)])
+    sent = points.select("id", "i", "j", F.explode(steps).alias("s")).select("id", (F.col("i") + F.col("s.a")).alias("i"), (F.col("j") + F.col("s.b")).alias("j"))
+    return sent.join(cells.select("i", "j", F.col(value).alias("_v")), ["i", "j"], "left").groupBy("id").agg(F.min("_v").alias("low"), F.max("_v").alias("high"))

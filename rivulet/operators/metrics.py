@@ -68,3 +68,23 @@ def peak_errors(found: DataFrame, sim: DataFrame, key: str = "station", value: s
     near = found.alias("o").join(sim.select(key, F.col("pos").alias("sim_pos"), F.col("sim")), key).where(F.col("sim_pos").between(F.col("pos") - reach, F.col("pos") + reach))
     best = near.groupBy(key, "rank", "pos", value).agg(F.max(F.struct("sim", (-F.col("sim_pos")).alias("early"))).alias("m"))
     return best.select(key, "rank", "pos", value, (-F.col("m.early") - F.col("pos")).alias("late"), ((F.col("m.sim") - F.col(value)) / F.col(value)).alias("relative_error"))
+
+
+def split_periods(series: DataFrame, key: str, order: list[str], warmup: int = 0, share: float = 0.7) -> DataFrame:
+    """``series`` with pos from 0 and period: warmup for the first steps, then calibration for ``share`` of the rest (rounded down), then validation."""
+    mine = Window.partitionBy(key)
+    placed = series.withColumn("pos", F.row_number().over(mine.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(mine))
+    until = F.floor(warmup + (F.col("_n") - warmup) * F.lit(share))
+    period = F.when(F.col("pos") < warmup, "warmup").when(F.col("pos") < until, "calibration").otherwise("validation")
+    return placed.withColumn("period", period).drop("_n")
+
+
+def relative_errors(truth: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
+    """(on..., truth, found, error) of values (on..., value) that both have; the error is relative to the size of the truth, null where that is 0."""
+    both = truth.select(*on, F.col("value").alias("truth")).join(found.select(*on, F.col("value").alias("found")), on)
+    return both.withColumn("error", F.try_divide(F.col("found") - F.col("truth"), F.abs("truth")))
+
+
+def error_summary(errors: DataFrame, by: list[str], error: str = "error") -> DataFrame:
+    """Per group: n, median, least, greatest and worst (greatest absolute) error."""
+    return errors.groupBy(*by).agg(F.count(error).alias("n"), F.median(error).alias("median"), F.min(error).alias("least"), F.max(error).alias("greatest"), F.max(F.abs(error)).alias("worst"))

@@ -5,6 +5,8 @@ Readings are first reduced per (station, bucket), which is combined before the s
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,3 +147,14 @@ def design_rain(total: Column, steps: Column, peak: float = 0.4, floor: float =
 def extend(history: DataFrame, tail: DataFrame) -> DataFrame:
     """A history and its scenario in one series; ``is_forecast`` tells them apart."""
     return history.withColumn("is_forecast", F.lit(False)).unionByName(tail.withColumn("is_forecast", F.lit(True)))
+
+
+def season_terms(ts: Column) -> tuple[Column, Column]:
+    """Sine and cosine of the day of the year, the year being 365.25 days."""
+    angle = F.dayofyear(ts) * (2 * math.pi / 365.25)
+    return F.sin(angle), F.cos(angle)
+
+
+def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, order): each key once, with the place where it first stands."""
+    return rows.groupBy(key).agg(F.min(order).alias(order))

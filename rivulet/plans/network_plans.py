@@ -44,8 +44,8 @@ def tree_mainstem(spark, sf_dir):
     return network.main_stem(tree(spark, sf_dir), "len").withColumn("upstream_length", r("upstream_length", 2))
 
 
-def _order_sql(levels: int = 12) -> str:
-    """Orders level by level, from the deepest one to the outlet."""
+def _order_sql(levels: int = 24) -> str:
+    """Orders level by level, from the deepest one to the outlet: enough for 2**24 customers."""
     parts = [f"WITH RECURSIVE {TREE}", f"o{levels} AS (SELECT id, parent, 1 AS o FROM tree WHERE level = {levels})"]
     for k in range(levels - 1, -1, -1):
         parts.append(
