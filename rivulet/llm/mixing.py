@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from rivulet.llm.common import materialise, text_or_empty
 
 BISECTIONS = 60
-#: A permutation's cumulative sums are taken in this many hash buckets a source, so no source is one task's.
-BUCKETS = 64
+#: A permutation's cumulative sums are taken in ranges of its keys, so no source is one task's: rows of a range if all are one source's, least and most ranges. Their number doesn't change the order.
+ROWS_PER_RANGE, RANGES = 20_000, (64, 65_536)
+#: Most sources whose weights are bisected on the driver; a column with more isn't one of sources.
+MAX_SOURCES = 100_000
 #: Tokens of a block.
 BLOCK_TOKENS = 100_000
 
@@ -69,9 +71,11 @@ def plan(sizes: DataFrame, min_entropy: float | None = None, max_repetition: flo
     """Per source: (source, tokens, share, weight, epochs), epochs being its part of the budget over its tokens.
 
     ``sizes`` has source and tokens. The budget is the least for which every source is used whole at least once, so
-    mixing repeats documents but leaves none out. The table of sources is small by nature; a null source is a source.
+    mixing repeats documents but leaves none out. A null source is a source; more than MAX_SOURCES are an error.
     """
-    totals = [(r.source, int(r.tokens)) for r in sizes.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()]
+    totals = [(r.source, int(r.tokens)) for r in sizes.groupBy("source").agg(F.sum("tokens").alias("tokens")).limit(MAX_SOURCES + 1).collect()]
+    if len(totals) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources: mix by a column with fewer values")
     total = sum(t for _, t in totals)
     shares = {s: t / total for s, t in totals}
     w = weights(shares, fit_exponent(shares, min_entropy, max_repetition))
@@ -96,7 +100,8 @@ def mix(docs: DataFrame, min_entropy: float | None = None, max_repetition: float
     last = F.floor("epochs").cast("int")
     uses = joined.select("*", F.explode(F.sequence(F.lit(0), last)).alias("epoch"))
     uses = uses.withColumn("order_key", F.xxhash64(F.lit(seed), "epoch", "source", "doc_id", "text_crc32"))
-    uses = uses.withColumn("_bucket", F.pmod(F.shiftrightunsigned("order_key", 58), F.lit(BUCKETS)))
+    ranges = min(RANGES[1], max(RANGES[0], math.ceil(sizes.count() / ROWS_PER_RANGE)))
+    uses = uses.withColumn("_bucket", F.shiftrightunsigned(F.shiftrightunsigned("order_key", 32) * ranges, 32))
     # tokens before a document in its epoch's permutation: whole buckets before, then the running sum in the bucket
     sums = uses.groupBy("source", "epoch", "_bucket").agg(F.sum("tokens").alias("_sum"))
     over = Window.partitionBy("source", "epoch").orderBy("_bucket")

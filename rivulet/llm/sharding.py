@@ -38,7 +38,8 @@ def permuted(value: Column, n: int, seed: int) -> Column:
         first,
         lambda at, _: F.when(at < n, at).otherwise(feistel(at, side, seed)),
     )
-    return F.when(first < n, first).otherwise(walk)
+    checked = F.transform(F.array(walk), lambda at: F.when(at < n, at).otherwise(F.raise_error(f"no place within {MAX_WALK} steps").cast("long")))
+    return F.when(first < n, first).otherwise(F.get(checked, F.lit(0)))
 
 
 def row_numbers(rows: DataFrame, n: int) -> DataFrame:

@@ -491,3 +491,17 @@ def test_families_of_edits_and_short_strangers(spark, width, percent):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = jaccard_join.join_components(docs, width, percent).toPandas()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.itertuples()} == _linked(dict(enumerate(texts)), width, percent)
+
+
+def test_mixing_does_not_depend_on_the_number_of_ranges(spark, monkeypatch):
+    docs = common.table(spark, SMALL, "documents")
+    rows = lambda: sorted(map(str, mixing.mix(docs).collect()))
+    few = rows()
+    monkeypatch.setattr(mixing, "RANGES", (1000, 65_536))
+    assert rows() == few
+
+
+def test_mixing_refuses_a_column_that_is_no_source(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 1)
+    with pytest.raises(ValueError, match="sources"):
+        mixing.mix(common.table(spark, SMALL, "documents"))
