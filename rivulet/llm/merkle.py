@@ -2,12 +2,14 @@
 
 A text falls into sections (ended by blank lines), sections into paragraphs (ended by line ends) and paragraphs into
 leaves: sentences, cut after LEAF_CHARS characters. Parts joined give the text back, so trees are equal only for equal
-texts. A node's hash covers its children's hashes in order. A fingerprint is the root and the short codes of the leaves.
+texts. A node's hash covers its children's hashes in order. A fingerprint is the root and the short codes of all nodes
+below it, so that two fingerprints can be descended from their roots to the branches that differ.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,8 +17,8 @@ from pyspark.sql import functions as F
 from rivulet.llm.common import text_or_empty
 
 LEAF_CHARS = 40
-#: Hex digits of a leaf's code; equal roots decide equality, codes only likeness.
-CODE = 8
+#: Hex digits of a leaf's and a branch's code; equal roots decide equality, codes only likeness.
+CODE, BRANCH = 8, 16
 #: Rows in a bucket of the order by id, and the most buckets (their bounds are a literal of fixed size).
 ROWS_PER_BUCKET, MAX_BUCKETS = 2_000, 16_384
 
@@ -28,61 +30,92 @@ def _hash(parts: Column) -> Column:
     return F.sha2(F.array_join(parts, "\n").cast("binary"), 256)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _hashes(nodes: Column) -> Column:
+    return F.transform(nodes, lambda x: x["hash"])
+
+
 def tree(text: Column) -> Column:
-    """Sections of paragraphs of leaf hashes: array<array<array<string>>>."""
+    """Sections (hash, paragraphs) of paragraphs (hash, leaves) of leaf hashes, built from the leaves up."""
     leaves = lambda p: F.transform(F.regexp_extract_all(p, F.lit(_LEAF), F.lit(0)), lambda x: F.sha2(x.cast("binary"), 256))
-    paragraphs = lambda s: F.transform(F.split(s, "\n"), leaves)
-    return F.transform(F.split(text, "\n\n"), paragraphs)
+    paragraph = lambda p: _bound(leaves(p), lambda x: F.struct(_hash(x).alias("hash"), x.alias("leaves")))
+    section = lambda s: _bound(F.transform(F.split(s, "\n"), paragraph), lambda x: F.struct(_hash(_hashes(x)).alias("hash"), x.alias("paragraphs")))
+    return F.transform(F.split(text, "\n\n"), section)
+
+
+def root(nodes: Column) -> Column:
+    return _hash(_hashes(nodes))
 
 
 def branches(nodes: Column) -> Column:
-    """Hashes of the sections of a tree, each over its paragraphs' hashes."""
-    return F.transform(nodes, lambda s: _hash(F.transform(s, _hash)))
+    """The tree below the root, a string a section: code:leaves:paragraphs, a paragraph being its code and those of its leaves."""
+    code = lambda h, n: F.substring(h, 1, n)
+    paragraph = lambda p: F.concat(code(p["hash"], BRANCH), F.array_join(F.transform(p["leaves"], lambda h: code(h, CODE)), ""))
+    size = lambda s: F.aggregate(s["paragraphs"], F.lit(0), lambda n, p: n + F.size(p["leaves"]))
+    return F.transform(nodes, lambda s: F.concat_ws(":", code(s["hash"], BRANCH), size(s).cast("string"), F.array_join(F.transform(s["paragraphs"], paragraph), ",")))
 
 
-def root(nodes: Column) -> Column:
-    return _hash(branches(nodes))
+def summary(text: Column) -> Column:
+    """struct<root, branches> of a text."""
+    return _bound(tree(text), lambda t: F.struct(root(t).alias("root"), branches(t).alias("branches")))
 
 
-def codes(nodes: Column) -> Column:
-    """The distinct leaf codes."""
-    return F.array_distinct(F.transform(F.flatten(F.flatten(nodes)), lambda h: F.substring(h, 1, CODE)))
+def _leaves(sections: Column, paragraphs: Column) -> Column:
+    """How many leaves these sections and paragraphs have."""
+    total = F.aggregate(sections, F.lit(0), lambda n, s: n + F.split_part(s, F.lit(":"), F.lit(2)).cast("int"))
+    return F.aggregate(paragraphs, total, lambda n, p: n + F.call_function("div", F.length(p) - BRANCH, F.lit(CODE)).cast("int"))
 
 
-def summary(text: Column) -> Column:
-    """struct<root, codes> of a text; the tree is bound once, so that it is built once."""
-    return F.get(F.transform(F.array(tree(text)), lambda t: F.struct(root(t).alias("root"), codes(t).alias("codes"))), F.lit(0))
+def likeness(a: Column, b: Column) -> Column:
+    """How alike two summaries are, found by descending both trees: 1 for equal roots, 0 without a common leaf or beside an empty text.
+
+    Sections that both have are alike with all their leaves; only below the others are paragraphs compared, and leaves
+    only below paragraphs that differ. Branches of one parent level are compared as sets, so what moved is no difference.
+    The result is the share of common leaves in the larger tree, a branch counting once where it repeats.
+    """
+    below = lambda sections: F.flatten(F.transform(sections, lambda s: F.split(F.split_part(s, F.lit(":"), F.lit(3)), ",")))
+    ends = lambda paragraphs: F.flatten(F.transform(paragraphs, lambda p: F.regexp_extract_all(F.substr(p, F.lit(BRANCH + 1)), F.lit(f".{{{CODE}}}"), F.lit(0))))
+
+    def level(x: Column, y: Column, use: Callable[[Column], Column]) -> Column:
+        """``use`` of what x and y have in common and what each has alone."""
+        return _bound(F.struct(F.array_intersect(x, y).alias("both"), F.array_except(x, y).alias("a"), F.array_except(y, x).alias("b")), use)
 
+    def share(s: Column, p: Column, l: Column) -> Column:
+        common = _leaves(s["both"], p["both"]) + F.size(l["both"])
+        larger = common + F.greatest(F.size(l["a"]), F.size(l["b"]))
+        return F.when(larger > 0, common / larger).otherwise(F.lit(0.0))
 
-def likeness(root_a: Column, codes_a: Column, root_b: Column, codes_b: Column) -> Column:
-    """Share of common leaves in the larger document: 1 for equal roots, 0 without a common leaf or beside an empty text."""
-    shared = F.size(F.array_intersect(codes_a, codes_b)).cast("double")
-    return F.when(root_a == root_b, F.lit(1.0)).otherwise(F.coalesce(shared / F.greatest(F.size(codes_a), F.size(codes_b), F.lit(1)), F.lit(0.0)))
+    paragraphs = lambda s: level(below(s["a"]), below(s["b"]), lambda p: leaves(s, p))
+    leaves = lambda s, p: level(ends(p["a"]), ends(p["b"]), lambda l: share(s, p, l))
+    return F.when(a["root"] == b["root"], F.lit(1.0)).otherwise(level(a["branches"], b["branches"], paragraphs))
 
 
-def fingerprint(root_col: Column, codes_col: Column) -> Column:
-    return F.concat_ws(":", root_col, F.array_join(codes_col, ""))
+def fingerprint(of: Column) -> Column:
+    """A summary as one string: root and branches."""
+    return F.concat_ws("/", of["root"], F.array_join(of["branches"], "/"))
 
 
 def differing(nodes_a: Column, nodes_b: Column) -> Column:
-    """Where trees differ: positions (from 0) of the sections, and of paragraphs in them, whose hashes differ."""
-    n = F.greatest(F.size(nodes_a), F.size(nodes_b))
-    paragraphs = lambda nodes, i: F.coalesce(F.transform(F.get(nodes, i), _hash), F.array().cast("array<string>"))
+    """Where trees differ: positions (from 0) of the paragraphs whose hashes differ, in the sections whose hashes do."""
+    places = lambda a, b: F.sequence(F.lit(0), F.greatest(F.size(a), F.size(b), F.lit(1)) - 1)
+    differs = lambda a, b, i: ~F.get(a, i)["hash"].eqNullSafe(F.get(b, i)["hash"])
 
     def within(i: Column) -> Column:
-        a, b = paragraphs(nodes_a, i), paragraphs(nodes_b, i)
-        m = F.greatest(F.size(a), F.size(b))
-        at = F.filter(F.sequence(F.lit(0), F.greatest(m - 1, F.lit(0))), lambda j: ~F.get(a, j).eqNullSafe(F.get(b, j)))
-        return F.transform(at, lambda j: F.struct(i.alias("section"), j.alias("paragraph")))
+        none = F.filter(F.get(nodes_a, F.lit(0))["paragraphs"], lambda _: F.lit(False))
+        a, b = (F.coalesce(F.get(nodes, i)["paragraphs"], none) for nodes in (nodes_a, nodes_b))
+        return F.transform(F.filter(places(a, b), lambda j: differs(a, b, j)), lambda j: F.struct(i.alias("section"), j.alias("paragraph")))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), within))
+    return F.flatten(F.transform(F.filter(places(nodes_a, nodes_b), lambda i: differs(nodes_a, nodes_b, i)), within))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, root, codes, section hashes and the fingerprint string. A null text counts as empty; other columns are not read."""
-    nodes = docs.select(F.col(id_col).alias("doc_id"), tree(text_or_empty(text_col)).alias("_nodes"))
-    hashed = nodes.select("doc_id", root(F.col("_nodes")).alias("root"), codes(F.col("_nodes")).alias("codes"), branches(F.col("_nodes")).alias("sections"))
-    return hashed.withColumn("fingerprint", fingerprint(F.col("root"), F.col("codes")))
+    """One row per row of ``docs``: doc_id, root, branches and the fingerprint string. A null text counts as empty; other columns are not read."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), summary(text_or_empty(text_col)).alias("_tree"))
+    return rows.select("doc_id", "_tree.root", "_tree.branches", fingerprint(F.col("_tree")).alias("fingerprint"))
 
 
 def _bounds(docs: DataFrame, id_col: str, n: int) -> list[int]:
@@ -147,9 +180,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "doc_id", n.cast("long").alias("n_chars"), "_tree", F.col("next_tree").alias("_next"),
         F.get(F.transform(F.array(edited), lambda t: F.struct(F.sha2(t.cast("binary"), 256).alias("sha256"), summary(t).alias("tree"))), F.lit(0)).alias("_edited"),
     )
-    both = lambda a, b: likeness(F.col(f"{a}.root"), F.col(f"{a}.codes"), F.col(f"{b}.root"), F.col(f"{b}.codes"))
+    own, edited, after = F.col("_tree"), F.col("_edited.tree"), F.col("_next")
     return rows.select(
         "doc_id", "n_chars", F.col("_edited.sha256").alias("edited_sha256"),
-        fingerprint(F.col("_tree.root"), F.col("_tree.codes")).alias("fingerprint"), fingerprint(F.col("_edited.tree.root"), F.col("_edited.tree.codes")).alias("edited_fingerprint"),
-        both("_tree", "_edited.tree").alias("near_edited"), both("_tree", "_next").alias("near_next"),
+        fingerprint(own).alias("fingerprint"), fingerprint(edited).alias("edited_fingerprint"),
+        likeness(own, edited).alias("near_edited"), likeness(own, after).alias("near_next"),
     )

@@ -269,10 +269,67 @@ def test_fingerprints_and_edits(spark):
     assert got.near_edited.mean() > got.near_next.mean() + 0.2
 
 
+def _tree_by_hand(text):
+    """(hash, paragraphs), the latter as (hash, leaf codes), of each section."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    sections = []
+    for section in text.split("\n\n"):
+        paragraphs = []
+        for p in section.split("\n"):
+            leaves, at = [], 0
+            while at < len(p):
+                start = at
+                while at < len(p) and at - start < merkle.LEAF_CHARS and p[at] not in ".!?":
+                    at += 1
+                ends = at
+                while at < len(p) and at - ends < merkle.LEAF_CHARS and p[at] in ".!?":
+                    at += 1
+                leaves.append(sha(p[start:at]))
+            paragraphs.append((sha("\n".join(leaves)), tuple(x[: merkle.CODE] for x in leaves)))
+        sections.append((sha("\n".join(h for h, _ in paragraphs)), tuple(paragraphs)))
+    return sections
+
+
+def _likeness_by_hand(x, y):
+    if x == y:
+        return 1.0
+    a, b = dict(_tree_by_hand(x)), dict(_tree_by_hand(y))
+    common = sum(len(leaves) for h in a.keys() & b.keys() for _, leaves in a[h])
+    a, b = ({h: leaves for s in own.keys() - other.keys() for h, leaves in own[s]} for own, other in ((a, b), (b, a)))
+    common += sum(len(a[h]) for h in a.keys() & b.keys())
+    a, b = ({c for h in own.keys() - other.keys() for c in own[h]} for own, other in ((a, b), (b, a)))
+    common += len(a & b)
+    larger = common + max(len(a - b), len(b - a))
+    return common / larger if larger else 0.0
+
+
+def test_likeness_descends_the_trees(spark):
+    docs = _docs(spark)
+    texts = [t or "" for t in docs.text]
+    got = registry.op7_fingerprints(spark, SMALL).toPandas().set_index("doc_id")
+    for k, (i, text) in enumerate(zip(docs.doc_id, texts, strict=True)):
+        after = texts[(k + 1) % len(texts)]
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        assert got.near_edited[i] == pytest.approx(_likeness_by_hand(text, edited), abs=1e-12)
+        assert got.near_next[i] == pytest.approx(_likeness_by_hand(text, after), abs=1e-12)
+
+
+def test_likeness_of_edits(spark):
+    pairs = [
+        ("", "", 1.0), ("", "a.", 0.0), ("a.", "b.", 0.0), ("\n", "\n\n", 0.0), ("a. b.", "a. c.", 0.5),
+        ("a.\n\nb. c.", "a.\n\nb. d.", 2 / 3), ("a.\nb. c.", "a.\nb. d.", 2 / 3),  # an equal section, an equal paragraph
+        ("a.\n\nb.", "b.\n\na.", 1.0), ("a. a. a.", "a. b.", 1 / 2), ("a.b.\n\n" * 3 + "c.", "a.b.\n\nc.", 1.0),
+    ]
+    rows = spark.createDataFrame([(x, y) for x, y, _ in pairs], "a string, b string")
+    got = rows.select("a", "b", merkle.likeness(merkle.summary(F.col("a")), merkle.summary(F.col("b"))).alias("x")).collect()
+    for row, (x, y, want) in zip(got, pairs, strict=True):
+        assert row.x == pytest.approx(_likeness_by_hand(x, y)) and row.x == pytest.approx(want), (x, y)
+
+
 def test_differing_branches_are_located(spark):
-    a, b = "one. two.\nthree.\n\nfour.", "one. two.\nthree!\n\nfour."
+    a, b = "one. two.\nthree.\n\nfour.", "one. two.\nthree!\n\nfour.\n\nfive."
     row = spark.createDataFrame([(a, b)], "a string, b string").select(merkle.differing(merkle.tree(F.col("a")), merkle.tree(F.col("b"))).alias("d")).head()
-    assert [(x.section, x.paragraph) for x in row.d] == [(0, 1)]
+    assert [(x.section, x.paragraph) for x in row.d] == [(0, 1), (2, 0)]
 
 
 # 8: mixing
