@@ -99,9 +99,13 @@ def to_gcj(lon: Column, lat: Column) -> tuple[Column, Column]:
 
 
 def from_gcj(lon: Column, lat: Column, rounds: int = 4) -> tuple[Column, Column]:
-    """GCJ-02 to WGS-84 by fixed-point steps: each takes off the shift of the last guess."""
-    x, y = lon, lat
-    for _ in range(rounds):
-        gx, gy = to_gcj(x, y)
-        x, y = x + lon - gx, y + lat - gy
-    return x, y
+    """GCJ-02 to WGS-84 by fixed-point steps: each takes off the shift of the last guess. A fold, so that the expression doesn't grow with the rounds."""
+
+    def step(at: Column, _: Column) -> Column:
+        gx, gy = to_gcj(at["x"], at["y"])
+        return F.struct((at["x"] + at["lon"] - gx).alias("x"), (at["y"] + at["lat"] - gy).alias("y"), at["lon"].alias("lon"), at["lat"].alias("lat"))
+
+    lon, lat = lon.cast("double"), lat.cast("double")
+    first = F.struct(lon.alias("x"), lat.alias("y"), lon.alias("lon"), lat.alias("lat"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), first, step)
+    return found["x"], found["y"]

@@ -318,7 +318,31 @@ def polyline_length(spark, sf_dir):
     )
 
 
-@query()
+def _sql_shift(x: str, y: str) -> tuple[str, str]:
+    """GCJ-02 place of a point that may lie outside the shift's box, as two expressions."""
+    a, b = f"({x} - 105.0::DOUBLE)", f"({y} - 35.0::DOUBLE)"
+    wave = lambda v, of: "(" + " + ".join(f"{n}::DOUBLE * sin({v} * {k}::DOUBLE * pi() / {d}::DOUBLE)" for n, k, d in of) + ") * 2 / 3"
+    common = wave(a, [(20, 6, 1), (20, 2, 1)])
+    dy = f"(-100 + 2 * {a} + 3 * {b} + 0.2::DOUBLE * {b} * {b} + 0.1::DOUBLE * {a} * {b} + 0.2::DOUBLE * sqrt(abs({a})) + {common} + {wave(b, [(20, 1, 1), (40, 1, 3)])} + {wave(b, [(160, 1, 12), (320, 1, 30)])})"
+    dx = f"(300 + {a} + 2 * {b} + 0.1::DOUBLE * {a} * {a} + 0.1::DOUBLE * {a} * {b} + 0.1::DOUBLE * sqrt(abs({a})) + {common} + {wave(a, [(20, 1, 1), (40, 1, 3)])} + {wave(a, [(150, 1, 12), (300, 1, 30)])})"
+    magic, axis = f"(1 - {geo.GCJ_EE}::DOUBLE * sin(radians({y})) ** 2)", f"{geo.GCJ_A}::DOUBLE"
+    inside = f"{x} BETWEEN 72.004 AND 137.8347 AND {y} BETWEEN 0.8293 AND 55.8271"
+    return (
+        f"CASE WHEN {inside} THEN {x} + degrees({dx} * sqrt({magic}) / ({axis} * cos(radians({y})))) ELSE {x} END",
+        f"CASE WHEN {inside} THEN {y} + degrees({dy} * {magic} * sqrt({magic}) / ({axis} * (1 - {geo.GCJ_EE}::DOUBLE))) ELSE {y} END",
+    )
+
+
+def _sql_there_and_back() -> str:
+    gx, gy = _sql_shift("c0", "c1")
+    steps = [f"WITH s0 AS (SELECT *, gx AS x, gy AS y FROM (SELECT vec_id, c0, c1, {gx} AS gx, {gy} AS gy FROM {_sql_points()}))"]
+    gx, gy = _sql_shift("x", "y")
+    steps += [f"s{k + 1} AS (SELECT vec_id, c0, c1, gx, gy, x + gx - ({gx}) AS x, y + gy - ({gy}) AS y FROM s{k})" for k in range(4)]
+    metres = "round(sqrt((({x} - c0) * 111320 * cos(radians(({y} + c1) / 2))) ** 2 + (({y} - c1) * 110540) ** 2), 3)"
+    return f"{', '.join(steps)} SELECT vec_id, {metres.format(x='gx', y='gy')} AS shift_m, {metres.format(x='x', y='y')} AS error_m FROM s4"
+
+
+@query(_sql_there_and_back())
 def coordinate_shift(spark, sf_dir):
     """There and back again: the error in metres of undoing the GCJ-02 shift."""
     p = _points(spark, sf_dir)

@@ -31,3 +31,18 @@ def feature(geometry_type: str, coordinates: Column, **properties: Column) -> Co
     """One GeoJSON feature as text."""
     shape = F.struct(F.lit(geometry_type).alias("type"), coordinates.alias("coordinates"))
     return F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), F.struct(*[c.alias(k) for k, c in properties.items()]).alias("properties")))
+
+
+def grid_lines(cells: DataFrame, nrows: int, ncols: int, nodata: str = "-9999") -> DataFrame:
+    """(i, line): every row of an ESRI ASCII grid as text, from cells (i, j, z); cells that aren't there hold ``nodata``. A row is one line, so it is put together in one place."""
+    found = cells.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", F.col("z").cast("string").alias("z")))).alias("_at"))
+    rows = cells.sparkSession.range(nrows).select(F.col("id").cast("int").alias("i")).join(found, "i", "left")
+    line = F.transform(F.sequence(F.lit(0), F.lit(ncols - 1)), lambda j: F.coalesce(F.try_element_at("_at", j), F.lit(nodata)))
+    return rows.select("i", F.array_join(line, " ").alias("line"))
+
+
+def write_ascii_grid(cells: DataFrame, path: str, nrows: int, ncols: int, xll: float, yll: float, cellsize: float, nodata: str = "-9999") -> None:
+    """A folder of text files: the six header lines and, in order, all rows."""
+    head = [("ncols", ncols), ("nrows", nrows), ("xllcorner", xll), ("yllcorner", yll), ("cellsize", cellsize), ("NODATA_value", nodata)]
+    first = cells.sparkSession.createDataFrame([(k - len(head), f"{name} {value}") for k, (name, value) in enumerate(head)], "i int, line string")
+    first.unionByName(grid_lines(cells, nrows, ncols, nodata)).orderBy("i").select("line").write.text(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.functions.parse import norm_key, parse_time, parse_value
@@ -94,38 +94,47 @@ def value_roles(cells: list[str]) -> dict[str, list[int]]:
     return {"time": [time], "station": station, "value": [i for i in rest if i not in station and (_NUMBER.match(cells[i]) or not cells[i])]}
 
 
+def readings_of(name: str, data: bytes) -> tuple[list[str], list[str | None], list[str | None]]:
+    """(stations, times, values) as text of one station file, long or wide.
+
+    Its first five lines that are not blank tell its delimiter, and the first its columns: by name, or if it holds a
+    date, by what it holds.
+    """
+    lines = [x for x in decode_text(data)[0].splitlines() if x.strip(" ")]
+    if not lines:
+        return [], [], []
+    mark = sniff_delimiter(lines)
+    quoted = re.compile(mark if mark == r"\s+" else rf'{mark}(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    split = lambda x: quoted.split(x) if mark == r"\s+" or '"' in x else x.split(mark)
+    header = [h.strip(' "') for h in split(lines[0])]
+    bare = any(_DATE.match(h) for h in header)
+    roles = value_roles(header) if bare else column_roles(header)
+    time, station, values = roles["time"][0], roles["station"], roles["value"]
+    rows = [split(x) for x in lines[0 if bare else 1 :]]
+    cell = lambda row, i: row[i].replace('"', "").strip(" ") if i < len(row) else None
+    stem = name.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    if station or len(values) == 1:
+        named = [cell(row, station[0]) if station else stem for row in rows]
+        return named, [cell(row, time) for row in rows], [cell(row, values[0]) for row in rows]
+    names = [f"c{i}" if bare else header[i] for i in values]
+    return names * len(rows), [cell(row, time) for row in rows for _ in values], [cell(row, i) for row in rows for i in values]
+
+
 def read_series_text(spark: SparkSession, path: str) -> DataFrame:
     """(station, ts, value) of every file at ``path``, long or wide; station of a file without such a column is the file's name.
 
-    The first lines of each file that are not blank (at most five) go to the driver to tell its delimiter and columns. A
-    file whose first line holds a date has no header: its columns are told by what that line holds.
+    A file is read once, by one task, which tells its encoding, delimiter and columns; nothing goes to the driver.
     """
-    lines = text_files(spark, path).where("trim(line) != ''")
-    numbered = lines.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy("line_no")))
-    heads = numbered.where("_n <= 5").orderBy("path", "line_no").collect()
-    parts = None
-    for name in sorted({r.path for r in heads}):
-        first = [r.line for r in heads if r.path == name]
-        begin = min(r.line_no for r in heads if r.path == name)
-        mark = sniff_delimiter(first)
-        pattern = mark if mark == r"\s+" else rf"{mark}(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"
-        header = [h.strip(' "') for h in re.split(pattern, first[0])]
-        bare = any(_DATE.match(h) for h in header)
-        roles = value_roles(header) if bare else column_roles(header)
-        cells = lines.where(F.col("path") == name).where(F.col("line_no") >= begin + (0 if bare else 1)).select(F.split("line", pattern).alias("c"))
-        cells = cells.select(*[F.trim(F.translate(F.get("c", F.lit(i)), '"', "")).alias(f"c{i}") for i in range(len(header))])
-        time = f"c{roles['time'][0]}"
-        if roles["station"]:
-            part = parse_long(cells, time, f"c{roles['station'][0]}", f"c{roles['value'][0]}")
-        elif len(roles["value"]) == 1:
-            stem = name.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-            part = parse_long(cells, time, F.lit(stem), f"c{roles['value'][0]}")
-        else:
-            part = parse_wide(cells, time, [f"c{i}" for i in roles["value"]])
-            names = F.create_map(*[x for i in roles["value"] for x in (F.lit(f"c{i}"), F.lit(f"c{i}" if bare else header[i]))])
-            part = part.withColumn("station", names[F.col("station")])
-        parts = part if parts is None else parts.unionByName(part)
-    return parts if parts is not None else spark.createDataFrame([], "station string, ts timestamp_ntz, value double")
+
+    def run(batches):
+        import pandas as pd
+
+        for rows in batches:
+            for name, data in zip(rows.path, rows.content, strict=True):
+                yield pd.DataFrame(dict(zip(("station", "time", "text"), readings_of(name, bytes(data)), strict=True)), dtype=object)
+
+    cells = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "station string, time string, text string")
+    return parse_long(cells, "time", "station", "text")
 
 
 def read_ascii_grid(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, float]]:

@@ -82,3 +82,17 @@ def test_gap_totals_count_all_gaps(spark):
     rows = spark.createDataFrame([("a", dt.datetime(2024, 1, 1) + dt.timedelta(days=2 * i), 1.0) for i in range(31)], "station string, ts timestamp_ntz, value double")
     assert series.gaps(rows, 86400).count() == 20
     assert [(r.n_gaps, r.missing_steps) for r in series.gap_totals(rows, 86400).collect()] == [(30, 30)]
+
+
+def test_quoted_delimiters_and_short_lines(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('time,station,value\n2024-01-01,"north, upper",1\n2024-01-02,south\n2024-01-03,south,"1,200"\n')
+    (tmp_path / "empty.csv").write_text("")
+    got = {(r.station, r.ts.day, r.value) for r in tables.read_series_text(spark, str(tmp_path / "*.csv")).collect()}
+    assert got == {("north, upper", 1, 1.0), ("south", 3, 1200.0)}
+
+
+def test_a_written_grid_reads_back(spark, tmp_path):
+    cells = spark.createDataFrame([(0, 0, 1.5), (2, 1, 4.0)], "i int, j int, z double")
+    sinks.write_ascii_grid(cells.coalesce(1), str(tmp_path / "g"), 3, 2, 100.0, 30.0, 0.5)
+    lines = [x for f in sorted((tmp_path / "g").glob("part-*")) for x in f.read_text().splitlines()]
+    assert lines == ["ncols 2", "nrows 3", "xllcorner 100.0", "yllcorner 30.0", "cellsize 0.5", "NODATA_value -9999", "1.5 -9999", "-9999 -9999", "-9999 4.0"]

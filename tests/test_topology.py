@@ -1,6 +1,6 @@
 """Topology and units on small hand-made networks."""
 
-from rivulet.operators import topology, units
+from rivulet.operators import channels, topology, units
 
 EDGE = "edge long, from_node long, to_node long, length double"
 
@@ -36,3 +36,18 @@ def test_split_leaves_ends_alone(spark):
 def test_keep_largest_breaks_ties_and_puts_nulls_last(spark):
     rows = spark.createDataFrame([("a", 1, 5), ("a", 2, 7), ("a", 3, 7), ("b", 4, None)], "k string, id int, m int")
     assert sorted(tuple(r) for r in units.keep_largest(rows, ["k"], "m", "id").collect()) == [("a", 2, 7), ("b", 4, None)]
+
+
+def test_reaches_end_at_confluences_and_on_the_border(spark):
+    # two branches meet at (3, 2) and leave the raster at (5, 2); (0, 0) and (5, 4) only widen the raster
+    down = {(1, 1): (2, 1), (2, 1): (3, 2), (1, 3): (2, 3), (2, 3): (3, 2), (3, 2): (4, 2), (4, 2): (5, 2), (5, 2): None, (0, 0): None, (5, 4): None}
+    acc = {(1, 1): 5, (2, 1): 6, (1, 3): 7, (2, 3): 8, (3, 2): 15, (4, 2): 16, (5, 2): 17, (0, 0): 1, (5, 4): 1}
+    flows = spark.createDataFrame([(i, j, 10.0 - i, *(d or (None, None))) for (i, j), d in down.items()], "i int, j int, z double, down_i int, down_j int")
+    cells = channels.reach_cells(flows, spark.createDataFrame([(*at, n) for at, n in acc.items()], "i int, j int, acc long"), 5)
+    names = {(r.i, r.j): r.reach for r in cells.where("k = 0").collect()}
+    lines = {at: [(r.i, r.j) for r in cells.where(f"reach = {name}").orderBy("k").collect()] for at, name in names.items()}
+    assert lines == {(1, 1): [(1, 1), (2, 1), (3, 2)], (1, 3): [(1, 3), (2, 3), (3, 2)], (3, 2): [(3, 2), (4, 2), (5, 2)]}
+    found = channels.reaches(cells)
+    got = {r.reach: (r.n_cells, r.acc, r.below) for r in found.collect()}
+    assert got == {names[1, 1]: (3, 15, names[3, 2]), names[1, 3]: (3, 15, names[3, 2]), names[3, 2]: (3, 17, None)}
+    assert {r.reach: r.stream_order for r in channels.reach_orders(found).collect()} == {names[1, 1]: 1, names[1, 3]: 1, names[3, 2]: 2}
