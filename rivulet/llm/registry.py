@@ -5,11 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rivulet.llm import byte_bpe, chat, jaccard_join, katz, language_id, merkle, mixing, nearest, quality, sharding
+from rivulet.llm import byte_bpe, chat, jaccard_join, katz, language_id, lexical, merkle, mixing, nearest, packing, quality, sharding, spelling
 from rivulet.llm.common import table
 
 
-VOCABULARY = "byte_bpe_50k.tiktoken"
+VOCABULARY, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 
 
 def op1_chat_format(spark, sf_dir):
@@ -55,5 +55,22 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.join_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality, op3_katz, op4_language_id, op5_nearest, op6_sharding, op7_fingerprints, op8_mixing, op9_byte_bpe, op10_jaccard_join)}
-ORACLES: dict[str, str] = {}
+def op11_lexical_search(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op13_spelling(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat_format, op2_quality, op3_katz, op4_language_id, op5_nearest, op6_sharding, op7_fingerprints, op8_mixing, op9_byte_bpe, op10_jaccard_join, op11_lexical_search, op12_packing, op13_spelling,
+    )
+}
+ORACLES: dict[str, str] = {"op11_lexical_search": lexical.ORACLE}
