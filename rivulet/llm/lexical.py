@@ -115,7 +115,8 @@ def _frequencies(index: DataFrame, block: Broadcast) -> dict[bytes, int]:
             for terms, starts in zip(batch.terms, batch.starts, strict=True):
                 n = np.diff(np.frombuffer(starts, np.int32)).tolist()
                 total.update({t: n[i] for i, t in enumerate(terms.split(b" ")) if t in wanted})
-        yield pd.DataFrame({"term": list(total.keys()), "n": list(total.values())}, columns=["term", "n"])
+        if total:
+            yield pd.DataFrame({"term": list(total.keys()), "n": list(total.values())})
 
     found = index.select("terms", "starts").mapInPandas(run, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
     return {bytes(r.term): r.n for r in found.collect()}  # at most the terms of the block
@@ -156,7 +157,8 @@ def _scored(index: DataFrame, block: Broadcast, k: int) -> DataFrame:
                         order = np.lexsort((merged[1], merged[2], -merged[0]))[:k]
                         top[q] = tuple(x[order] for x in merged)
         rows = [(q, queries.ids[q], None if null else int(i), int(s)) for q, found in top.items() for s, i, null in zip(*found, strict=True)]
-        yield pd.DataFrame(rows, columns=["query", "item_id", "doc_id", "score"]).astype({"item_id": "Int64", "doc_id": "Int64"})
+        if rows:
+            yield pd.DataFrame(rows, columns=["query", "item_id", "doc_id", "score"]).astype({"item_id": "Int64", "doc_id": "Int64"})
 
     return index.mapInPandas(run, "query long, item_id long, doc_id long, score long")
 

@@ -2,7 +2,7 @@
 
 Words are counted where the documents lie. Two words of one edit agree outside one third of their letters (the shorter
 word's; places are told from both ends), so each word joins a group for every third it leaves out, as the shorter or the
-longer of a pair. Groups above a size are split by the single letter left out, which bounds them by the alphabet. In each
+longer of a pair. Groups above a size are split by the letter left out, which bounds them by the alphabet. In each
 bucket of groups an inverted index of positional letter pairs is merged: a probe's postings, limited to the lengths and
 places that one edit allows, are merged by sorting, and candidates whose count reaches the overlap that one edit leaves
 are verified. Counts and best forms are combined per word before they are shuffled.
@@ -24,14 +24,14 @@ from rivulet.llm.common import materialise, text_or_empty
 
 #: Least letters and occurrences of a word; how many times as frequent a form must be.
 LETTERS, OCCURRENCES, TIMES = 5, 3, 2
-#: Parts of a word, members of a group before it is split by letters, rows of a bucket on average, pairs of members merged at a time, words that a task counts at a time.
-PARTS, MEMBERS, BUCKET, MERGED, HELD = 3, 1_000, 20_000, 1_000_000, 500_000
+#: Parts of a word, members of a group before it is split by letters (of parts of more letters, by so many pieces), rows of a bucket on average, pairs of members merged at a time, words that a task counts at a time.
+PARTS, MEMBERS, STEPS, BUCKET, MERGED, HELD = 3, 1_000, 32, 20_000, 1_000_000, 500_000
 #: One of so many runs loses a letter.
 DELETED = 97
 
 #: A Latin-1 byte as it counts: A-Z lower-cased, letters of A-Z, a-z and U+00C0 to U+00FF kept, all else a space.
 _LETTER = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 0xC0 else 32 for c in range(256))
-_ROW = "key long, m int, part int, letter int, from int, to int, word string, n long"
+_ROW = ["key", "m", "part", "low", "high", "begin", "end", "word", "n"]
 
 
 def runs_of(text: str) -> list[bytes]:
@@ -62,7 +62,8 @@ def words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 if len(total) > HELD:
                     yield counted(total)
                     total.clear()
-        yield counted(total)
+        if total:
+            yield counted(total)
 
     def counted(total: Counter) -> pd.DataFrame:
         return pd.DataFrame({"word": [w.decode("latin-1") for w in total], "n": list(total.values())}).astype({"n": "int64"})
@@ -72,27 +73,27 @@ def words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def _grouped(words: DataFrame) -> DataFrame:
-    """A row for each word and group: m (letters of the shorter word), the part left out, and its bounds in the shorter word."""
+    """A row for each word and group: m (letters of the shorter word), the third, its bounds in the shorter word, and those of what is left out."""
     length = F.length("word")
     both = words.select("*", F.explode(F.array(length, length - 1)).alias("m")).where(F.col("m") >= LETTERS)
     parts = both.select("*", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
-    parts = parts.withColumns({"from": _bound(F.col("part")), "to": _bound(F.col("part") + 1), "letter": F.lit(-1)})
-    thirds = parts.withColumn("key", _key(F.col("from"), F.col("to")))
+    parts = parts.withColumns({"low": _bound(F.col("part")), "high": _bound(F.col("part") + 1)})
+    thirds = parts.withColumns({"begin": F.col("low"), "end": F.col("high")}).withColumn("key", _key()).select(_ROW)
     large = thirds.groupBy("key").count().where(F.col("count") > MEMBERS).select("key")
-    letters = thirds.join(large, "key", "left_semi").withColumn("letter", F.explode(F.sequence(F.col("from"), F.col("to") - 1)))
-    letters = letters.withColumn("key", _key(F.col("letter"), F.col("letter") + 1))
-    columns = [c.split()[0] for c in _ROW.split(", ")]
-    return thirds.join(large, "key", "left_anti").select(columns).unionByName(letters.select(columns))
+    step = F.ceil((F.col("high") - F.col("low")) / STEPS).cast("int")
+    split = thirds.join(large, "key", "left_semi").withColumn("begin", F.explode(F.sequence(F.col("low"), F.col("high") - 1, step)))
+    split = split.withColumn("end", F.least("high", F.col("begin") + step)).withColumn("key", _key()).select(_ROW)
+    return thirds.join(large, "key", "left_anti").select(_ROW).unionByName(split)
 
 
 def _bound(part: Column) -> Column:
     return F.floor(F.col("m") * part / PARTS).cast("int")
 
 
-def _key(begin: Column, end: Column) -> Column:
+def _key() -> Column:
     """Hash of the letters before ``begin`` and of those after ``end`` of the shorter word's m letters, the latter told from the end."""
-    after = F.col("m") - end
-    return F.xxhash64("m", begin, end, F.substring(F.col("word"), F.lit(1), begin), F.substring(F.col("word"), F.length("word") - after + 1, after))
+    after = F.col("m") - F.col("end")
+    return F.xxhash64("m", "begin", "end", F.substring(F.col("word"), F.lit(1), F.col("begin")), F.substring(F.col("word"), F.length("word") - after + 1, after))
 
 
 def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,8 +158,7 @@ def near_pairs(rows: pd.DataFrame, m: int) -> tuple[np.ndarray, np.ndarray]:
     """Verified pairs of places in ``rows`` (sorted by key; words of m or m + 1 letters), each in one group only: the first that both are in."""
     words = [w.encode("latin-1") for w in rows.word]
     group, extra = pd.factorize(rows.key)[0].astype(np.int64), rows.word.str.len().to_numpy(np.int64) - m
-    part, low, high, letter = (rows[c].to_numpy(np.int64) for c in ("part", "from", "to", "letter"))
-    begin, end = np.where(letter < 0, low, letter), np.where(letter < 0, high, letter + 1)
+    part, low, high, begin, end = (rows[c].to_numpy(np.int64) for c in ("part", "low", "high", "begin", "end"))
     chars, tails = _letters([b"\1" + w for w in words], m + 3), _letters([w[::-1] for w in words], m + 1)
     weight = np.cumsum(np.bincount(group) ** 2)
     chunk = (weight // MERGED)[group]
@@ -170,7 +170,8 @@ def near_pairs(rows: pd.DataFrame, m: int) -> tuple[np.ndarray, np.ndarray]:
         after = (tails[first, :m] == tails[second, :m]).cumprod(1).sum(1)
         near = np.where(extra[second] == 1, before + after >= m, (before < m) & (before + after >= m - 1))
         mine = ((low[first] < m - after) | (part[first] == 0)) & (m - after <= high[first]) & (before >= low[first])
-        mine &= (letter[first] < 0) | (letter[first] == np.maximum(low[first], m - 1 - after))
+        place = np.maximum(low[first], m - 1 - after)
+        mine &= (begin[first] <= place) & (place < end[first])
         a.append(first[near & mine])
         b.append(second[near & mine])
     return np.concatenate(a), np.concatenate(b)
