@@ -60,7 +60,7 @@ def op11_lexical_search(spark, sf_dir):
 
 
 def op12_packing(spark, sf_dir):
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
 
 
 def op13_spelling(spark, sf_dir):
