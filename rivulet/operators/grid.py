@@ -84,51 +84,78 @@ def streams(acc: DataFrame, threshold: int) -> DataFrame:
 
 
 def hillshade(cells: DataFrame, azimuth: float = 315.0, altitude: float = 45.0, z_factor: float = 1.0) -> DataFrame:
-    """(i, j, shade) from 0 to 1, from central differences (one-sided at edges)."""
+    """(i, j, shade) from 0 to 1, from central differences (one-sided at edges and beside cells without data)."""
     row, column = Window.partitionBy("i").orderBy("j"), Window.partitionBy("j").orderBy("i")
 
-    def gradient(over) -> Column:
-        back, ahead = F.lag("z").over(over), F.lead("z").over(over)
+    def gradient(over, at: str) -> Column:
+        back = F.when(F.lag(at).over(over) == F.col(at) - 1, F.lag("z").over(over))
+        ahead = F.when(F.lead(at).over(over) == F.col(at) + 1, F.lead("z").over(over))
         return F.coalesce((ahead - back) / 2, ahead - F.col("z"), F.col("z") - back, F.lit(0.0))
 
-    rated = cells.withColumn("_dx", gradient(row)).withColumn("_dy", gradient(column))
+    rated = cells.withColumn("_dx", gradient(row, "j")).withColumn("_dy", gradient(column, "i"))
     slope, aspect = math.pi / 2 - F.atan(F.hypot("_dx", "_dy") * z_factor), F.atan2(-F.col("_dx"), "_dy")
     sun, high = math.radians(360 - azimuth + 90), math.radians(altitude)
     shade = F.sin(slope) * math.sin(high) + F.cos(slope) * math.cos(high) * F.cos(sun - aspect)
     return rated.select("i", "j", F.least(F.greatest(shade, F.lit(0.0)), F.lit(1.0)).alias("shade"))
 
 
+#: Levels of cells, each with a quarter of the width of the one before; the first is one cell.
+LEVELS, FINER = 17, 4
+
+
+def box_of(*places: DataFrame) -> tuple[float, float, float] | None:
+    """Smallest x and y and the longer side of what holds all places (x, y); null if there is none. One row goes to the driver."""
+    rows = places[0].select("x", "y")
+    for more in places[1:]:
+        rows = rows.unionByName(more.select("x", "y"))
+    box = rows.agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1")).head()
+    return None if box.x0 is None else (box.x0, box.y0, max(box.x1 - box.x0, box.y1 - box.y0, 1e-9))
+
+
+def cell_at(value: Column, low: float, side: float, level: Column) -> Column:
+    """The cell of a level that a coordinate lies in."""
+    return F.floor((value - low) / side * F.pow(F.lit(float(FINER)), level)).cast("long")
+
+
+def finest_level(points: DataFrame, occupied: DataFrame, box: tuple[float, float, float]) -> DataFrame:
+    """``points`` (id, x, y) with the finest level at which their own cell is among the ``occupied`` ones (level, cx, cy)."""
+    x0, y0, side = box
+    each = points.select("id", "x", "y", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level"))
+    each = each.withColumns({"cx": cell_at(F.col("x"), x0, side, F.col("level")), "cy": cell_at(F.col("y"), y0, side, F.col("level"))})
+    return each.join(occupied, ["level", "cx", "cy"], "left_semi").groupBy("id").agg(F.max("level").alias("level"), F.first("x").alias("x"), F.first("y").alias("y"))
+
+
+def cells_around(reach: int) -> Column:
+    """The offsets of a cell and its neighbours up to ``reach`` cells away."""
+    return F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)])
+
+
 def nearest(points: DataFrame, targets: DataFrame, most: float | None = None) -> DataFrame:
     """(id, target, distance) of planar points (id, x, y) and targets (target, x, y); ties to the smaller target; none beyond ``most``.
 
-    Both are dealt to square cells and points meet the targets of the nine cells around theirs. A target within one cell
-    width is certain to be the nearest; points without one try again with wider cells. Nothing is broadcast, and only
-    points that are far from all targets meet many of them.
+    Cells of all levels are dealt out at once. A point takes the finest level at which its own cell holds a target: the
+    nearest is then within the cell's diagonal, so it lies in the cells up to two away. Where targets are dense these cells
+    are small, and one far target makes no others' cells wider. Nothing is broadcast; two joins do it, whatever the places.
     """
-    box = points.select("x", "y").unionByName(targets.select("x", "y")).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).head()
-    n = targets.count()
-    spark = points.sparkSession
-    if not n or box.x0 is None:
+    box = box_of(points, targets)
+    if box is None or targets.isEmpty():
         return points.limit(0).crossJoin(targets.select("target").limit(0)).select("id", "target", F.lit(0.0).alias("distance"))
-    width = max((box.x1 - box.x0), (box.y1 - box.y0), 1e-12) / max(1.0, math.sqrt(n))
-    offsets = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    done, left = None, points.select("id", "x", "y")
-    while True:
-        last = width >= max(box.x1 - box.x0, box.y1 - box.y0)
-        reach = width if most is None else min(width, most)
-        cell = [F.floor((F.col("x") - box.x0) / width).alias("cx"), F.floor((F.col("y") - box.y0) / width).alias("cy")]
-        sent = targets.select("target", F.col("x").alias("tx"), F.col("y").alias("ty"), *cell, F.explode(offsets).alias("o"))
-        sent = sent.select("target", "tx", "ty", (F.col("cx") + F.col("o.a")).alias("cx"), (F.col("cy") + F.col("o.b")).alias("cy"))
-        met = left.select("id", "x", "y", *cell).join(sent, ["cx", "cy"]).withColumn("distance", F.hypot(F.col("x") - F.col("tx"), F.col("y") - F.col("ty")))
-        best = met.groupBy("id").agg(F.min(F.struct("distance", "target")).alias("m")).select("id", "m.target", "m.distance")
-        best = cut(best if last and most is None else best.where(F.col("distance") <= reach))
-        done = best if done is None else done.unionByName(best)
-        if last or (most is not None and width >= most):
-            return done
-        left = cut(left.join(best, "id", "left_anti"))
-        if left.isEmpty():
-            return done
-        width *= 4
+    x0, y0, side = box
+    sent = targets.select("target", F.col("x").alias("tx"), F.col("y").alias("ty"), F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level"))
+    sent = sent.withColumns({"cx": cell_at(F.col("tx"), x0, side, F.col("level")), "cy": cell_at(F.col("ty"), y0, side, F.col("level"))})
+    found = finest_level(points, sent.select("level", "cx", "cy").distinct(), box)
+    if most is not None:  # cells up to two away of this level hold all that lies within ``most``
+        found = found.withColumn("level", F.greatest("level", F.lit(_level_of(most, side))))
+    at = found.select("id", "x", "y", "level", F.explode(cells_around(2)).alias("o"))
+    at = at.select("id", "x", "y", "level", (cell_at(F.col("x"), x0, side, F.col("level")) + F.col("o.a")).alias("cx"), (cell_at(F.col("y"), y0, side, F.col("level")) + F.col("o.b")).alias("cy"))
+    met = at.join(sent, ["level", "cx", "cy"]).withColumn("distance", F.hypot(F.col("x") - F.col("tx"), F.col("y") - F.col("ty")))
+    best = met.groupBy("id").agg(F.min(F.struct("distance", "target")).alias("m")).select("id", "m.target", "m.distance")
+    return cut(best if most is None else best.where(F.col("distance") <= most))
+
+
+def _level_of(reach: float, side: float) -> int:
+    """The finest level whose cells are at least as wide as ``reach``."""
+    return int(min(LEVELS - 1, max(0, math.floor(math.log(side / reach, FINER))))) if reach > 0 else LEVELS - 1
 
 
 def thiessen_weights(assigned: DataFrame, zone: str, station: str) -> DataFrame:

@@ -130,6 +130,18 @@ def grid_hillshade(spark, sf_dir):
     return grid.hillshade(cells(spark, sf_dir)).withColumn("shade", r("shade"))
 
 
+_HOLES = "c AS (SELECT * FROM cells WHERE (i * 7 + j * 3) % 5 != 0)"
+_SLOPE = "CASE WHEN {0}.z IS NULL AND {1}.z IS NULL THEN 0 WHEN {0}.z IS NULL THEN {1}.z - c.z WHEN {1}.z IS NULL THEN c.z - {0}.z ELSE ({1}.z - {0}.z) / 2 END"
+
+
+@query(f"""WITH {CELLS}, {_HOLES}, g AS (SELECT c.i, c.j, {_SLOPE.format('w', 'e')} AS dx, {_SLOPE.format('n', 's')} AS dy FROM c LEFT JOIN c w ON w.i = c.i AND w.j = c.j - 1 LEFT JOIN c e ON e.i = c.i AND e.j = c.j + 1
+LEFT JOIN c n ON n.i = c.i - 1 AND n.j = c.j LEFT JOIN c s ON s.i = c.i + 1 AND s.j = c.j)
+SELECT i, j, round(least(greatest(sin(pi() / 2 - atan(sqrt(dx * dx + dy * dy))) * sin(radians(45)) + cos(pi() / 2 - atan(sqrt(dx * dx + dy * dy))) * cos(radians(45)) * cos(radians(135) - atan2(-dx, dy)), 0), 1), 4) AS shade FROM g""")
+def hillshade_beside_holes(spark, sf_dir):
+    """One cell in five has no data."""
+    return grid.hillshade(cells(spark, sf_dir).where((F.col("i") * 7 + F.col("j") * 3) % 5 != 0)).withColumn("shade", r("shade"))
+
+
 XY = "xy AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), st AS (SELECT label AS target, arg_min(x, vec_id) AS tx, arg_min(y, vec_id) AS ty FROM xy GROUP BY label)"
 
 

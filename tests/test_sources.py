@@ -96,3 +96,43 @@ def test_a_written_grid_reads_back(spark, tmp_path):
     sinks.write_ascii_grid(cells.coalesce(1), str(tmp_path / "g"), 3, 2, 100.0, 30.0, 0.5)
     lines = [x for f in sorted((tmp_path / "g").glob("part-*")) for x in f.read_text().splitlines()]
     assert lines == ["ncols 2", "nrows 3", "xllcorner 100.0", "yllcorner 30.0", "cellsize 0.5", "NODATA_value -9999", "1.5 -9999", "-9999 -9999", "-9999 4.0"]
+
+
+def _read(spark, path):
+    return sorted((r.station, str(r.ts), r.value) for r in tables.read_series_text(spark, str(path)).collect())
+
+
+def test_no_reading_is_lost_in_files_without_header(spark, tmp_path):
+    """The first reading counts in every spelling of dates, long and wide."""
+    spelt = {"2020年1月1日": "2020-01-01 00:00:00", "43831": "2020-01-01 00:00:00", "2020/1/1": "2020-01-01 00:00:00", "20200101": "2020-01-01 00:00:00", "202001010630": "2020-01-01 06:30:00", "2020-01-01T06:30": "2020-01-01 06:30:00", "2020-01": "2020-01-01 00:00:00", "2020": "2020-01-01 00:00:00", '"2020年1月1日 6:30"': "2020-01-01 06:30:00"}
+    for n, (text, ts) in enumerate(spelt.items()):
+        (tmp_path / f"w{n}.csv").write_text(f"{text},1.5,-\n{text},2.5,7\n", "utf-8")
+        assert _read(spark, tmp_path / f"w{n}.csv") == [("c1", ts, 1.5), ("c1", ts, 2.5), ("c2", ts, 7.0)], text
+        (tmp_path / f"l{n}.csv").write_text(f"甲;{text};缺测\n乙;{text};3\n", "utf-8")
+        assert _read(spark, tmp_path / f"l{n}.csv") == [("乙", ts, 3.0)], text
+
+
+def test_titles_and_units_are_passed_over(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("某流域逐日降雨\n制表,水文局\n日期,甲,乙\n-,mm,mm\n2020-01-01,1,2\n合计,,\n2020-01-02,,4\n", "utf-8")
+    (tmp_path / "empty.csv").write_text("\n", "utf-8")
+    (tmp_path / "words.csv").write_text("日期,甲\nnone,-\n", "utf-8")
+    assert _read(spark, tmp_path / "a.csv") == [("乙", "2020-01-01 00:00:00", 2.0), ("乙", "2020-01-02 00:00:00", 4.0), ("甲", "2020-01-01 00:00:00", 1.0)]
+    report = {r.path.rsplit("/", 1)[-1]: (r.rows, r.bad_rows, r.series, r.readings) for r in tables.file_report(spark, str(tmp_path / "*.csv")).collect()}
+    assert report == {"a.csv": (3, 1, 2, 3), "empty.csv": (0, 0, 0, 0), "words.csv": (0, 0, 0, 0)}
+
+
+def test_quotes_hold_line_ends_and_quotes(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('time,station,value\n2020-01-01,"north\ngate",1\n2020-01-02,"the ""old"", one","1,234"\n', "utf-8")
+    assert _read(spark, tmp_path / "q.csv") == [("north\ngate", "2020-01-01 00:00:00", 1.0), ('the "old", one', "2020-01-02 00:00:00", 1234.0)]
+    assert tables.split_rows('a,b\n1,"2\n3,4\n')[0] == [["a", "b"], ["1", "2"], ["3", "4"]]
+
+
+def test_rasters_of_several_parts_come_back(spark, tmp_path):
+    cells = spark.range(2_000).select((F.col("id") / 40).cast("int").alias("i"), (F.col("id") % 40).cast("int").alias("j"), (F.col("id") * 0.5).alias("z")).where("(i + j) % 9 != 0")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sinks.write_ascii_grid(cells, str(tmp_path / "g"), 50, 40, 1.0, 2.0, 0.5)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "g").glob("part-*"))) > 1
+    found, head = tables.read_ascii_grid(spark, str(tmp_path / "g"))
+    assert head == {"ncols": 40, "nrows": 50, "xllcorner": 1.0, "yllcorner": 2.0, "cellsize": 0.5, "nodata_value": -9999.0}
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, cells.collect()))
