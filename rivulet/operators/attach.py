@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rivulet.operators import grid
 from rivulet.operators.lineage import cut
 
 
@@ -18,42 +19,58 @@ def segments(lines: DataFrame) -> DataFrame:
     return ends.withColumns({"before": F.sum("length").over(order) - F.col("length"), "total": F.sum("length").over(Window.partitionBy("edge"))})
 
 
+#: Cells that a segment's longer side passes at most at its finest level.
+PASSED = 8
+
+
+def passed(rows: DataFrame, width: Column, reach: float = 0.0, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
+    """``rows`` (ax, ay, bx, by) once for each cell (cx, cy) of a grid that their segment passes, widened by ``reach``: in each column the cells between where it enters and leaves."""
+    ax, ay, bx, by = F.col("ax") - x0, F.col("ay") - y0, F.col("bx") - x0, F.col("by") - y0
+    cell = lambda v: F.floor(v / width).cast("long")
+    found = rows.withColumn("cx", F.explode(F.sequence(cell(F.least(ax, bx) - reach), cell(F.greatest(ax, bx) + reach))))
+    low, high = F.col("cx") * width - reach, (F.col("cx") + 1) * width + reach
+    rise = F.coalesce(F.try_divide(by - ay, bx - ax), F.lit(0.0))
+    at = lambda x: ay + (F.least(F.greatest(x, F.least(ax, bx)), F.greatest(ax, bx)) - ax) * rise
+    inside = lambda f: F.when(ax == bx, f(ay, by)).otherwise(f(at(low), at(high)))
+    hair = (F.abs(ay) + F.abs(by)) * 1e-12 + reach  # rounding of the entry must not lose a cell
+    return found.withColumn("cy", F.explode(F.sequence(cell(inside(F.least) - hair), cell(inside(F.greatest) + hair))))
+
+
 def nearest_edge(points: DataFrame, lines: DataFrame, most: float | None = None) -> DataFrame:
     """(id, edge, distance, ratio) of planar points (id, x, y) and lines (edge, k, x, y): the nearest line, the distance to it and the place on it as a share of its length.
 
-    Ties go to the smaller edge and its earlier segment; none beyond ``most``. Segments are dealt to the cells of a grid
-    that they, widened by a cell, can reach, so a point meets what is within a cell width of it. Points without such a
-    segment try again with wider cells.
+    Ties go to the smaller edge and its earlier segment; none beyond ``most``. A segment is dealt to the cells it passes,
+    at all levels from the widest down to the finest at which these are few. A point takes the finest level at which its own cell
+    is passed, so the nearest segment lies within the cell's diagonal: it meets those of that level up to two cells away,
+    and the longer segments, whose finest level is wider, in the cells around it there. Neither an outlier nor a long
+    segment makes the others' cells wider, and the joins are two, whatever the places.
     """
     parts = cut(segments(lines))
-    box = points.select("x", "y").unionByName(lines.select("x", "y")).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).head()
-    seen = parts.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).head()
-    if not seen.n or box.x0 is None:
+    box = grid.box_of(points, lines)
+    if box is None or parts.isEmpty():
         return points.limit(0).crossJoin(lines.select("edge").limit(0)).select("id", "edge", F.lit(0.0).alias("distance"), F.lit(0.0).alias("ratio"))
-    extent = max(box.x1 - box.x0, box.y1 - box.y0, 1e-12)
-    width = max(extent / max(1.0, math.sqrt(seen.n)), seen.mean)
-    cell = lambda c, low, w: F.floor((c - low) / w)
+    x0, y0, side = box
     x, y, ax, ay, bx, by = (F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by"))
-    along = ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / (F.col("length") * F.col("length"))
-    u = F.when(F.col("length") == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), along)))
-    done, left = None, points.select("id", "x", "y")
-    while True:
-        last = width >= extent
-        sent = parts.withColumn("cx", F.explode(F.sequence(cell(F.least(ax, bx), box.x0, width) - 1, cell(F.greatest(ax, bx), box.x0, width) + 1)))
-        sent = sent.withColumn("cy", F.explode(F.sequence(cell(F.least(ay, by), box.y0, width) - 1, cell(F.greatest(ay, by), box.y0, width) + 1)))
-        met = left.select("*", cell(x, box.x0, width).alias("cx"), cell(y, box.y0, width).alias("cy")).join(sent, ["cx", "cy"]).withColumn("u", u)
-        met = met.withColumn("distance", F.hypot(x - ax - F.col("u") * (bx - ax), y - ay - F.col("u") * (by - ay)))
-        place = F.when(F.col("total") == 0, 0.0).otherwise((F.col("before") + F.col("u") * F.col("length")) / F.col("total"))
-        best = met.groupBy("id").agg(F.min(F.struct("distance", "edge", "k", place.alias("ratio"))).alias("m")).select("id", "m.edge", "m.distance", "m.ratio")
-        reach = width if most is None else min(width, most)
-        best = cut(best if last and most is None else best.where(F.col("distance") <= reach))
-        done = best if done is None else done.unionByName(best)
-        if last or (most is not None and width >= most):
-            return done
-        left = cut(left.join(best, "id", "left_anti"))
-        if left.isEmpty():
-            return done
-        width *= 4
+    longer = F.greatest(F.abs(bx - ax), F.abs(by - ay), F.lit(side * float(grid.FINER) ** (1 - grid.LEVELS)))
+    finest = F.least(F.lit(grid.LEVELS - 1), F.greatest(F.lit(0), F.floor(F.log(F.lit(side * PASSED) / longer) / math.log(grid.FINER)).cast("int")))
+    dealt = parts.withColumn("finest", finest).withColumn("level", F.explode(F.sequence(F.lit(0), F.col("finest"))))
+    dealt = cut(passed(dealt, F.lit(side) / F.pow(F.lit(float(grid.FINER)), F.col("level")), 0.0, x0, y0))
+    at = grid.finest_level(points, dealt.select("level", "cx", "cy").distinct(), box)
+    if most is not None:
+        at = at.withColumn("level", F.greatest("level", F.lit(grid.level_of(most, side))))
+    at = cut(at)
+    own = at.select("id", "x", "y", "level", F.lit(False).alias("wider"), F.explode(grid.cells_around(2)).alias("o"))
+    kinds = sorted(r.finest for r in dealt.select("finest").distinct().collect())  # levels, few
+    wider = at.withColumn("level", F.explode(F.filter(F.array(*[F.lit(k) for k in kinds]), lambda k: k < F.col("level"))))
+    asked = own.unionByName(wider.select("id", "x", "y", "level", F.lit(True).alias("wider"), F.explode(grid.cells_around(1)).alias("o")))
+    asked = asked.select("id", "x", "y", "level", "wider", (grid.cell_at(x, x0, side, F.col("level")) + F.col("o.a")).alias("cx"), (grid.cell_at(y, y0, side, F.col("level")) + F.col("o.b")).alias("cy"))
+    met = asked.join(dealt, ["level", "cx", "cy"]).where("not wider or finest = level")
+    along = F.try_divide((x - ax) * (bx - ax) + (y - ay) * (by - ay), F.col("length") * F.col("length"))
+    met = met.withColumn("u", F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), along)), F.lit(0.0)))
+    met = met.withColumn("distance", F.hypot(x - ax - F.col("u") * (bx - ax), y - ay - F.col("u") * (by - ay)))
+    place = F.coalesce(F.try_divide(F.col("before") + F.col("u") * F.col("length"), F.col("total")), F.lit(0.0))
+    best = met.groupBy("id").agg(F.min(F.struct("distance", "edge", "k", place.alias("ratio"))).alias("m")).select("id", "m.edge", "m.distance", "m.ratio")
+    return cut(best if most is None else best.where(F.col("distance") <= most))
 
 
 def extent(lines: DataFrame, by: list[str]) -> DataFrame:

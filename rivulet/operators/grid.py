@@ -104,12 +104,12 @@ LEVELS, FINER = 17, 4
 
 
 def box_of(*places: DataFrame) -> tuple[float, float, float] | None:
-    """Smallest x and y and the longer side of what holds all places (x, y); null if there is none. One row goes to the driver."""
+    """Smallest x and y and the side (a little more than needed) of the square that holds all places (x, y); null if there is none. One row goes to the driver."""
     rows = places[0].select("x", "y")
     for more in places[1:]:
         rows = rows.unionByName(more.select("x", "y"))
     box = rows.agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1")).head()
-    return None if box.x0 is None else (box.x0, box.y0, max(box.x1 - box.x0, box.y1 - box.y0, 1e-9))
+    return None if box.x0 is None else (box.x0, box.y0, max(box.x1 - box.x0, box.y1 - box.y0, 1e-9) * 1.000001)
 
 
 def cell_at(value: Column, low: float, side: float, level: Column) -> Column:
@@ -145,7 +145,7 @@ def nearest(points: DataFrame, targets: DataFrame, most: float | None = None) ->
     sent = sent.withColumns({"cx": cell_at(F.col("tx"), x0, side, F.col("level")), "cy": cell_at(F.col("ty"), y0, side, F.col("level"))})
     found = finest_level(points, sent.select("level", "cx", "cy").distinct(), box)
     if most is not None:  # cells up to two away of this level hold all that lies within ``most``
-        found = found.withColumn("level", F.greatest("level", F.lit(_level_of(most, side))))
+        found = found.withColumn("level", F.greatest("level", F.lit(level_of(most, side))))
     at = found.select("id", "x", "y", "level", F.explode(cells_around(2)).alias("o"))
     at = at.select("id", "x", "y", "level", (cell_at(F.col("x"), x0, side, F.col("level")) + F.col("o.a")).alias("cx"), (cell_at(F.col("y"), y0, side, F.col("level")) + F.col("o.b")).alias("cy"))
     met = at.join(sent, ["level", "cx", "cy"]).withColumn("distance", F.hypot(F.col("x") - F.col("tx"), F.col("y") - F.col("ty")))
@@ -153,7 +153,7 @@ def nearest(points: DataFrame, targets: DataFrame, most: float | None = None) ->
     return cut(best if most is None else best.where(F.col("distance") <= most))
 
 
-def _level_of(reach: float, side: float) -> int:
+def level_of(reach: float, side: float) -> int:
     """The finest level whose cells are at least as wide as ``reach``."""
     return int(min(LEVELS - 1, max(0, math.floor(math.log(side / reach, FINER))))) if reach > 0 else LEVELS - 1
 

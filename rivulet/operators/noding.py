@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulet.operators.attach import segments
+from rivulet.operators.attach import PASSED, passed, segments
 from rivulet.operators.lineage import cut
 
-#: Cells that a segment's longer side may pass at its own level; each level is this many times as wide as the one below.
-PASSED, WIDER = 8, 8
+#: Each level is this many times as wide as the one below.
+WIDER = 8
 #: Of positions along a segment, what counts as an end.
 CLOSE = 1e-12
 
@@ -25,7 +25,7 @@ def base_width(parts: DataFrame) -> float:
 
 
 def in_cells(parts: DataFrame, width: float, reach: float = 0.0) -> DataFrame:
-    """``parts`` (ax, ay, bx, by) once for each cell (level, cx, cy) of its own level that it passes, widened by ``reach``: the cells of its column between where it enters and leaves it."""
+    """``parts`` (ax, ay, bx, by) once for each cell (level, cx, cy) of its own level that it passes, widened by ``reach``."""
     side = F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay"))) + 2 * reach
     level = F.greatest(F.lit(0), F.ceil(F.log(F.greatest(side, F.lit(width)) / (PASSED * width)) / F.log(F.lit(float(WIDER))))).cast("int")
     return columns_passed(parts.withColumn("level", level), width, reach)
@@ -33,16 +33,7 @@ def in_cells(parts: DataFrame, width: float, reach: float = 0.0) -> DataFrame:
 
 def columns_passed(parts: DataFrame, width: float, reach: float) -> DataFrame:
     """(..., level, cx, cy) for the cells of the given level."""
-    w = F.lit(width) * F.pow(F.lit(float(WIDER)), F.col("level"))
-    ax, ay, bx, by = (F.col(c) for c in ("ax", "ay", "bx", "by"))
-    cell = lambda v: F.floor(v / w).cast("long")
-    rows = parts.withColumn("cx", F.explode(F.sequence(cell(F.least(ax, bx) - reach), cell(F.greatest(ax, bx) + reach))))
-    # the part of the segment over this column, widened
-    low, high = F.col("cx") * w - reach, (F.col("cx") + 1) * w + reach
-    at = lambda x: F.when(ax == bx, ay).otherwise(ay + (F.least(F.greatest(x, F.least(ax, bx)), F.greatest(ax, bx)) - ax) * F.try_divide(by - ay, bx - ax))
-    inside = lambda f: F.when(ax == bx, f(ay, by)).otherwise(f(at(low), at(high)))
-    hair = F.abs(ay) * 1e-12 + F.abs(by) * 1e-12 + reach  # rounding of the entry must not lose a cell
-    return rows.withColumn("cy", F.explode(F.sequence(cell(inside(F.least) - hair), cell(inside(F.greatest) + hair))))
+    return passed(parts, F.lit(width) * F.pow(F.lit(float(WIDER)), F.col("level")), reach)
 
 
 def with_coarser(parts: DataFrame, owners: DataFrame, width: float, reach: float = 0.0) -> DataFrame:

@@ -81,7 +81,56 @@ def delineate_units(spark, sf_dir):
     flows = grid.d8(surface)
     at = surface.select((F.col("i") * 50 + F.col("j")).alias("id"), (F.col("j") + 0.25).alias("x"), (F.col("i") + 0.125).alias("y")).where("id % 7 = 0")
     found, _ = units.delineate(flows, grid.accumulate(flows), at, threshold=3, most=3.0, least_cells=4, cell_area=0.25)
-    return found.withColumns({"offset": r("offset", 6), "z_mean": r("z_mean"), "relief": r("relief")})
+    return found.drop("z_min", "z_max").withColumns({"offset": r("offset", 6), "z_mean": r("z_mean"), "relief": r("relief")})
+
+
+@query(f"""WITH RECURSIVE {D8_SQL}, {UPS}, ac AS (SELECT ri AS i, rj AS j, count(*) AS acc FROM up GROUP BY ri, rj), pt AS (SELECT i * 50 + j AS id, i + 0.125::DOUBLE AS y, j + 0.25::DOUBLE AS x FROM cells WHERE (i * 50 + j) % 3 = 0),
+sn AS (SELECT id, arg_min({{'i': ac.i, 'j': ac.j, 'acc': acc}}, (sqrt((x - ac.j) ** 2 + (y - ac.i) ** 2), ac.i, ac.j)) AS c, min(sqrt((x - ac.j) ** 2 + (y - ac.i) ** 2)) AS d FROM pt, ac WHERE acc >= 4 GROUP BY id),
+k AS (SELECT id, c, d, min(id) OVER (PARTITION BY c.i, c.j) AS first FROM sn WHERE d <= 2)
+SELECT id, CASE WHEN c IS NULL THEN 'out of reach' WHEN id != first THEN 'same cell' WHEN c.acc < 6 THEN 'too small' WHEN d > 0.7 THEN 'far' ELSE 'placed' END AS status, c.i AS i, c.j AS j, c.acc AS acc, round(d, 6) AS "offset" FROM pt LEFT JOIN k USING (id)""")
+def control_points(spark, sf_dir):
+    """What becomes of every third cell's point as a control point."""
+    surface = cells(spark, sf_dir)
+    at = surface.select((F.col("i") * 50 + F.col("j")).alias("id"), (F.col("j") + 0.25).alias("x"), (F.col("i") + 0.125).alias("y")).where("id % 3 = 0")
+    return units.place(at, grid.accumulate(grid.d8(surface)), threshold=4, most=2.0, far=0.7, least_cells=6).withColumn("offset", r("offset", 6))
+
+
+_UNIT_LINES = """ln AS (SELECT i * 50 + j AS edge, i, j, sqrt(2.5 ** 2 + 1.25 ** 2) AS length FROM cells WHERE (i * 50 + j) % 4 = 1),
+zl AS (SELECT ln.edge, length, coalesce(a.label, b.label) AS label FROM ln LEFT JOIN lab a ON a.i = ln.i + 1 AND a.j = ln.j + 3 LEFT JOIN lab b ON b.i = ln.i + 1 AND b.j = ln.j + 1)"""
+
+
+@query(f"""{_UNITS.rsplit('SELECT label, i, j, acc, round(d, 6)', 1)[0].rstrip()}, {_UNIT_LINES},
+un AS (SELECT label, acc, parent, area, z_mean, format('S{{:02d}}', row_number() OVER (ORDER BY depth DESC, area DESC, label)) AS code FROM sd JOIN pa USING (label) JOIN lv USING (label) JOIN z USING (label)),
+rv AS (SELECT label, count(*) AS n_edges, sum(length) AS river_length FROM zl WHERE label IS NOT NULL GROUP BY label), ab AS (SELECT parent AS label, string_agg(code, ' ' ORDER BY code) AS upstream FROM un WHERE parent IS NOT NULL GROUP BY parent),
+zz AS (SELECT label, min(z) AS z_min, max(z) AS z_max FROM lab JOIN cells USING (i, j) GROUP BY label), ss AS (SELECT label, string_agg('P' || (i * 50 + j), ' ' ORDER BY 'P' || (i * 50 + j)) AS stations FROM lab WHERE (i * 50 + j) % 11 = 5 GROUP BY label)
+SELECT un.code, 'point ' || label AS name, un.area, coalesce(p.code, '') AS parent, coalesce(upstream, '') AS upstream, round(coalesce(river_length, 0), 6) AS river_length, coalesce(n_edges, 0)::BIGINT AS n_edges, round(z_min, 4) AS z_min, round(z_max, 4) AS z_max, round(un.z_mean, 4) AS z_mean, un.acc, coalesce(stations, '') AS stations
+FROM un LEFT JOIN (SELECT label AS parent, code FROM un) p USING (parent) LEFT JOIN rv USING (label) LEFT JOIN ab USING (label) LEFT JOIN zz USING (label) LEFT JOIN ss USING (label)""")
+def unit_report(spark, sf_dir):
+    """The units of ``delineate_units`` with the lines from every fourth cell and the stations in every eleventh."""
+    surface = cells(spark, sf_dir)
+    flows, key = grid.d8(surface), F.col("i") * 50 + F.col("j")
+    at = surface.select(key.alias("id"), (F.col("j") + 0.25).alias("x"), (F.col("i") + 0.125).alias("y")).where("id % 7 = 0")
+    found, labels = units.delineate(flows, grid.accumulate(flows), at, threshold=3, most=3.0, least_cells=4, cell_area=0.25)
+    ends = F.array(*[F.struct(F.lit(k).alias("k"), (F.col("j") + 2.5 * k).alias("x"), (F.col("i") + 1.25 * k).alias("y")) for k in (0, 1)])
+    lines = surface.where(key % 4 == 1).select(key.alias("edge"), F.explode(ends).alias("p")).select("edge", "p.*")
+    stations = units.zones_at(surface.where(key % 11 == 5).select(F.concat(F.lit("P"), key.cast("string")).alias("name"), F.col("j").alias("x"), F.col("i").alias("y")), labels, "name")
+    lengths = lines.select("edge").distinct().withColumn("length", F.lit((2.5**2 + 1.25**2) ** 0.5))
+    names = found.select("label", F.concat(F.lit("point "), F.col("label").cast("string")).alias("name"))
+    rows = units.report(found, names, units.zones_of_lines(lines, labels), lengths, stations)
+    return rows.withColumns({"river_length": r("river_length", 6), "z_min": r("z_min"), "z_max": r("z_max"), "z_mean": r("z_mean")})
+
+
+@query("""SELECT source, id, name, x, y, attached FROM (SELECT 'station' AS source, s_suppkey::VARCHAR AS id, s_name AS name, s_suppkey::DOUBLE AS x, s_nationkey::DOUBLE AS y, s_suppkey % 2 = 0 AS attached FROM supplier WHERE s_suppkey % 3 = 0
+UNION ALL SELECT 'manual', p_partkey::VARCHAR, CASE WHEN p_partkey % 2 = 0 THEN p_partkey::VARCHAR ELSE p_name END, p_partkey, p_size, true FROM part WHERE p_partkey % 7 != 0 UNION ALL SELECT 'junction', c_custkey::VARCHAR, c_custkey::VARCHAR, c_custkey, 1, true FROM customer WHERE c_custkey % 4 = 1 AND (c_custkey % 5 = 0 OR c_acctbal >= 100))""")
+def control_candidates(spark, sf_dir):
+    """Suppliers as stations, parts as points given by hand, customers as nodes."""
+    k = F.col("s_suppkey")
+    stations = table(spark, sf_dir, "supplier").select(k.alias("id"), F.col("s_name").alias("name"), F.when(k % 3 == 0, "hydro").otherwise("rain").alias("type"), k.alias("x"), F.col("s_nationkey").alias("y"), F.when(k % 2 == 0, True).alias("attached"))
+    k = F.col("p_partkey")
+    manual = table(spark, sf_dir, "part").select(k.alias("id"), F.when(k % 2 == 1, F.col("p_name")).alias("name"), F.when(k % 7 != 0, k).alias("x"), F.col("p_size").alias("y"))
+    k = F.col("c_custkey")
+    nodes = table(spark, sf_dir, "customer").select(k.alias("id"), F.when(k % 4 == 1, "junction").otherwise("node").alias("kind"), k.alias("x"), F.lit(1).alias("y"), F.when(k % 5 != 0, F.col("c_acctbal")).alias("area"))
+    return units.candidates(stations, manual, nodes, 100.0)
 
 
 @query(f"WITH RECURSIVE {D8_SQL}, {UPS}, ac AS (SELECT ri AS i, rj AS j, count(*) AS acc FROM up GROUP BY ri, rj) SELECT i, j, acc FROM ac ORDER BY acc DESC, i, j LIMIT 1")
