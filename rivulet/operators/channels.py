@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulet.operators import grid, network
+from rivulet.operators import attach, grid, network, simplify
 from rivulet.operators.lineage import cut
 
 
@@ -46,6 +46,26 @@ def reaches(cells: DataFrame) -> DataFrame:
     return each.join(starts, "_end", "left").select("reach", "n_cells", "length", "z_mean", "acc", "below")
 
 
+def reach_lines(cells: DataFrame, xll: float, yll: float, cellsize: float, n_rows: int, tolerance: float = 0.0, rounds: int = 0, least_length: float = 0.0) -> DataFrame:
+    """(reach, k, x, y) of the lines through the middles of each reach's cells, in the raster's coordinates.
+
+    Reaches of more than four cells are simplified to ``tolerance``, lines of three vertices at least have their corners cut in
+    ``rounds``, and lines shorter than ``least_length`` go.
+    """
+    at = cells.select(F.col("reach").alias("edge"), F.col("k").cast("long").alias("k"), ((F.col("j") + 0.5) * cellsize + xll).alias("x"), ((n_rows - F.col("i") - 0.5) * cellsize + yll).alias("y"))
+    if tolerance > 0:
+        n = at.groupBy("edge").agg(F.count("*").alias("_n"))
+        sized = cut(at.join(n, "edge"))
+        long = simplify.simplify(sized.where("_n > 4"), tolerance)
+        at = simplify.renumbered(sized.where("_n <= 4").drop("_n").unionByName(long))
+    if rounds:
+        at = smooth(at, rounds)
+    if least_length > 0:
+        total = attach.segments(at).groupBy("edge").agg(F.sum("length").alias("_l")).where(F.col("_l") >= least_length)
+        at = at.join(total, "edge", "left_semi")
+    return at.select(F.col("edge").alias("reach"), "k", "x", "y")
+
+
 def reach_orders(found: DataFrame) -> DataFrame:
     """(reach, stream_order): 1 at sources; one more than the reaches above if these are all equal, else the largest of theirs."""
     return network.orders(found.select(F.col("reach").alias("id"), F.col("below").alias("parent")), strict=False).withColumnRenamed("id", "reach")

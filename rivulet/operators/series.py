@@ -86,22 +86,32 @@ def areal_mean(series: DataFrame, weights: DataFrame, key: str = "station", ts:
     return joined.groupBy("unit", ts).agg((F.sum(F.col("weight") * F.col(value)) / F.sum("weight")).alias("value"))
 
 
+def _held(names: DataFrame, others: DataFrame) -> DataFrame:
+    """(name, other) of the names (name) that another (other) holds as a part of it: parts of the lengths that names have, joined on the name itself, so only true pairs meet."""
+    lengths = sorted(r.n for r in names.select(F.length("name").alias("n")).distinct().collect())  # no more than the longest name is long
+    sizes = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: (n > 0) & (n < F.length("other")))
+    parts = others.select("other", F.explode(sizes).alias("n")).select("other", F.explode(F.sequence(F.lit(1), F.length("other") - F.col("n") + 1)).alias("i"), "n")
+    return parts.select("other", F.substring(F.col("other"), F.col("i"), F.col("n")).alias("name")).distinct().join(names, "name")
+
+
 def match_names(left: DataFrame, right: DataFrame, left_id: str, left_name: str, right_id: str, right_name: str) -> DataFrame:
     """(left_id, right_id, tier) of the best match: 1 the same id, 2 the same name, 3 one name holds the other; ties to the smaller right_id.
 
-    Tiers 1 and 2 are hash joins. For tier 3 names are joined on words of three characters, which either containment
-    implies, so names are compared only where they share one; names under three characters join on themselves.
+    Names are compared as distinct ones, each with its smallest right_id, so a name that many rows share meets once. All
+    joins are on whole ids or names: for tier 3 the parts of a name that are as long as some other name. Null and empty
+    names hold nothing and match none.
     """
-    grams = lambda c: F.array_distinct(F.when(F.length(c) < 3, F.array(c)).otherwise(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3)))))
-    a = left.select(F.col(left_id).alias("left_id"), F.col(left_name).alias("ln"))
-    b = right.select(F.col(right_id).alias("right_id"), F.col(right_name).alias("rn"))
-    same_id = a.join(b, F.col("left_id").cast("string") == F.col("right_id").cast("string")).select("left_id", "right_id", F.lit(1).alias("tier"))
-    same_name = a.join(b, F.col("ln") == F.col("rn")).select("left_id", "right_id", F.lit(2).alias("tier"))
-    holds = F.contains("ln", "rn") | F.contains("rn", "ln")
-    short = lambda d, c: d.where(F.length(c) > 0).withColumn("g", F.explode(grams(F.col(c))))
-    inside = short(a, "ln").join(short(b, "rn"), "g").where(holds).select("left_id", "right_id", F.lit(3).alias("tier")).distinct()
-    found = same_id.unionByName(same_name).unionByName(inside)
-    return found.groupBy("left_id").agg(F.min(F.struct("tier", "right_id")).alias("m")).select("left_id", "m.right_id", "m.tier")
+    a = left.select(F.col(left_id).alias("left_id"), F.col(left_name).alias("name"))
+    b = right.select(F.col(right_id).alias("right_id"), F.col(right_name).alias("name"))
+    own = a.select("left_id", F.col("left_id").cast("string").alias("key")).join(b.groupBy(F.col("right_id").cast("string").alias("key")).agg(F.min("right_id").alias("right_id")), "key").select("left_id", "right_id", F.lit(1).alias("tier"))
+    ours, theirs = a.where("name != ''").select("name").distinct(), b.where("name != ''").groupBy("name").agg(F.min("right_id").alias("right_id"))
+    other = theirs.withColumnRenamed("name", "other")
+    inside = _held(ours, other.select("other")).join(other, "other").select("name", "right_id")
+    around = _held(theirs.select("name"), ours.withColumnRenamed("name", "other")).join(theirs, "name").select(F.col("other").alias("name"), "right_id")
+    told = theirs.select("name", "right_id", F.lit(2).alias("tier")).unionByName(inside.unionByName(around).withColumn("tier", F.lit(3)))
+    best = told.groupBy("name").agg(F.min(F.struct("tier", "right_id")).alias("m"))
+    named = a.join(best, "name").select("left_id", "m.right_id", "m.tier")
+    return own.unionByName(named).groupBy("left_id").agg(F.min(F.struct("tier", "right_id")).alias("m")).select("left_id", "m.right_id", "m.tier")
 
 
 def coverage(stations: DataFrame, present: DataFrame, unit: str, key: str, weight: str) -> DataFrame:

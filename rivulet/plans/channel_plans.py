@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rivulet.operators import channels, grid
 from rivulet.plans.common import query, r
+from rivulet.plans.geometry_plans import apart
 from rivulet.plans.network_plans import CELLS, D8_SQL, UPS, XY, cells
 from rivulet.sources import sinks
 from rivulet.sources.tables import table
@@ -26,6 +27,19 @@ def channel_reaches(spark, sf_dir):
     return found.select(*at, "n_cells", r("length").alias("length"), r("z_mean").alias("z_mean"), "acc", F.col("below").isNotNull().alias("goes_on"))
 
 
+@query(f"""{_REACHES}, v AS (SELECT si, sj, wk.k, (wk.j + 0.5::DOUBLE) * 10 + 100 AS x, (60 - wk.i - 0.5::DOUBLE) * 10 + 200 AS y, count(*) OVER (PARTITION BY si, sj) AS n FROM wk), rl AS (SELECT * FROM v WHERE n > 1),
+iv AS (SELECT si, sj, 0 AS low, n - 1 AS high FROM rl WHERE k = 0 UNION ALL SELECT si, sj, unnest([low, mid]), unnest([mid, high]) FROM (SELECT iv.si, iv.sj, low, high, arg_max(q.k, ({apart('q.x', 'q.y', 'a.', 'b.')}, -q.k)) AS mid, max({apart('q.x', 'q.y', 'a.', 'b.')}) AS far FROM iv
+JOIN rl a ON a.si = iv.si AND a.sj = iv.sj AND a.k = low JOIN rl b ON b.si = iv.si AND b.sj = iv.sj AND b.k = high JOIN rl q ON q.si = iv.si AND q.sj = iv.sj AND q.k > low AND q.k < high WHERE q.n > 4 GROUP BY iv.si, iv.sj, low, high) WHERE far > 6),
+kept AS (SELECT si, sj, low AS k FROM iv UNION SELECT si, sj, high FROM iv UNION SELECT si, sj, k FROM rl WHERE n <= 4)
+SELECT si AS i, sj AS j, (row_number() OVER (PARTITION BY si, sj ORDER BY k) - 1)::INT AS k, round(x, 4) AS x, round(y, 4) AS y FROM rl JOIN kept USING (si, sj, k)""")
+def reach_lines(spark, sf_dir):
+    """The reaches as simplified lines of a raster with cells of 10."""
+    flows = grid.d8(cells(spark, sf_dir))
+    found = channels.reach_lines(channels.reach_cells(flows, grid.accumulate(flows), threshold=3), 100.0, 200.0, 10.0, 60, tolerance=6.0)
+    at = [F.shiftright("reach", 32).cast("int").alias("i"), F.col("reach").bitwiseAND((1 << 32) - 1).cast("int").alias("j")]
+    return found.select(*at, F.col("k").cast("int").alias("k"), r("x").alias("x"), r("y").alias("y"))
+
+
 @query(f"""WITH {XY}, l AS (SELECT label AS edge, row_number() OVER o - 1 AS k, x, y, lead(x) OVER o AS ex, lead(y) OVER o AS ey, count(*) OVER (PARTITION BY label) AS n FROM xy WINDOW o AS (PARTITION BY label ORDER BY vec_id)),
 p AS (SELECT edge, k, 0 AS part, x, y FROM l WHERE k IN (0, n - 1) OR n < 3 UNION ALL SELECT edge, k, 1, x * 0.75::DOUBLE + ex * 0.25::DOUBLE, y * 0.75::DOUBLE + ey * 0.25::DOUBLE FROM l WHERE ex IS NOT NULL AND n > 2
 UNION ALL SELECT edge, k, 2, x * 0.25::DOUBLE + ex * 0.75::DOUBLE, y * 0.25::DOUBLE + ey * 0.75::DOUBLE FROM l WHERE ex IS NOT NULL AND n > 2)

@@ -37,7 +37,7 @@ def _along(px: str, py: str, a: str, b: str) -> str:
     return f"greatest(0, least(1, (({px} - {a}x) * ({b}x - {a}x) + ({py} - {a}y) * ({b}y - {a}y)) / (({b}x - {a}x) ** 2 + ({b}y - {a}y) ** 2)))"
 
 
-def _apart(px: str, py: str, a: str, b: str) -> str:
+def apart(px: str, py: str, a: str, b: str) -> str:
     """SQL of the distance of a point from a segment."""
     u = _along(px, py, a, b)
     return f"sqrt(({px} - {a}x - {u} * ({b}x - {a}x)) ** 2 + ({py} - {a}y - {u} * ({b}y - {a}y)) ** 2)"
@@ -50,11 +50,11 @@ _CROSS = "(zx - ax) * (dy - cy) - (zy - ay) * (dx - cx)"
 ps AS (SELECT * FROM (SELECT edge, piece, k, x AS ax, y AS ay, lead(x) OVER w AS zx, lead(y) OVER w AS zy, row_number() OVER w AS n FROM pv WINDOW w AS (PARTITION BY edge, piece ORDER BY k)) WHERE zx IS NOT NULL),
 src AS (SELECT edge AS line, k AS lk, ax AS cx, ay AS cy, zx AS dx, zy AS dy, sum(sqrt((zx - ax) ** 2 + (zy - ay) ** 2)) OVER (PARTITION BY edge ORDER BY k) - sqrt((zx - ax) ** 2 + (zy - ay) ** 2) AS before, sqrt((zx - ax) ** 2 + (zy - ay) ** 2) AS len FROM s),
 m AS (SELECT ps.*, src.*, {_CROSS} AS x, ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / ({_CROSS}) AS t, ((cx - ax) * (zy - ay) - (cy - ay) * (zx - ax)) / ({_CROSS}) AS u,
-  least({_apart('ax', 'ay', 'c', 'd')}, {_apart('zx', 'zy', 'c', 'd')}, {_apart('cx', 'cy', 'a', 'z')}, {_apart('dx', 'dy', 'a', 'z')}) AS far, CASE WHEN n = 1 THEN {_apart('(ax + zx) / 2', '(ay + zy) / 2', 'c', 'd')} END AS middle FROM ps, src),
+  least({apart('ax', 'ay', 'c', 'd')}, {apart('zx', 'zy', 'c', 'd')}, {apart('cx', 'cy', 'a', 'z')}, {apart('dx', 'dy', 'a', 'z')}) AS far, CASE WHEN n = 1 THEN {apart('(ax + zx) / 2', '(ay + zy) / 2', 'c', 'd')} END AS middle FROM ps, src),
 g AS (SELECT edge, piece, line, min(round(CASE WHEN t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1 THEN 0 ELSE far END, 9)) AS apart, min(round(middle, 9)) AS middle FROM m GROUP BY edge, piece, line),
 b AS (SELECT * FROM g WHERE apart <= 0.05 QUALIFY row_number() OVER (PARTITION BY edge, piece ORDER BY apart, middle, line) = 1),
 e AS (SELECT edge, piece, arg_min(ax, k) AS sx, arg_min(ay, k) AS sy, arg_max(zx, k) AS ex, arg_max(zy, k) AS ey FROM ps GROUP BY edge, piece),
-w AS (SELECT edge, piece, min(({_apart('sx', 'sy', 'c', 'd')}, before + {_along('sx', 'sy', 'c', 'd')} * len)) AS a, min(({_apart('ex', 'ey', 'c', 'd')}, before + {_along('ex', 'ey', 'c', 'd')} * len)) AS z FROM b JOIN e USING (edge, piece) JOIN src USING (line) GROUP BY edge, piece)
+w AS (SELECT edge, piece, min(({apart('sx', 'sy', 'c', 'd')}, before + {_along('sx', 'sy', 'c', 'd')} * len)) AS a, min(({apart('ex', 'ey', 'c', 'd')}, before + {_along('ex', 'ey', 'c', 'd')} * len)) AS z FROM b JOIN e USING (edge, piece) JOIN src USING (line) GROUP BY edge, piece)
 SELECT edge, piece, line, apart AS distance, a[2] < z[2] AS forward FROM (SELECT DISTINCT edge, piece FROM ps) LEFT JOIN b USING (edge, piece) LEFT JOIN w USING (edge, piece)""")
 def source_lines(spark, sf_dir):
     """Pieces of four vertices, by the vectors' next two numbers, and the lines within 0.05 of them."""
@@ -94,7 +94,7 @@ def largest_parts(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {_LINES}, iv AS (SELECT edge, 0::BIGINT AS low, max(k) AS high FROM v GROUP BY edge
-UNION ALL SELECT edge, unnest([low, mid]), unnest([mid, high]) FROM (SELECT iv.edge, low, high, arg_max(q.k, ({_apart('q.x', 'q.y', 'a.', 'b.')}, -q.k)) AS mid, max({_apart('q.x', 'q.y', 'a.', 'b.')}) AS far FROM iv
+UNION ALL SELECT edge, unnest([low, mid]), unnest([mid, high]) FROM (SELECT iv.edge, low, high, arg_max(q.k, ({apart('q.x', 'q.y', 'a.', 'b.')}, -q.k)) AS mid, max({apart('q.x', 'q.y', 'a.', 'b.')}) AS far FROM iv
 JOIN v a ON a.edge = iv.edge AND a.k = low JOIN v b ON b.edge = iv.edge AND b.k = high JOIN v q ON q.edge = iv.edge AND q.k > low AND q.k < high GROUP BY iv.edge, low, high) WHERE far > 0.12)
 SELECT edge, k::INT AS k, round(x, 6) AS x, round(y, 6) AS y FROM v WHERE (edge, k) IN (SELECT (edge, low) FROM iv UNION SELECT (edge, high) FROM iv)""")
 def simplified_lines(spark, sf_dir):

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.plans import channel_plans, geometry_plans, model_plans, network_plans, series_plans, topology_plans
+from rivulet.plans import channel_plans, geometry_plans, model_plans, network_plans, residual_plans, series_plans, topology_plans
 from rivulet.plans.common import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "channel_plans", "flagship", "geometry_plans", "model_plans", "network_plans", "series_plans", "topology_plans"]
+__all__ = ["ORACLES", "QUERIES", "channel_plans", "flagship", "geometry_plans", "model_plans", "network_plans", "residual_plans", "series_plans", "topology_plans"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
