@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,24 +62,86 @@ def zonal(cells: DataFrame, label: str = "label", cell_area: float = 1.0) -> Dat
     )
 
 
-def fill(cells: DataFrame, eps: float = 1e-4) -> DataFrame:
+#: Rows and columns of a tile.
+TILE = 256
+
+
+def _in_tiles(cells: DataFrame, value: str, sink: Callable[[np.ndarray, np.ndarray], np.ndarray], tile: int) -> DataFrame:
+    """``cells`` (i, j, z, value) with values sunk as far as ``sink`` (z, value -> lower values, from neighbours) can take them.
+
+    Tiles sink by themselves until nothing moves in them, then tell the cells along their sides to the tiles beside them;
+    this goes on while any cell moves, so rounds follow the tiles that a way crosses and not its cells. A task holds a tile.
+    """
+    at = lambda c, d=0: F.floor((F.col(c) + d) / tile).cast("int")
+    ways = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+
+    def settle(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        top, left = (int(k) * tile - 1 for k in key)
+        z, v = np.full((tile + 2, tile + 2), np.inf), np.full((tile + 2, tile + 2), np.inf)
+        i, j, own = rows.i.to_numpy() - top, rows.j.to_numpy() - left, rows.own.to_numpy(bool)
+        z[i, j], v[i, j] = rows.z, rows.v
+        mine = np.zeros(z.shape, bool)
+        mine[i[own], j[own]] = True
+        before = v.copy()
+        while True:
+            lower = np.where(mine, np.minimum(v, sink(z, v)), v)
+            if np.array_equal(lower, v):
+                break
+            v = lower
+        i, j = i[own], j[own]
+        return pd.DataFrame({"i": i + top, "j": j + left, "z": z[i, j], "v": v[i, j], "moved": v[i, j] < before[i, j]})
+
+    state = cut(cells.select("i", "j", F.col("z").cast("double").alias("z"), F.col(value).cast("double").alias("v")))
+    while True:
+        sent = state.select("*", F.explode(ways).alias("w")).withColumns({"ti": F.floor((F.col("i") + F.col("w.a")) / tile).cast("int"), "tj": F.floor((F.col("j") + F.col("w.b")) / tile).cast("int")})
+        beside = sent.where((F.col("ti") != at("i")) | (F.col("tj") != at("j"))).select("ti", "tj", "i", "j", "z", "v", F.lit(False).alias("own")).distinct()
+        dealt = state.select(at("i").alias("ti"), at("j").alias("tj"), "i", "j", "z", "v", F.lit(True).alias("own")).unionByName(beside)
+        moved = cut(dealt.groupBy("ti", "tj").applyInPandas(settle, "i int, j int, z double, v double, moved boolean"))
+        state = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            return state.withColumnRenamed("v", value)
+
+
+def _shifts(a: np.ndarray) -> Iterator[np.ndarray]:
+    """What lies beside each place, in the order of D8; infinite beyond the sides."""
+    wide = np.pad(a, 1, constant_values=np.inf)
+    for di, dj, _, _ in D8:
+        yield wide[1 + di : wide.shape[0] - 1 + di, 1 + dj : wide.shape[1] - 1 + dj]
+
+
+def fill(cells: DataFrame, eps: float = 1e-4, tile: int = TILE) -> DataFrame:
     """(i, j, z): pits raised so that every cell has a way down to the border, each step of it at least ``eps``.
 
     Border cells keep their height; all others start high and sink to max(z, lowest neighbour + eps) until nothing moves.
-    A cell beside no data is no border cell, as water leaves only at the edge of the raster.
+    A cell beside no data is no border cell, as water leaves only at the edge of the raster; cells that no way leads from
+    keep their height.
     """
     box = cells.agg(F.min("i").alias("i0"), F.max("i").alias("i1"), F.min("j").alias("j0"), F.max("j").alias("j1")).head()
     if box.i0 is None:
         return cells.select("i", "j", "z")
     border = F.col("i").isin(box.i0, box.i1) | F.col("j").isin(box.j0, box.j1)
-    at = cut(cells.select("i", "j", "z", F.when(border, F.col("z")).otherwise(F.lit(float("inf"))).alias("f")))
-    while True:
-        low = _neighbours(at.where("f < double('inf')"), "f").groupBy("i", "j").agg(F.min("n_f").alias("_low"))
-        sunk = at.join(low, ["i", "j"], "left").withColumn("_new", F.least("f", F.greatest("z", F.coalesce(F.col("_low") + eps, F.lit(float("inf"))))))
-        sunk = cut(sunk.select("i", "j", "z", F.col("_new").alias("f"), (F.col("_new") < F.col("f")).alias("moved")))
-        at = sunk.drop("moved")
-        if sunk.where("moved").isEmpty():
-            return at.select("i", "j", F.when(F.col("f") == float("inf"), F.col("z")).otherwise(F.col("f")).alias("z"))
+    high = cells.select("i", "j", "z", F.when(border, F.col("z")).otherwise(F.lit(float("inf"))).alias("f"))
+    sunk = _in_tiles(high, "f", lambda z, f: np.maximum(z, np.minimum.reduce(list(_shifts(f))) + eps), tile)
+    return sunk.select("i", "j", F.when(F.col("f") == float("inf"), F.col("z")).otherwise(F.col("f")).alias("z"))
+
+
+def resolve_flats(flows: DataFrame, tolerance: float = 0.05, tile: int = TILE) -> DataFrame:
+    """``flows`` (i, j, z, code, down_i, down_j) whose cells without a way down flow to a neighbour not above them by more than ``tolerance``, on the shortest way to a cell that has one.
+
+    Steps to such cells are counted over all flats at once; of neighbours one step nearer the first in the order of D8 is
+    taken. Cells from which none can be reached (outlets, single cells) stay as they are.
+    """
+    start = flows.select("i", "j", "z", F.when(F.col("down_i").isNotNull(), 0.0).otherwise(F.lit(float("inf"))).alias("steps"))
+
+    def nearer(z: np.ndarray, steps: np.ndarray) -> np.ndarray:
+        return np.minimum.reduce([np.where(z >= n - tolerance, s, np.inf) for n, s in zip(_shifts(z), _shifts(steps), strict=True)]) + 1
+
+    told = cut(_in_tiles(start, "steps", nearer, tile))
+    flat = told.where("steps > 0 and steps < double('inf')")
+    near = _neighbours(told, "z", "steps").join(flat, ["i", "j"]).where((F.col("n_steps") == F.col("steps") - 1) & (F.col("z") >= F.col("n_z") - tolerance))
+    way = near.groupBy("i", "j").agg(F.min(F.struct("k", "code", "down_i", "down_j")).alias("w"))
+    joined = flows.join(way, ["i", "j"], "left")
+    return joined.select("i", "j", "z", *[F.coalesce(f"w.{c}", c).alias(c) for c in ("code", "down_i", "down_j")])
 
 
 def streams(acc: DataFrame, threshold: int) -> DataFrame:

@@ -117,12 +117,36 @@ def grid_zonal(spark, sf_dir):
     return grid.zonal(rows, cell_area=0.25).withColumns({"z_mean": r("z_mean"), "relief": r("relief")})
 
 
-@query()
+def _relaxed(start: str, step: str, rounds: int = 150) -> str:
+    """SQL of a value of every cell after so many rounds in which each takes the least of its own and what its neighbours let it take."""
+    near = f"(VALUES {', '.join(str((a, b)) for a, b, _, _ in grid.D8)}) AS w(di, dj)"
+    return f"""rec AS (SELECT 0 AS round, i, j, z, {start} AS f FROM cells UNION ALL
+SELECT r.round + 1, r.i, r.j, r.z, least(min(r.f), coalesce(min({step}), 'inf'::DOUBLE)) FROM rec r, {near} LEFT JOIN rec n ON n.i = r.i + di AND n.j = r.j + dj WHERE r.round < {rounds} GROUP BY r.round, r.i, r.j, r.z),
+last AS (SELECT i, j, z, f FROM rec WHERE round = {rounds})"""
+
+
+_BORDER = "i IN (0, (SELECT max(i) FROM cells)) OR j IN (0, 49)"
+_FILLED = D8_SQL.replace(CELLS, f"{CELLS.replace('cells AS', 'cells AS MATERIALIZED')}, {_relaxed(f"CASE WHEN {_BORDER} THEN z ELSE 'inf'::DOUBLE END", 'greatest(r.z, n.f + 0.01)')}, raised AS (SELECT i, j, f AS z FROM last)").replace("FROM cells c, w JOIN cells n", "FROM raised c, w JOIN raised n").replace("FROM cells c LEFT JOIN best", "FROM raised c LEFT JOIN best")
+
+
+@query(f"WITH RECURSIVE {_FILLED} SELECT i, j, round(z, 4) AS z, code FROM flow")
 def grid_fill(spark, sf_dir):
-    filled = grid.fill(cells(spark, sf_dir), 0.01)
+    filled = grid.fill(cells(spark, sf_dir), 0.01, tile=8)
     return grid.d8(filled).select("i", "j", r("z").alias("z"), "code")
 
 
+_STEPPED = D8_SQL.replace("(0.1::DOUBLE * ((p_partkey * 37) % 1009) + 0.01::DOUBLE * (p_partkey // 50))::DOUBLE AS z", "(((p_partkey * 37) % 1009) // 300)::DOUBLE AS z")
+
+
+@query(f"""WITH RECURSIVE {_STEPPED}, {_relaxed("(SELECT CASE WHEN down_i IS NULL THEN 'inf'::DOUBLE ELSE 0 END FROM flow x WHERE x.i = cells.i AND x.j = cells.j)", 'CASE WHEN r.z >= n.z - 0.05::DOUBLE THEN n.f + 1 END')},
+way AS (SELECT l.i, l.j, arg_min({{'code': w.code, 'i': n.i, 'j': n.j}}, w.k) AS w FROM last l, w JOIN last n ON n.i = l.i + w.di AND n.j = l.j + w.dj WHERE l.f > 0 AND l.f < 'inf' AND n.f = l.f - 1 AND l.z >= n.z - 0.05::DOUBLE GROUP BY l.i, l.j)
+SELECT flow.i, flow.j, coalesce(way.w.code, code)::INT AS code, coalesce(way.w.i, down_i) AS down_i, coalesce(way.w.j, down_j) AS down_j FROM flow LEFT JOIN way USING (i, j)""")
+def flat_directions(spark, sf_dir):
+    """Heights in a few steps, so that most cells lie on flats."""
+    stepped = table(spark, sf_dir, "part").select(F.call_function("div", F.col("p_partkey"), F.lit(50)).cast("int").alias("i"), (F.col("p_partkey") % 50).cast("int").alias("j"), F.call_function("div", (F.col("p_partkey") * 37) % 1009, F.lit(300)).cast("double").alias("z"))
+    return grid.resolve_flats(grid.d8(stepped), tile=8).select("i", "j", "code", "down_i", "down_j")
+
+
 @query(f"""WITH {CELLS}, g AS (SELECT i, j, z, CASE WHEN lag(z) OVER r IS NULL AND lead(z) OVER r IS NULL THEN 0 WHEN lag(z) OVER r IS NULL THEN lead(z) OVER r - z WHEN lead(z) OVER r IS NULL THEN z - lag(z) OVER r ELSE (lead(z) OVER r - lag(z) OVER r) / 2 END AS dx,
  CASE WHEN lag(z) OVER c IS NULL AND lead(z) OVER c IS NULL THEN 0 WHEN lag(z) OVER c IS NULL THEN lead(z) OVER c - z WHEN lead(z) OVER c IS NULL THEN z - lag(z) OVER c ELSE (lead(z) OVER c - lag(z) OVER c) / 2 END AS dy FROM cells WINDOW r AS (PARTITION BY i ORDER BY j), c AS (PARTITION BY j ORDER BY i))
 SELECT i, j, round(least(greatest(sin(pi() / 2 - atan(sqrt(dx * dx + dy * dy))) * sin(radians(45)) + cos(pi() / 2 - atan(sqrt(dx * dx + dy * dy))) * cos(radians(45)) * cos(radians(135) - atan2(-dx, dy)), 0), 1), 4) AS shade FROM g""")
