@@ -29,6 +29,7 @@ SEGMENT = (
 )
 
 _CONTROL, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
+_PLACEHOLDER = re.compile(r"<\|\w+_(\d+)\|>")
 _SEGMENT = re.compile(r"\A<\|im_start\|>([^\n]*)\n(.*)<\|im_end\|>\n\Z", re.S)
 
 
@@ -49,6 +50,12 @@ def _role_in(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
+def _size(part: dict, name: str) -> float:
+    """A part's measure; 0 if it is missing, negative or not finite (JSON holds such numbers as text)."""
+    value = float(part.get(name) or 0)
+    return value if 0 < value < math.inf else 0.0
+
+
 class Flattener:
     """Visits the parts of one turn; unknown kinds are attachments without tokens."""
 
@@ -64,13 +71,13 @@ class Flattener:
         self.tokens += len(text.split())
 
     def visit_image(self, part: dict) -> None:
-        self._attach(part, math.ceil((part.get("width") or 0) / PATCH) * math.ceil((part.get("height") or 0) / PATCH))
+        self._attach(part, math.ceil(_size(part, "width") / PATCH) * math.ceil(_size(part, "height") / PATCH))
 
     def visit_audio(self, part: dict) -> None:
-        self._attach(part, math.ceil((part.get("seconds") or 0) * FRAMES))
+        self._attach(part, math.ceil(_size(part, "seconds") * FRAMES))
 
     def visit_document(self, part: dict) -> None:
-        self._attach(part, (part.get("pages") or 0) * PAGE)
+        self._attach(part, int(_size(part, "pages")) * PAGE)
 
     def visit_other(self, part: dict) -> None:
         self._attach(part, 0)
@@ -104,11 +111,47 @@ def parse_segment(segment: str) -> tuple[str, str]:
     return _role_in(role), unescape(body)
 
 
+def parse_parts(segment: str) -> tuple[str, list[tuple[str, int | None]]]:
+    """The role and, in order, the parts of a segment: (text, None) and (placeholder, its number).
+
+    Told before texts are unescaped, so a text that looks like a placeholder is a text. Neighbouring texts are one part.
+    """
+    role, body = _SEGMENT.match(segment).groups()
+    parts, at = [], 0
+    for found in _PLACEHOLDER.finditer(body):
+        parts += [(unescape(body[at : found.start()]), None)] * (found.start() > at) + [(found[0], int(found[1]))]
+        at = found.end()
+    return _role_in(role), parts + [(unescape(body[at:]), None)] * (at < len(body))
+
+
+PARTS = "conv_id string, turn string, role string, parts array<struct<kind: string, text: string, ref: string, tokens: long>>"
+
+
+def read_back(segments: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, parts) read from the formatted segments: texts as written, and attachments with their reference and tokens in their places. Neighbouring texts come back as one, empty ones not at all."""
+    ids = segments.select("conv_id", "turn").schema
+    rows = segments.select(F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("string").alias("turn"), "segment", F.to_json("attachments").alias("attachments"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = []
+            for row in batch.itertuples(index=False):
+                role, parts = parse_parts(row.segment)
+                held = json.loads(row.attachments)
+                told = [{"kind": "text", "text": text, "ref": None, "tokens": None} if n is None else {"kind": held[n]["kind"], "text": None, "ref": held[n].get("ref"), "tokens": held[n]["tokens"]} for text, n in parts]
+                made.append((row.conv_id, row.turn, role, told))
+            yield pd.DataFrame(made, columns=["conv_id", "turn", "role", "parts"])
+
+    made = rows.mapInPandas(run, PARTS)
+    return made.select(F.col("conv_id").cast(ids["conv_id"].dataType), F.col("turn").cast(ids["turn"].dataType), "role", "parts")
+
+
 def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", content_col: str = "text") -> DataFrame:
     """One formatted segment per turn row; a conversation's text is its segments in order of turn.
 
     ``content_col`` holds a string or an array of PART structs. A null text or part is empty, a null role is the empty
-    role; other columns are not read. Rows are formatted where they lie: nothing is shuffled.
+    role; measures that are missing, negative or not finite count as 0; other columns are not read. Rows are formatted
+    where they lie: nothing is shuffled.
     """
     ids = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn")).schema
     # ids travel as text: pandas would make floats of whole numbers beside a null

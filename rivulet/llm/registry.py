@@ -19,6 +19,33 @@ def op1_chat_format(spark, sf_dir):
     return chat.conversation_digests(chat.format_turns(turns.unionByName(more)))
 
 
+def typed_chat(spark, sf_dir):
+    """Turns with typed parts, formatted and read back: each text, a picture of the page of the same number, a sound as long as the text, and a text that looks like a placeholder."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("conv_id"), "url", F.length("html").cast("long").alias("width"))
+    number, real = F.lit(None).cast("long"), F.lit(None).cast("double")
+
+    def part(kind, text=None, ref=None, width=number, height=number, seconds=real):
+        none = F.lit(None).cast("string")
+        return F.struct(F.lit(kind).alias("type"), (none if text is None else text).alias("text"), (none if ref is None else ref).alias("ref"), width.alias("width"), height.alias("height"), seconds.alias("seconds"), number.alias("pages"))
+
+    text = F.coalesce("text", F.lit(""))
+    picture = part("image", ref=F.col("url"), width=F.col("width") % 500, height=F.lit(100).cast("long"))
+    sound = part("audio", ref=F.concat(F.col("conv_id").cast("string"), F.lit(".wav")), seconds=F.when(F.col("turn") % 3 == 0, F.lit(float("nan"))).otherwise(F.length(text) * 0.5))
+    parts = F.array(part("text", text=F.concat(F.lit("> "), text)), picture, sound, part("text", text=F.lit("<|image_0|><\\|")))
+    formatted = chat.format_turns(turns.join(pages, "conv_id", "left").select("conv_id", "turn", "role", parts.alias("text")))
+    back = chat.read_back(formatted)
+    said = F.concat_ws("\n", F.transform("parts", lambda p: F.coalesce(p.text, p.ref, F.lit(""))))
+    counted = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + F.coalesce(p.tokens, F.lit(0)))
+    return back.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.array_join(F.transform("parts", lambda p: p.kind), ",").alias("kinds"), F.sha2(said, 256).alias("said_sha256"), counted.alias("tokens"))
+
+
+TYPED_CHAT = """SELECT conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, 'text,image,audio,text' AS kinds,
+sha256('> ' || coalesce(text, '') || chr(10) || coalesce(url, '') || chr(10) || conv_id || '.wav' || chr(10) || '<|image_0|><\\|') AS said_sha256,
+(coalesce(ceil(length(html) % 500 / 28.0), 0) * 4 + CASE WHEN turn % 3 = 0 THEN 0 ELSE ceil(length(coalesce(text, '')) * 0.5 * 12.5) END)::BIGINT AS tokens
+FROM conversations LEFT JOIN pages ON page_id = conv_id"""
+
+
 def op2_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -71,6 +98,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_quality, op3_katz, op4_language_id, op5_nearest, op6_sharding, op7_fingerprints, op8_mixing, op9_byte_bpe, op10_jaccard_join, op11_lexical_search, op12_packing, op13_spelling,
+        typed_chat,
     )
 }
-ORACLES: dict[str, str] = {"op11_lexical_search": lexical.ORACLE}
+ORACLES: dict[str, str] = {"op11_lexical_search": lexical.ORACLE, "typed_chat": TYPED_CHAT}
