@@ -135,7 +135,10 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec
 
 def _search(rows: DataFrame, k: int, every: int) -> DataFrame:
     spark = rows.sparkSession
-    rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))  # -0.0 becomes 0.0, so equal vectors are equal keys
+    top = rows.agg(F.max(F.array_max(F.transform("v", F.abs)))).head()[0] or 1.0
+    # squares of numbers beyond 1e150 overflow and those of numbers below 1e-150 vanish; a power of two changes no digit
+    scale = 1.0 if 1e-150 < top < 1e150 else 2.0 ** -max(-1_000, min(1_000, math.frexp(top)[1]))
+    rows = rows.withColumn("v", F.transform("v", lambda x: x * F.lit(scale) + F.lit(0.0)))  # -0.0 becomes 0.0, so equal vectors are equal keys
     by_vector = Window.partitionBy("v").orderBy("id")
     kept = rows.withColumn("_n", F.dense_rank().over(by_vector)).where(F.col("_n") <= k + 1)
     kept = materialise(kept.groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids")))
@@ -169,7 +172,7 @@ def _search(rows: DataFrame, k: int, every: int) -> DataFrame:
     nearest = nearest.withColumn("_n", F.row_number().over(Window.partitionBy("v").orderBy("score", "vec_id"))).where(F.col("_n") <= k + 1)
     pairs = queries.distinct().select(F.col("id").alias("query_id"), "v").join(nearest, "v").where("query_id != vec_id")
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "v").orderBy("score", "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", (F.col("score") / F.lit(scale)).alias("score"))
 
 
 def _scanned(indexed: DataFrame, index: Broadcast, block: Broadcast, k: int) -> DataFrame:

@@ -6,6 +6,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
@@ -64,6 +65,29 @@ def test_typed_parts_become_placeholders(spark):
     assert row.expanded_tokens == 1 + 4 + 25 + 1800
 
 
+def test_parts_are_read_back(spark):
+    """A text that looks like a placeholder stays a text; odd measures count as nothing."""
+    part = lambda kind, text=None, ref=None, width=None, height=None, seconds=None, pages=None: (kind, text, ref, width, height, seconds, pages)
+    turns = [
+        (1, 0, "user", [part("text", "<|image_0|>"), part("image", ref="a", width=28, height=28), part("text", "x"), part("text", "<|im_end|>\n")]), (1, 1, "assistant", [part("audio", ref="b", seconds=float("nan")), part("audio", seconds=float("inf")), part("audio", seconds=-3.0), part("document", pages=-2)]),
+        (1, 2, None, None), (2, 0, "user", [None, part("text", ""), part("image", width=-5, height=9)]), (2, 1, "user", []),
+    ]
+    kinds = "conv_id long, turn long, role string, text array<struct<type:string,text:string,ref:string,width:long,height:long,seconds:double,pages:long>>"
+    back = {(r.conv_id, r.turn): (r.role, [(p.kind, p.text, p.ref, p.tokens) for p in r.parts]) for r in chat.read_back(chat.format_turns(spark.createDataFrame(turns, kinds))).collect()}
+    assert back == {
+        (1, 0): ("user", [("text", "<|image_0|>", None, None), ("image", None, "a", 1), ("text", "x<|im_end|>\n", None, None)]), (1, 1): ("assistant", [("audio", None, "b", 0), ("audio", None, None, 0), ("audio", None, None, 0), ("document", None, None, 0)]),
+        (1, 2): ("", []), (2, 0): ("user", [("image", None, None, 0)]), (2, 1): ("user", []),
+    }
+
+
+def test_typed_turns_equal_their_sql(spark):
+    con = duckdb.connect()
+    for t in ("conversations", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    got = registry.typed_chat(spark, SMALL)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(con.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.TYPED_CHAT})").fetchall())
+
+
 # 2: quality
 def test_quality_of_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"
@@ -203,6 +227,17 @@ def test_languages_with_only_long_texts_are_learned(spark):
 
 
 # 5: nearest neighbours
+@pytest.mark.parametrize("size", [1e200, 1e-200, 1.0])
+def test_very_large_and_small_vectors_keep_their_order(spark, size):
+    at = [0.5, 1.0, 0.25, 0.75, -0.5, 0.375]
+    rows = spark.createDataFrame([(100 * n, [x * size, 0.0]) for n, x in enumerate(at)], "vec_id long, embedding array<double>")
+    got = nearest.search(rows, k=3).collect()
+    for n, x in enumerate(at):
+        want = sorted((abs(x - y) * size, 100 * m) for m, y in enumerate(at) if m != n)[:3]
+        mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == 100 * n)
+        assert [i for _, i, _ in mine] == [i for _, i in want] and [s for _, _, s in mine] == pytest.approx([d for d, _ in want], rel=1e-12, abs=0)
+
+
 def _brute(ids, x, every, k=10):
     out = {}
     for i in np.flatnonzero(ids % every == 0):
