@@ -63,8 +63,31 @@ def first_marked(forest: DataFrame, marked: str) -> DataFrame:
 def orders(forest: DataFrame, strict: bool = True) -> DataFrame:
     """(id, stream_order): 1 at sources; elsewhere the largest order above, plus one if at least two share it.
 
-    ``strict=False`` adds one if all orders above are equal, also when there is only one. Works from the deepest level down.
+    ``strict=False`` adds one if all orders above are equal, also when there is only one.
     """
+    return _orders_by_order(forest) if strict else _orders_by_level(forest)
+
+
+def _orders_by_order(forest: DataFrame) -> DataFrame:
+    """A node's order exceeds k if and only if two nodes just above it, or just above a node upstream of it, have orders of k at least.
+
+    So each round marks where two such nodes meet and all that lies below; the next one looks at these nodes only. Rounds are
+    as many as orders, at most the logarithm of the number of nodes, and each takes as many joins as the depth has digits in base two.
+    """
+    left = cut(forest.select("id", "parent"))
+    found = cut(left.select("id", F.lit(1).alias("stream_order")))
+    while True:
+        meeting = left.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("_n")).where("_n >= 2")
+        marked = cut(left.join(meeting, "id", "left").select("id", "parent", F.when(F.col("_n").isNotNull(), 1).otherwise(0).cast("long").alias("_m")))
+        if marked.where("_m = 1").isEmpty():
+            return found
+        below = cut(upstream_sums(marked, ["_m"]).where("_m > 0").select("id"))
+        left = cut(left.join(below, "id", "left_semi"))
+        found = cut(found.join(below.withColumn("_more", F.lit(1)), "id", "left").select("id", (F.col("stream_order") + F.coalesce("_more", F.lit(0))).alias("stream_order")))
+
+
+def _orders_by_level(forest: DataFrame) -> DataFrame:
+    """The orders that also rise where one node flows into the next, from the deepest level down: such orders can be as many as levels."""
     leveled = cut(forest.select("id", "parent").join(levels(forest), "id"))
     deepest = leveled.agg(F.max("level")).head()[0]
     done = None
@@ -74,9 +97,8 @@ def orders(forest: DataFrame, strict: bool = True) -> DataFrame:
             found = here.select("id", "parent", F.lit(1).alias("stream_order"))
             done, last = found, cut(found)
             continue
-        above = last.groupBy(F.col("parent").alias("id")).agg(F.max("stream_order").alias("_top"), F.min("stream_order").alias("_low"), F.max(F.struct("stream_order", F.lit(1))).alias("_"), F.collect_list("stream_order").alias("_all"))
-        equal = F.size(F.filter("_all", lambda x: x == F.col("_top"))) >= 2 if strict else F.col("_low") == F.col("_top")
-        joined = here.join(above, "id", "left").select("id", "parent", F.when(F.col("_top").isNull(), 1).otherwise(F.col("_top") + F.when(equal, 1).otherwise(0)).alias("stream_order"))
+        above = last.groupBy(F.col("parent").alias("id")).agg(F.max("stream_order").alias("_top"), F.min("stream_order").alias("_low"))
+        joined = here.join(above, "id", "left").select("id", "parent", F.when(F.col("_top").isNull(), 1).otherwise(F.col("_top") + F.when(F.col("_low") == F.col("_top"), 1).otherwise(0)).alias("stream_order"))
         last = cut(joined)
         done = done.unionByName(last)
     return done.select("id", "stream_order") if done is not None else forest.select("id", F.lit(1).alias("stream_order"))

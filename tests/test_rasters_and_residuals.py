@@ -5,7 +5,7 @@ import heapq
 import numpy as np
 import pytest
 
-from rivulet.operators import grid, residual, series
+from rivulet.operators import grid, network, residual, series
 
 CELL = "i int, j int, z double"
 
@@ -129,3 +129,21 @@ def test_names_match_by_tier_and_by_parts(spark):
     right = spark.createDataFrame([(2, "other"), (10, "beta"), (11, "gamma"), (12, "x gam y"), (13, "delta"), (14, "river"), (15, ""), (16, None), (17, "alphabet"), (18, "alpha")], "id int, name string")
     got = {r.left_id: (r.right_id, r.tier) for r in series.match_names(left, right, "id", "name", "id", "name").collect()}
     assert got == {1: (18, 2), 2: (2, 1), 3: (11, 3), 4: (13, 3), 7: (11, 3)}
+
+
+def test_orders_of_a_deep_forest(spark):
+    """A long chain with branches: rounds follow the orders and not the depth."""
+    rng = np.random.default_rng(8)
+    parent = {0: None} | {k: (k - 1 if k < 60 else int(rng.integers(max(0, k - 90), k))) for k in range(1, 300)} | {900: None}
+    above = {}
+    for k, p in parent.items():
+        above.setdefault(p, []).append(k)
+
+    def order(k):
+        found = sorted((order(x) for x in above.get(k, [])), reverse=True)
+        return 1 if not found else found[0] + (len(found) > 1 and found[0] == found[1])
+
+    forest = spark.createDataFrame(list(parent.items()), "id long, parent long")
+    got = {r.id: r.stream_order for r in network.orders(forest).collect()}
+    assert got == {k: order(k) for k in parent} and max(got.values()) > 2
+    assert network.orders(forest.limit(0)).count() == 0
