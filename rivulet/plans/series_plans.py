@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.functions import geo, parse
-from rivulet.operators import metrics, routing, series
+from rivulet.operators import metrics, routing, series, units
 from rivulet.plans.common import query, r
 from rivulet.sources import sinks
 from rivulet.sources.tables import parse_wide, table
@@ -290,8 +290,8 @@ def anti_missing_series(spark, sf_dir):
 @query("SELECT l_partkey, l_suppkey, round(max(l_extendedprice), 2) AS price, arg_max(l_orderkey * 10 + l_linenumber, (l_extendedprice, -l_orderkey, -l_linenumber))::BIGINT AS line FROM lineitem GROUP BY ALL")
 def dedup_keep_max(spark, sf_dir):
     line = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    best = F.struct("l_extendedprice", -F.col("l_orderkey"), -F.col("l_linenumber"))
-    return table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(r(F.max("l_extendedprice"), 2).alias("price"), F.max_by(line, best).alias("line"))
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", F.col("l_extendedprice").alias("price"), line.alias("line"))
+    return units.keep_largest(rows, ["l_partkey", "l_suppkey"], "price", "line").withColumn("price", r("price", 2))
 
 
 _PT = "(100 + embedding[{}]::DOUBLE * 10)"

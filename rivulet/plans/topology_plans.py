@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.functions import props
-from rivulet.operators import attach, grid, metrics, network, series, topology, units
+from rivulet.operators import attach, context, grid, metrics, network, series, simplify, topology, units
 from rivulet.plans.common import query, r
 from rivulet.plans.network_plans import CELLS, D8_SQL, TREE, UPS, cells, tree
 from rivulet.sources.tables import table
@@ -208,3 +208,42 @@ def topology_stats(spark, sf_dir):
     whole = tree(spark, sf_dir)
     kinds = network.node_kinds(whole.where("parent is not null").select(F.col("id").alias("from_node"), F.col("parent").alias("to_node")))
     return whole.join(kinds, "id").groupBy("kind").agg(F.count("*").alias("nodes"), r(F.sum("len"), 2).alias("len"))
+
+
+_AREAS = f"""WITH RECURSIVE {D8_SQL}, {UPS}, ac AS (SELECT ri AS i, rj AS j, count(*) AS acc FROM up GROUP BY ri, rj), sz AS (SELECT max(i) + 1 AS n FROM cells),
+pt AS (SELECT c_custkey AS node, c_custkey % 67 * 0.01::DOUBLE + 100 AS x, c_custkey % 41 * 0.005::DOUBLE + 30 AS y FROM customer),
+spot AS (SELECT node, round_even(n - 0.5 - (y - 30) / 0.01, 0)::INT AS i, round_even((x - 100) / 0.01 - 0.5, 0)::INT AS j, n FROM pt, sz)"""
+
+
+@query(f"""{_AREAS} SELECT node, round(CASE WHEN any_value(spot.i) BETWEEN 0 AND any_value(n) - 1 AND any_value(spot.j) BETWEEN 0 AND 49 THEN max(acc) * (0.01 * 111320 * cos(radians(30 + any_value(n) * 0.01 / 2)) * 0.01 * 110540 / 1e6) END, 3) AS area,
+any_value(c.z) AS z FROM spot LEFT JOIN ac ON ac.i BETWEEN spot.i - 2 AND spot.i + 2 AND ac.j BETWEEN spot.j - 2 AND spot.j + 2 LEFT JOIN cells c ON c.i = spot.i AND c.j = spot.j GROUP BY node""")
+def node_areas(spark, sf_dir):
+    """Heights and areas upstream of customers as nodes in degrees, some of them outside the raster."""
+    surface = cells(spark, sf_dir)
+    k = F.col("c_custkey")
+    nodes = table(spark, sf_dir, "customer").select(k.alias("node"), ((k % 67) * 0.01 + 100).alias("x"), ((k % 41) * 0.005 + 30).alias("y"))
+    raster = context.Raster(100.0, 30.0, 0.01, surface.agg(F.max("i")).head()[0] + 1, 50)
+    areas = context.area_at(nodes, grid.accumulate(grid.d8(surface)), raster)
+    return areas.join(context.heights_at(nodes, surface, raster), "node").select("node", r("area", 3).alias("area"), "z")
+
+
+@query("""WITH p AS (SELECT label, vec_id // 40 AS part, row_number() OVER (PARTITION BY label, vec_id // 40 ORDER BY vec_id) - 1 AS k, count(*) OVER (PARTITION BY label, vec_id // 40) AS n, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS u, embedding[4]::DOUBLE AS v FROM embeddings),
+m AS (SELECT label * 1000 + part AS id, x, y, u, v FROM p WHERE k = n // 2) SELECT a.id AS segment, arg_min(b.id, (sqrt((a.x - b.u) ** 2 + (a.y - b.v) ** 2), b.id)) AS edge FROM m a, m b GROUP BY a.id""")
+def segment_edges(spark, sf_dir):
+    """Pieces of the vectors' first two numbers, and of their next two, by their middle vertices."""
+    at = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    part = F.call_function("div", F.col("vec_id"), F.lit(40))
+    rows = table(spark, sf_dir, "embeddings").select((F.col("label").cast("long") * 1000 + part).alias("edge"), F.col("vec_id").alias("k"), *[at(i).alias(f"c{i}") for i in range(4)])
+    lines = lambda a, b: simplify.renumbered(rows.select("edge", "k", F.col(a).alias("x"), F.col(b).alias("y")))
+    return context.segments_to_edges(lines("c0", "c1").withColumnRenamed("edge", "segment"), lines("c2", "c3"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 5 != 0 AND c_custkey % 6 != 3 THEN c_custkey + 0.5::DOUBLE ELSE c_nationkey::DOUBLE END AS x,
+CASE WHEN c_custkey % 3 = 0 AND c_custkey % 5 != 0 AND c_custkey % 6 != 3 THEN 1 ELSE c_acctbal::DOUBLE END AS y FROM customer""")
+def layout_overrides(spark, sf_dir):
+    """Customers' places, a part of them moved by hand; some moves lack a number."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer")
+    moves = rows.where((k % 3 == 0) & (k % 5 != 0)).select("c_custkey", (k + 0.5).alias("x"), F.when(k % 6 != 3, 1.0).alias("y"))
+    moves = moves.unionByName(moves.select((-1 - F.col("c_custkey")).alias("c_custkey"), "x", "y"))
+    return context.overridden(rows.select("c_custkey", F.col("c_nationkey").cast("double").alias("x"), F.col("c_acctbal").cast("double").alias("y")), moves, "c_custkey", ["x", "y"])
