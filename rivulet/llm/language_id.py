@@ -27,8 +27,8 @@ SPACE, LETTERS, ORDER = 1 << 17, 20, 4
 #: Words that one pass of forward-backward holds (a square number); a longer text passes its messages on from part to part. Words that a worker remembers.
 CHAIN, KNOWN = 387**2, 200_000
 UNKNOWN = "und"
-#: Mean probability below which no language is told: hardly more than a guess among four.
-LEAST = 0.3
+#: Share of the way from chance (1 / languages) to certainty below which a mean probability tells no language: 0.3 among four.
+LEAST = 1 / 15
 
 
 def words_of(token: str) -> list[str]:
@@ -183,16 +183,16 @@ def fit(texts: list[str], languages: list[str]) -> Crf | None:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = FIT_DOCS) -> Crf | None:
-    """Fits on a bounded sample: the first ``per_language`` documents of each language by a hash of id and text, outside the held-out fifth.
+    """Fits on a bounded sample: the first ``per_language`` documents of each language by a hash of id, text and language, outside the held-out fifth.
 
     Documents of more than ``FIT_CHARS`` characters come after all others, with their first ``FIT_CHARS``.
     """
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id", 5, 0))
-    keys = rows.select("lang", F.xxhash64("id", "text").alias("key"), (F.length("text") > FIT_CHARS).alias("long"))
+    keys = rows.select("lang", F.xxhash64("id", "text", "lang").alias("key"), (F.length("text") > FIT_CHARS).alias("long"))
     order = Window.partitionBy("lang").orderBy("long", "key")
     chosen = keys.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).select("key").distinct()
-    sample = rows.withColumn("key", F.xxhash64("id", "text")).join(F.broadcast(chosen), "key", "left_semi").withColumn("text", F.substring("text", 1, FIT_CHARS)).dropDuplicates(["key"]).orderBy("key").toPandas()
+    sample = rows.withColumn("key", F.xxhash64("id", "text", "lang")).join(F.broadcast(chosen), "key", "left_semi").withColumn("text", F.substring("text", 1, FIT_CHARS)).dropDuplicates(["key"]).orderBy("key").toPandas()
     return fit(sample.text.tolist(), sample.lang.tolist())
 
 
@@ -321,14 +321,15 @@ def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     crf = train(docs, id_col, text_col, lang_col)
     if crf is None:
         return docs
-    shared = docs.sparkSession.sparkContext.broadcast(crf)
+    shared, chance = docs.sparkSession.sparkContext.broadcast(crf), 1 / len(crf.languages)
+    least = chance + LEAST * (1 - chance) if len(crf.languages) > 1 else 0.0
 
     def make():
         labeller = Labeller(shared.value)
 
         def test(texts: list[str]) -> np.ndarray:
             languages, scores = labeller.documents(texts)
-            return (np.array(languages) != UNKNOWN) & (np.array(scores) >= LEAST)
+            return (np.array(languages) != UNKNOWN) & (np.array(scores) >= least)
 
         return test
 

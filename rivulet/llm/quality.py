@@ -117,7 +117,7 @@ def _calibrate(d: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, fl
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = FIT_ROWS) -> Discriminant | None:
-    """Fits on labelled documents outside the held-out fifth, at most ``max_rows`` ids in the order of their hash.
+    """Fits on labelled documents outside the held-out fifth, at most ``max_rows`` ids in the order of their hash and, where ids repeat, 2 * ``max_rows`` rows in that of id and text.
 
     Rows without an id or a 0/1 label are not labelled; several labels of an id count as their rounded mean. The chosen
     labels have that bound, so they are broadcast; the statistics of their documents are all that reaches the driver.
@@ -128,9 +128,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield pd.DataFrame({"y": rows.y, "stats": [statistics(t) for t in rows.text]})
+            yield pd.DataFrame({"key": rows.key, "y": rows.y, "stats": [statistics(t) for t in rows.text]})
 
-    fitted = rows.select("text", "y").mapInPandas(run, "y int, stats array<double>").orderBy("stats", "y").limit(2 * max_rows).toPandas()
+    keyed = rows.select(F.xxhash64("doc_id", "text").alias("key"), "text", "y")
+    fitted = keyed.mapInPandas(run, "key long, y int, stats array<double>").orderBy("key", "y").limit(2 * max_rows).toPandas()
     return fit(np.array(fitted.stats.tolist()), fitted.y.to_numpy()) if len(fitted) else None
 
 

@@ -226,6 +226,19 @@ def test_languages_with_only_long_texts_are_learned(spark):
     assert language_id.train(docs).languages == ["de", "en"]
 
 
+def test_a_tie_of_languages_is_learned_the_same_way(spark):
+    """Rows equal in id and text that differ in lang are rows of their own, whatever their order."""
+    rows = [(1, "der die das und ist", "de"), (1, "der die das und ist", "nl"), (2, "the and of is in", "en"), (3, "the cat and the dog", "en"), (4, "ein hund und eine katze", "de")] * 2
+    made = [language_id.detect(spark.createDataFrame(r, "doc_id long, text string, lang string").repartition(n)).orderBy("doc_id", "score").collect() for n, r in ((1, rows), (3, rows[::-1]))]
+    assert [(r.doc_id, r.lang_pred, round(r.score, 9)) for r in made[0]] == [(r.doc_id, r.lang_pred, round(r.score, 9)) for r in made[1]]
+
+
+def test_two_languages_can_be_rejected_too(spark):
+    docs = [(n, ("le la les des une est dans " if n % 2 else "the of and to in is was ") * 5, "fr" if n % 2 else "en") for n in range(40)] + [(99, "le of la the des and", None), (98, "...", None)]
+    kept = {r.doc_id for r in language_id.accepted(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    assert set(range(40)) <= kept and 98 not in kept
+
+
 # 5: nearest neighbours
 @pytest.mark.parametrize("size", [1e200, 1e-200, 1.0])
 def test_very_large_and_small_vectors_keep_their_order(spark, size):
