@@ -77,6 +77,7 @@ def polygon_area_km2(ring: Column) -> Column:
     return F.abs(twice) / 2 * AREA_KM * AREA_KM * F.cos(F.radians(mean_lat))
 
 
+# The coefficients of the published GCJ-02 polynomial, in its order.
 def _gcj_offset(lon: Column, lat: Column) -> tuple[Column, Column]:
     x, y = lon - 105.0, lat - 35.0
     wave = lambda v, k, n: F.sin(v * (k * math.pi)) * n
