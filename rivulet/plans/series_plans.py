@@ -144,7 +144,8 @@ def coverage_report(spark, sf_dir):
     return series.coverage(stations, present, "unit", "c_custkey", "weight").withColumn("coverage", r("coverage"))
 
 
-#: Units and the weights of their stations.
+#: All stations of ``daily``, and units with the weights of theirs.
+KINDS = ["click", "error", "purchase", "signup", "view"]
 WEIGHTS = [("upper", "view", 0.5), ("upper", "click", 0.3), ("upper", "signup", 0.2), ("lower", "purchase", 0.6), ("lower", "error", 0.4)]
 WEIGHT_ROWS = ", ".join(f"('{u}', '{s}', {w})" for u, s, w in WEIGHTS)
 AREAL = f"SELECT unit, ts, sum(weight * value) / sum(weight) AS value FROM {DAILY} d JOIN (VALUES {WEIGHT_ROWS}) w(unit, station, weight) USING (station) GROUP BY unit, ts"
@@ -178,12 +179,13 @@ def rounded_fit(fit: DataFrame) -> DataFrame:
     return fit.select("*").withColumns({c: r(c) for c in ("nse", "r2", "kge", "rmse", "pbias", "objective")})
 
 
-@query(FIT.format(by="week", rows=f"(SELECT extract(week FROM a.ts)::INT AS week, a.value AS o, b.value AS s FROM {DAILY} a JOIN {DAILY} b USING (ts) WHERE a.station = 'view' AND b.station = 'click')").replace("FROM (SELECT", "FROM (SELECT") + " HAVING count(*) >= 3")
+@query(FIT.format(by="obs_station, sim_station, week", rows=f"(SELECT a.station AS obs_station, b.station AS sim_station, extract(week FROM a.ts)::INT AS week, a.value AS o, b.value AS s FROM {DAILY} a JOIN {DAILY} b ON a.ts = b.ts AND a.station < b.station)") + " HAVING count(*) >= 3")
 def metrics_pairwise(spark, sf_dir):
+    """Every two stations, week by week."""
     days = daily(spark, sf_dir)
-    pick = lambda kind, name: days.where(F.col("station") == kind).select("ts", F.col("value").alias(name))
-    paired = metrics.pairs(pick("view", "obs"), pick("click", "sim"), ["ts"]).withColumn("week", F.weekofyear("ts"))
-    return rounded_fit(metrics.fit_metrics(paired, ["week"])).where(F.col("n") >= metrics.LEAST_PAIRS)
+    side = lambda station, name: days.select("ts", F.col("station").alias(station), F.col("value").alias(name))
+    paired = metrics.pairs(side("obs_station", "obs"), side("sim_station", "sim"), ["ts"]).where("obs_station < sim_station").withColumn("week", F.weekofyear("ts"))
+    return rounded_fit(metrics.fit_metrics(paired, ["obs_station", "sim_station", "week"])).where(F.col("n") >= metrics.LEAST_PAIRS)
 
 
 def _fir(n: int, x: float, rows: str, key: str) -> str:
@@ -222,7 +224,12 @@ def routed_fit(spark, sf_dir):
     return rounded_fit(metrics.fit_metrics(flow, ["unit"], "value", "routed"))
 
 
-@query()
+@query(f"""WITH RECURSIVE d AS (SELECT station, date_diff('day', TIMESTAMP '2024-01-01', ts) AS pos, value FROM {DAILY}),
+cand AS (SELECT station, pos, value FROM (SELECT *, avg(value) OVER (PARTITION BY station) AS mean, max(value) OVER (PARTITION BY station) AS top FROM d) WHERE value >= mean OR value = top),
+rec AS (SELECT DISTINCT station, 0 AS rank, []::BIGINT[] AS taken, NULL::BIGINT AS pos, NULL::DOUBLE AS value FROM cand
+UNION ALL SELECT station, rank + 1, list_append(taken, p), p, v FROM (SELECT r.station, r.rank, r.taken, arg_max(c.pos, (c.value, -c.pos)) AS p, max(c.value) AS v FROM rec r JOIN cand c ON c.station = r.station AND len([t FOR t IN r.taken IF abs(t - c.pos) < 3]) = 0 WHERE r.rank < 3 GROUP BY r.station, r.rank, r.taken)),
+sim AS (SELECT station, pos AS near, coalesce(lag(value) OVER (PARTITION BY station ORDER BY pos), value) AS sim FROM d)
+SELECT station, rank, pos, round(any_value(value), 4) AS value, arg_max(near, (sim, -near)) - pos AS late, round((max(sim) - any_value(value)) / any_value(value), 4) AS relative_error FROM rec JOIN sim USING (station) WHERE rank > 0 AND near BETWEEN pos - 2 AND pos + 2 GROUP BY station, rank, pos""")
 def peak_events(spark, sf_dir):
     days = daily(spark, sf_dir)
     epoch = F.lit("2024-01-01").cast("timestamp_ntz")
@@ -270,10 +277,10 @@ def ridge_normal_equations(spark, sf_dir):
     return sums.select("n", *[r(c, 2).alias(c) for c in sums.columns if c != "n"])
 
 
-@query(f"SELECT ts, {', '.join(f'''round(sum(value) FILTER (station = '{k}'), 4) AS {k}''' for k in ('click', 'error', 'view'))} FROM {DAILY} GROUP BY ts")
+@query(f"SELECT ts, {', '.join(f'''round(sum(value) FILTER (station = '{k}'), 4) AS {k}''' for k in KINDS)} FROM {DAILY} GROUP BY ts")
 def pivot_flow_export(spark, sf_dir):
-    wide = sinks.pivot_flows(daily(spark, sf_dir), ["click", "error", "view"])
-    return wide.select("ts", *[r(c).alias(c) for c in ("click", "error", "view")])
+    wide = sinks.pivot_flows(daily(spark, sf_dir), KINDS)
+    return wide.select("ts", *[r(c).alias(c) for c in KINDS])
 
 
 @query("SELECT p_partkey, param, value FROM (UNPIVOT (SELECT p_partkey, p_size::DOUBLE AS size, p_retailprice AS price FROM part) ON size, price INTO NAME param VALUE value)")
