@@ -76,3 +76,19 @@ def nearest_edge(points: DataFrame, lines: DataFrame, most: float | None = None)
 def extent(lines: DataFrame, by: list[str]) -> DataFrame:
     """(by..., x_min, y_min, x_max, y_max) of vertices (by..., x, y)."""
     return lines.groupBy(*by).agg(F.min("x").alias("x_min"), F.min("y").alias("y_min"), F.max("x").alias("x_max"), F.max("y").alias("y_max"))
+
+
+def centroids(vertices: DataFrame, key: str) -> DataFrame:
+    """(key, x, y) of polygons given by closed rings (key, part, ring, k, x, y): the middle of their area, rings after a part's first being holes whatever way they turn. Polygons without area have none."""
+    order = Window.partitionBy(key, "part", "ring").orderBy("k")
+    x, y, nx, ny = F.col("x"), F.col("y"), F.lead("x").over(order), F.lead("y").over(order)
+    sides = vertices.select(key, "part", "ring", (x * ny - nx * y).alias("c"), ((x + nx) * (x * ny - nx * y)).alias("sx"), ((y + ny) * (x * ny - nx * y)).alias("sy")).where("c is not null")
+    rings = sides.groupBy(key, "part", "ring").agg(F.sum("c").alias("c"), F.sum("sx").alias("sx"), F.sum("sy").alias("sy"))
+    way = F.signum("c") * F.when(F.col("ring") == 0, 1).otherwise(-1)
+    whole = rings.groupBy(key).agg(*[F.sum(F.col(n) * way).alias(n) for n in ("c", "sx", "sy")]).where("c > 0")
+    return whole.select(key, (F.col("sx") / (3 * F.col("c"))).alias("x"), (F.col("sy") / (3 * F.col("c"))).alias("y"))
+
+
+def lakes_to_edges(vertices: DataFrame, lines: DataFrame) -> DataFrame:
+    """(id, edge, distance, ratio): the line nearest to the centroid of each lake (id, part, ring, k, x, y), however far."""
+    return nearest_edge(centroids(vertices, "id"), lines)

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.functions import geojson
-from rivulet.operators import dag, noding, polygons, simplify
+from rivulet.operators import attach, dag, noding, polygons, simplify
 from rivulet.operators.lineage import cut
 from rivulet.plans.common import query, r
 from rivulet.plans.network_plans import TREE, tree
+from rivulet.sources import sinks
 from rivulet.sources.tables import table
 
 _LINES = """v AS (SELECT label AS edge, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k, vec_id * 0.02::DOUBLE + embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
@@ -192,3 +193,29 @@ def layer_features(spark, sf_dir):
     rows = _forms(spark, sf_dir).withColumn("props", geojson.properties(F.col("feature")))
     found = geojson.features_of_types(rows, layers, ["river", "lake"])
     return found.select("c_custkey", *[F.col("props")[key].alias(name) for key, name in (("Name", "name"), ("_layer_id", "layer_id"), ("_layer_name", "layer_name"), ("_layer_type", "layer_type"))])
+
+
+@query(f"""WITH {_LINES}, l AS (SELECT c_custkey AS id, c_custkey % 97 * 0.1::DOUBLE AS x, c_custkey % 31 * 0.03::DOUBLE - 0.4 AS y, (1 + c_custkey % 3) * 0.02::DOUBLE AS d FROM customer),
+c AS (SELECT id, (4 * d * d * (x + d) - d * d / 4 * (x + d * 0.75)) / (4 * d * d - d * d / 4) AS px, (4 * d * d * (y + d) - d * d / 4 * (y + d * 0.75)) / (4 * d * d - d * d / 4) AS py FROM l)
+SELECT id, arg_min(edge, ({apart('px', 'py', 'a', 'z')}, edge, k)) AS edge, round(min({apart('px', 'py', 'a', 'z')}), 6) AS distance FROM c, s GROUP BY id""")
+def lake_edges(spark, sf_dir):
+    """Customers as square lakes with a square island, and the lines nearest to their middles."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(k.alias("id"), ((k % 97) * 0.1).alias("x0"), ((k % 31) * 0.03 - 0.4).alias("y0"), ((1 + k % 3) * 0.02).alias("d"))
+    ring = lambda n, points: F.struct(F.lit(n).alias("ring"), F.array(*[F.struct((F.col("x0") + F.col("d") * a).alias("x"), (F.col("y0") + F.col("d") * b).alias("y")) for a, b in points]).alias("at"))
+    rings = F.array(ring(0, ((0, 0), (2, 0), (2, 2), (0, 2), (0, 0))), ring(1, ((0.5, 0.5), (1, 0.5), (1, 1), (0.5, 1), (0.5, 0.5))))
+    lakes = rows.select("id", F.explode(rings).alias("r")).select("id", F.lit(0).alias("part"), "r.ring", F.posexplode("r.at").alias("k", "p")).select("id", "part", "ring", "k", "p.x", "p.y")
+    return attach.lakes_to_edges(lakes, _lines(spark, sf_dir)).select("id", "edge", r("distance", 6).alias("distance"))
+
+
+@query(f"""WITH {_LINES} SELECT 'river_edge' AS kind, edge::VARCHAR AS id, 'line ' || edge AS name, 0::INT AS part, k::INT AS k, round(x, 6) AS x, round(y, 6) AS y FROM v
+UNION ALL SELECT 'node', n_nationkey::VARCHAR, n_name, 0, 0, n_nationkey, n_regionkey FROM nation UNION ALL SELECT 'station_node', s_suppkey::VARCHAR, s_name, 0, 0, s_suppkey, 0.5 FROM supplier""")
+def network_features(spark, sf_dir):
+    """Lines, nations as nodes and suppliers as stations written as features, and what reading them gives."""
+    lines = _lines(spark, sf_dir)
+    edges = lines.select("edge").distinct().withColumn("name", F.concat(F.lit("line "), F.col("edge").cast("string")))
+    nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_nationkey").cast("double").alias("x"), F.col("n_regionkey").cast("double").alias("y"), F.col("n_name").alias("name"))
+    stations = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("station"), F.col("s_suppkey").cast("double").alias("x"), F.lit(0.5).alias("y"), F.col("s_name").alias("name"))
+    made = sinks.network_features(lines, edges, nodes, stations).withColumn("props", geojson.properties(F.col("feature")))
+    back = geojson.vertices(made.select(F.col("props")["kind"].alias("told"), F.col("props")["id"].alias("id"), F.col("props")["name"].alias("name"), "feature"), "feature", ["told", "id", "name"])
+    return back.select(F.col("told").alias("kind"), "id", "name", "part", "k", r("x", 6).alias("x"), r("y", 6).alias("y"))

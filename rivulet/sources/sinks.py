@@ -46,3 +46,35 @@ def write_ascii_grid(cells: DataFrame, path: str, nrows: int, ncols: int, xll: f
     head = [("ncols", ncols), ("nrows", nrows), ("xllcorner", xll), ("yllcorner", yll), ("cellsize", cellsize), ("NODATA_value", nodata)]
     first = cells.sparkSession.createDataFrame([(k - len(head), f"{name} {value}") for k, (name, value) in enumerate(head)], "i int, line string")
     first.unionByName(grid_lines(cells, nrows, ncols, nodata)).orderBy("i").select("line").write.text(path)
+
+
+def _coordinates(lines: DataFrame, key: str) -> DataFrame:
+    """(key, coordinates): a line's vertices (key, k, x, y) in order, as GeoJSON has them; a line is one feature, so it is put together in one place."""
+    at = F.sort_array(F.collect_list(F.struct("k", F.array("x", "y").alias("at"))))
+    return lines.groupBy(key).agg(F.transform(at, lambda v: v["at"]).alias("coordinates"))
+
+
+def _features(shapes: DataFrame, told: DataFrame, key: str, geometry: str, kind: str) -> DataFrame:
+    names = [c for c in told.columns if c != key]
+    joined = shapes.join(told, key)
+    return joined.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), feature(geometry, F.col("coordinates"), kind=F.lit(kind), id=F.col(key), **{n: F.col(n) for n in names}).alias("feature"))
+
+
+def network_features(lines: DataFrame, edges: DataFrame, nodes: DataFrame, stations: DataFrame) -> DataFrame:
+    """(kind, id, feature): a network as GeoJSON features: lines (edge, k, x, y) with the columns of ``edges``, ``nodes`` (node, x, y, ...) and ``stations`` (station, x, y, ...) as points. Every other column is a property."""
+    found = _features(_coordinates(lines, "edge"), edges, "edge", "LineString", "river_edge")
+    for rows, key, kind in ((nodes, "node", "node"), (stations, "station", "station_node")):
+        found = found.unionByName(_features(rows.select(key, F.array("x", "y").alias("coordinates")), rows.drop("x", "y"), key, "Point", kind))
+    return found
+
+
+def unit_features(outlines: DataFrame, units: DataFrame, outlets: DataFrame) -> DataFrame:
+    """(kind, id, feature): units as GeoJSON polygons from closed outlines (label, k, x, y) and their outlets (label, x, y) as points, with the columns of ``units`` (label, ...)."""
+    rings = _coordinates(outlines, "label").withColumn("coordinates", F.array("coordinates"))
+    points = outlets.select("label", F.array("x", "y").alias("coordinates"))
+    return _features(rings, units, "label", "Polygon", "unit").unionByName(_features(points, units, "label", "Point", "unit_outlet"))
+
+
+def write_features(features: DataFrame, path: str) -> None:
+    """A folder of text files with a feature in every line."""
+    features.select("feature").write.text(path)
