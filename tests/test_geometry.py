@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rivulet.functions import geojson
-from rivulet.operators import dag, noding, polygons, simplify
+from rivulet.operators import attach, context, dag, noding, polygons, simplify
+from rivulet.sources import sinks
 
 LINE = "edge long, k long, x double, y double"
 
@@ -267,3 +268,45 @@ def test_layers_by_type(spark):
     rows = spark.createDataFrame([(1, {"_layer_id": "old", "x": "y"}), (3, None), (9, None)], "layer int, props map<string,string>")
     found = {r.layer: r.props for r in geojson.features_of_types(rows, layers, ["river", "lake"]).collect()}
     assert found == {1: {"x": "y", "_layer_id": "1", "_layer_name": "a", "_layer_type": "river"}, 3: {"_layer_id": "3", "_layer_name": "c", "_layer_type": "lake"}}
+
+
+def test_units_as_features_come_back(spark, tmp_path):
+    cells = spark.createDataFrame([(1, 0, 0), (1, 0, 1), (2, 1, 0)], "label int, i int, j int")
+    shapes = polygons.outlines(cells, 0.0, 0.0, 1.0, 2)
+    units = spark.createDataFrame([(1, "S01", None), (2, "S02", 1)], "label int, code string, parent int")
+    outlets = spark.createDataFrame([(1, 0.5, 1.5), (2, 0.5, 0.5)], "label int, x double, y double")
+    made = sinks.unit_features(shapes, units, outlets)
+    sinks.write_features(made, str(tmp_path / "units"))
+    back = spark.read.text(str(tmp_path / "units"))
+    found = geojson.vertices(back.withColumn("code", geojson.properties(F.col("value"))["code"]), "value", ["code"])
+    rings = {code: [(r.x, r.y) for r in found.where((F.col("code") == code) & (F.col("kind") == "polygon")).orderBy("k").collect()] for code in ("S01", "S02")}
+    assert rings == {"S01": [(0, 2), (2, 2), (2, 1), (0, 1), (0, 2)], "S02": [(0, 1), (1, 1), (1, 0), (0, 0), (0, 1)]}
+    assert sorted((r.code, r.x, r.y) for r in found.where("kind = 'point'").collect()) == [("S01", 0.5, 1.5), ("S02", 0.5, 0.5)]
+
+
+def test_centroids_of_odd_polygons(spark):
+    rings = {1: [(0, [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)]), (1, [(0, 0), (0, 2), (2, 2), (2, 0), (0, 0)])], 2: [(0, [(0, 0), (0, 2), (2, 2), (2, 0), (0, 0)])], 3: [(0, [(1, 1), (2, 2), (1, 1)])]}
+    rows = [(key, 0, ring, k, float(x), float(y)) for key, parts in rings.items() for ring, points in parts for k, (x, y) in enumerate(points)]
+    found = {r.id: (round(r.x, 9), round(r.y, 9)) for r in attach.centroids(spark.createDataFrame(rows, "id int, part int, ring int, k int, x double, y double"), "id").collect()}
+    assert found == {1: (round(28 / 12, 9), round(28 / 12, 9)), 2: (1.0, 1.0)}
+
+
+def test_what_directs_edges(spark):
+    edges = spark.createDataFrame([(2, 1, 2, "7"), (1, 2, 3, "x"), (3, 3, 4, " 5.5 "), (4, 2, 5, None)], "edge int, from_node int, to_node int, height string")
+    told = context.heights_of_edges(edges)
+    assert {r.node: r.z for r in told.collect()} == {1: 7.0, 2: 7.0, 3: 5.5, 4: 5.5, 5: None}
+    raster = context.Raster(0.0, 0.0, 1.0, 2, 2)
+    cells = spark.createDataFrame([(0, 0, 3.0), (1, 1, 4.0)], "i int, j int, z double")
+    nodes = spark.createDataFrame([(1, 0.5, 1.5), (2, 1.5, 0.5), (3, 0.5, 0.5), (4, 9.0, 9.0)], "node int, x double, y double")
+    heights = context.heights_at(nodes, cells, raster)
+    assert {r.node: r.z for r in heights.collect()} == {1: 3.0, 2: 4.0, 3: None, 4: None}
+    assert context.evidence(heights, told)[0] == "dem" and context.evidence(heights.where("z is null"), told)[0] == context.evidence(None, told)[0] == "elevation_attribute" and context.evidence(None, told.where("z is null"))[0] == "digitized"
+    area = {r.node: r.area for r in context.area_at(nodes, cells.select("i", "j", F.lit(5).alias("acc")), raster, 0).collect()}
+    assert area == {1: pytest.approx(5e-6), 2: pytest.approx(5e-6), 3: None, 4: None}
+
+
+def test_a_raster_is_analysed_at_once(spark):
+    z = [(i, j, 5.0 if 0 < i < 4 and 0 < j < 4 else 9.0) for i in range(5) for j in range(5)]
+    z = [(i, j, 1.0 if (i, j) == (4, 2) else v) for i, j, v in z]
+    found = context.analyse(spark.createDataFrame(z, "i int, j int, z double"), tile=3)
+    assert {(r.i, r.j): r.acc for r in found.acc.collect()}[4, 2] >= 9 and found.filled.count() == found.flows.count() == 25
