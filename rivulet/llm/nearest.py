@@ -1,8 +1,10 @@
 """Approximate nearest neighbours by an inverted file with product-quantised residuals (operator 5).
 
 A bounded sample trains coarse centroids and one codebook per slice of the residual. Every vector is indexed under its
-nearest centroid. A query probes its nearest cells, ranks their vectors by asymmetric distance tables and reranks the
-best by exact distances. How many cells it probes is measured on the sample, against brute force.
+nearest centroid. A query probes its nearest cells and estimates the distances of their vectors by asymmetric
+tables. An estimate is off by no more than the length of what the vector's code leaves over, which the index keeps; every
+vector that the estimates can't rule out gets its exact distance, so none of a probed cell is missed however coarse its
+codes are. How many cells are probed is measured with queries against brute force over the sample.
 
 Queries are sent to the tasks in blocks of bounded size; each task scans its part of the index, which lies in the order
 of the cells, and keeps the best few of each query. No vector is shuffled to a cell or a query.
@@ -24,10 +26,12 @@ from rivulet.llm.common import materialise
 
 #: Distinct vectors that training reads at most; k-means steps; slices and codes a slice of the quantiser.
 TRAIN_ROWS, STEPS, SLICES, CODES = 20_000, 8, 16, 64
-#: Vectors of a cell, on average, until the sample bounds the number of cells; least cells that a query probes; candidates that are reranked for each neighbour asked for, in each cell.
-CELL, PROBES, RERANK = 512, 8, 10
+#: Vectors of a cell, on average, until the sample bounds the number of cells; least cells that a query probes.
+CELL, PROBES = 512, 8
 #: Sampled queries, and the share of their true neighbours in the sample that the probed cells must hold.
-TRIALS, AIM = 400, 0.97
+TRIALS, AIM = 200, 0.97
+#: Rounding of an estimated distance, as a share of the numbers that it comes from.
+SLACK = 1e-12
 #: Query vectors of one broadcast block.
 QUERIES = 20_000
 
@@ -60,10 +64,13 @@ class Index:
     def pad(self, x: np.ndarray) -> np.ndarray:
         return np.pad(x, ((0, 0), (0, self.books.shape[0] * self.books.shape[2] - self.dim)))
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cells, codes, and the length of what each vector's codes leave over."""
         cells = _nearest(x, self.centroids)
         rest = self.pad(x - self.centroids[cells]).reshape(len(x), self.books.shape[0], -1)
-        return cells, np.stack([_nearest(rest[:, s], self.books[s]) for s in range(len(self.books))], 1).astype(np.uint8)
+        codes = np.stack([_nearest(rest[:, s], self.books[s]) for s in range(len(self.books))], 1).astype(np.uint8)
+        over = np.sqrt(sum(((rest[:, s] - self.books[s][codes[:, s]]) ** 2).sum(1) for s in range(len(self.books))))
+        return cells, codes, over
 
     def probes(self, q: np.ndarray) -> np.ndarray:
         """The cells that each query probes, nearest first."""
@@ -76,8 +83,8 @@ class Index:
         return ((rest - self.books[None]) ** 2).sum(-1)
 
 
-def train(vectors: DataFrame, n: int, k: int = 10, max_rows: int = TRAIN_ROWS, seed: int = 7) -> Index | None:
-    """Trains on at most ``max_rows`` distinct vectors, chosen by a hash of their values."""
+def train(vectors: DataFrame, queries: DataFrame, n: int, k: int = 10, max_rows: int = TRAIN_ROWS, seed: int = 7) -> Index | None:
+    """Trains on at most ``max_rows`` distinct vectors and tries TRIALS distinct queries, both chosen by a hash of their values."""
     rows = vectors.select("v").orderBy(F.xxhash64("v"), "v").limit(max_rows).toPandas()
     if not len(rows):
         return None
@@ -88,19 +95,20 @@ def train(vectors: DataFrame, n: int, k: int = 10, max_rows: int = TRAIN_ROWS, s
     rest = np.pad(rest, ((0, 0), (0, width * SLICES - x.shape[1]))).reshape(len(x), SLICES, width)
     books = np.stack([_fill(kmeans(rest[:, s], CODES, seed + s)) for s in range(SLICES)])
     index = Index(centroids, books, x.shape[1])
-    index.probed = _depth(index, x, k)
+    trials = queries.select("v").orderBy(F.xxhash64("v"), "v").limit(TRIALS).toPandas()
+    index.probed = _depth(index, x, np.array(trials.v.tolist(), float).reshape(len(trials), x.shape[1]), k)
     return index
 
 
-def _depth(index: Index, x: np.ndarray, k: int) -> int:
-    """The number of cells that hold the share AIM of the k nearest of sampled queries. Neighbours in a sample are farther than in all rows, so it errs upwards."""
-    trials = x[: min(TRIALS, len(x))]
-    d = (x**2).sum(1) - 2 * trials @ x.T
-    d[np.arange(len(trials)), np.arange(len(trials))] = np.inf
-    near = np.argsort(d, 1, kind="stable")[:, : min(k, len(x) - 1)]
+def _depth(index: Index, x: np.ndarray, trials: np.ndarray, k: int) -> int:
+    """The number of cells that hold the share AIM of the k nearest of the tried queries. Neighbours in a sample are farther than in all rows, so it errs upwards."""
     index.probed = len(index.centroids)
-    place = np.argsort(index.probes(trials), 1)  # rank of each cell
-    at = place[np.arange(len(trials))[:, None], _nearest(x, index.centroids)[near]].ravel()
+    place, cells, at = np.argsort(index.probes(trials), 1), _nearest(x, index.centroids), []  # rank of each cell
+    for of, q in enumerate(trials):
+        d = ((x - q) ** 2).sum(1)
+        other = np.flatnonzero(d > 0)  # equal vectors lie in the first cell
+        at.append(place[of, cells[other[np.argsort(d[other], kind="stable")[:k]]]])
+    at = np.concatenate(at) if at else np.zeros(0)
     return int(max(PROBES, np.quantile(at, AIM, method="higher") + 1 if len(at) else 1))
 
 
@@ -143,20 +151,20 @@ def _search(rows: DataFrame, k: int, every: int) -> DataFrame:
     kept = rows.withColumn("_n", F.dense_rank().over(by_vector)).where(F.col("_n") <= k + 1)
     kept = materialise(kept.groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids")))
     n = kept.count()
-    index = train(kept, n, k)
+    queries = rows.where(F.col("id") % every == 0).select("id", "v")
+    asked = materialise(queries.select("v").distinct())
+    index = train(kept, asked, n, k)
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shared = spark.sparkContext.broadcast(index)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            cells, codes = shared.value.encode(np.array(batch.v.tolist(), float).reshape(len(batch), -1))
-            yield pd.DataFrame({"cell": cells, "ids": batch.ids, "v": batch.v, "code": [c.tobytes() for c in codes]})
+            cells, codes, over = shared.value.encode(np.array(batch.v.tolist(), float).reshape(len(batch), -1))
+            yield pd.DataFrame({"cell": cells, "ids": batch.ids, "v": batch.v, "code": [c.tobytes() for c in codes], "over": over})
 
-    indexed = kept.mapInPandas(encode, "cell int, ids array<long>, v array<double>, code binary")
+    indexed = kept.mapInPandas(encode, "cell int, ids array<long>, v array<double>, code binary, over double")
     indexed = materialise(indexed.repartitionByRange("cell", F.xxhash64("v")).sortWithinPartitions("cell"))
-    queries = rows.where(F.col("id") % every == 0).select("id", "v")
-    asked = materialise(queries.select("v").distinct())
     blocks, found = math.ceil(asked.count() / QUERIES), None
     for block in range(blocks):
         q = asked.where(F.pmod(F.xxhash64("v"), F.lit(blocks)) == block).toPandas()
@@ -175,10 +183,37 @@ def _search(rows: DataFrame, k: int, every: int) -> DataFrame:
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", (F.col("score") / F.lit(scale)).alias("score"))
 
 
+def _kept(low: np.ndarray, high: np.ndarray, worst: np.ndarray, n: int) -> np.ndarray:
+    """Which vectors [query, vector] can be among the n nearest, by bounds of their distances and the n-th best so far."""
+    bound = np.minimum(worst, np.partition(high, n - 1, 1)[:, n - 1]) if n <= high.shape[1] else worst
+    return low <= bound[:, None]
+
+
+def _nearer(q: np.ndarray, x: np.ndarray, centre: np.ndarray, told: np.ndarray, over: np.ndarray, worst: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, vectors, exact distances) of the vectors of a cell that may be among each query's n nearest: none that is goes.
+
+    Bounds come from the estimates first, then, for vectors that some query keeps, from products of what lies off the
+    centre, whose rounding is bounded.
+    """
+    slack = SLACK * (np.abs(x).max() + np.abs(q).max() + np.abs(centre).max() + told)
+    kept = _kept(told - over - slack, told + over + slack, worst, n)
+    some = np.flatnonzero(kept.any(0))
+    a, b = q - centre, x[some] - centre
+    sizes = (a**2).sum(1)[:, None] + (b**2).sum(1)
+    squares, off = sizes - 2 * a @ b.T, 1e-15 * (x.shape[1] + 8) * sizes
+    low, high = np.sqrt(np.maximum(squares - off, 0)) - slack[:, some], np.sqrt(np.maximum(squares + off, 0)) + slack[:, some]
+    row, column = np.nonzero(kept[:, some] & _kept(low, high, worst, n))
+    exact = np.concatenate([np.sqrt(((x[some[column[i : i + 20_000]]] - q[row[i : i + 20_000]]) ** 2).sum(1)) for i in range(0, len(row), 20_000)] or [np.zeros(0)])
+    ends = np.searchsorted(row, np.arange(len(q) + 1))
+    for of in np.flatnonzero(np.diff(ends)):
+        at = slice(ends[of], ends[of + 1])
+        closer = np.flatnonzero(exact[at] <= worst[of])
+        if len(closer):
+            yield int(of), some[column[at][closer]], exact[at][closer]
+
+
 def _scanned(indexed: DataFrame, index: Broadcast, block: Broadcast, k: int) -> DataFrame:
     """(v, score, ids) of the k + 1 best of each task for each query vector of the block. A task holds a batch of the index and its best so far."""
-    depth = RERANK * (k + 1)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q = block.value
         probed = np.zeros((len(q), len(index.value.centroids)), bool)
@@ -186,8 +221,9 @@ def _scanned(indexed: DataFrame, index: Broadcast, block: Broadcast, k: int) ->
             part = index.value.probes(q[i : i + 1_000])
             probed[np.arange(i, i + len(part))[:, None], part] = True
         best: dict[int, list[tuple]] = {}
+        worst = np.full(len(q), np.inf)
         for batch in batches:
-            x, cells = np.array(batch.v.tolist(), float).reshape(len(batch), -1), batch.cell.to_numpy()
+            x, cells, over = np.array(batch.v.tolist(), float).reshape(len(batch), -1), batch.cell.to_numpy(), batch.over.to_numpy()
             codes = np.frombuffer(b"".join(batch.code), np.uint8).reshape(len(batch), -1)
             for cell in np.unique(cells):
                 at = np.flatnonzero(cells == cell)
@@ -195,16 +231,12 @@ def _scanned(indexed: DataFrame, index: Broadcast, block: Broadcast, k: int) ->
                 for i in range(0, len(asked), 256):
                     some = asked[i : i + 256]
                     tables = index.value.tables(q[some], int(cell))
-                    near = sum(tables[:, s, codes[at, s]] for s in range(tables.shape[1]))
-                    top = np.argpartition(near, depth - 1, 1)[:, :depth] if depth < len(at) else np.broadcast_to(np.arange(len(at)), near.shape)
-                    exact = np.sqrt(((x[at[top]] - q[some][:, None]) ** 2).sum(2))
-                    for row, of in enumerate(some):
-                        mine = best.setdefault(int(of), [])
-                        worst = mine[-1][0] if len(mine) > k else np.inf
-                        closer = np.flatnonzero(exact[row] <= worst)
-                        if len(closer):
-                            new = [(exact[row, c], batch.ids.iloc[at[top[row, c]]]) for c in closer]
-                            best[int(of)] = sorted(mine + new, key=lambda m: (m[0], m[1][0]))[: k + 1]  # what comes later is not among the k nearest of all others
+                    told = np.sqrt(sum(tables[:, s, codes[at, s]] for s in range(tables.shape[1])))
+                    for of, row, exact in _nearer(q[some], x[at], index.value.centroids[cell], told, over[at], worst[some], k + 1):
+                        mine = best.get(int(some[of]), [])
+                        new = [(d, batch.ids.iloc[at[r]]) for d, r in zip(exact, row, strict=True)]
+                        best[int(some[of])] = mine = sorted(mine + new, key=lambda m: (m[0], m[1][0]))[: k + 1]  # what comes later is not among the k nearest of all others
+                        worst[some[of]] = mine[-1][0] if len(mine) > k else np.inf
         made = [(q[of], score, ids) for of, mine in best.items() for score, ids in mine]
         for i in range(0, len(made), 10_000):
             yield pd.DataFrame(made[i : i + 10_000], columns=["v", "score", "ids"])

@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from rivulet.llm import common, lexical, packing, registry, spelling
+from rivulet.llm import common, lexical, nearest, packing, registry, spelling
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 TOKENIZER = public_tokenizers.path(registry.TOKENIZER)
@@ -198,3 +198,18 @@ def test_variants_in_dense_groups(spark, monkeypatch, members):
 def test_variants_of_empty_tables(spark):
     assert spelling.variants(_docs(spark, [])).count() == 0
     assert spelling.variants(_docs(spark, [(1, None), (2, "short few")])).count() == 0
+
+
+def test_nearest_in_heaps_much_tighter_than_the_codes(spark):
+    """Broad vectors and heaps a millionth as wide: within a heap the codes tell nothing, and every vector of a probed cell must still be found."""
+    rng = np.random.default_rng(5)
+    heaps = rng.normal(size=(3, 24))[rng.integers(0, 3, 2_000)] + 1e-6 * rng.normal(size=(2_000, 24))
+    x = rng.permutation(np.concatenate([rng.normal(size=(3_000, 24)), heaps]))
+    rows = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    found = nearest.search(rows).toPandas()
+    hit = 0
+    for q, mine in found.groupby("query_id"):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hit += len(set(np.lexsort((np.arange(len(x)), d))[:10]) & set(mine.vec_id))
+    assert len(found) == 500 and hit >= 475
