@@ -91,9 +91,9 @@ def middles(lines: DataFrame, key: str = "edge") -> DataFrame:
 
 
 def segments_to_edges(segments: DataFrame, edges: DataFrame) -> DataFrame:
-    """(segment, edge): the edge whose middle vertex lies nearest to that of each segment; lines are (segment or edge, k, x, y)."""
+    """(segment, edge, distance): the edge whose middle vertex lies nearest to that of each segment; lines are (segment or edge, k, x, y). Ties go to the smaller edge."""
     found = grid.nearest(middles(segments, "segment").withColumnRenamed("segment", "id"), middles(edges).withColumnRenamed("edge", "target"))
-    return found.select(F.col("id").alias("segment"), F.col("target").alias("edge"))
+    return found.select(F.col("id").alias("segment"), F.col("target").alias("edge"), "distance")
 
 
 def overridden(layout: DataFrame, manual: DataFrame, key: str, values: list[str]) -> DataFrame:

@@ -230,12 +230,14 @@ def node_areas(spark, sf_dir):
 @query("""WITH p AS (SELECT label, vec_id // 40 AS part, row_number() OVER (PARTITION BY label, vec_id // 40 ORDER BY vec_id) - 1 AS k, count(*) OVER (PARTITION BY label, vec_id // 40) AS n, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS u, embedding[4]::DOUBLE AS v FROM embeddings),
 m AS (SELECT label * 1000 + part AS id, x, y, u, v FROM p WHERE k = n // 2) SELECT a.id AS segment, arg_min(b.id, (sqrt((a.x - b.u) ** 2 + (a.y - b.v) ** 2), b.id)) AS edge FROM m a, m b GROUP BY a.id""")
 def segment_edges(spark, sf_dir):
-    """Pieces of the vectors' first two numbers, and of their next two, by their middle vertices."""
+    """Pieces of the vectors' first two numbers, and of their next two, by their middle vertices. From the thousandth on pieces of several labels share an id, which then has the nearest edge of any of them."""
     at = lambda i: F.get("embedding", F.lit(i)).cast("double")
     part = F.call_function("div", F.col("vec_id"), F.lit(40))
-    rows = table(spark, sf_dir, "embeddings").select((F.col("label").cast("long") * 1000 + part).alias("edge"), F.col("vec_id").alias("k"), *[at(i).alias(f"c{i}") for i in range(4)])
+    rows = table(spark, sf_dir, "embeddings").select(F.struct((F.col("label").cast("long") * 1000 + part).alias("id"), "label").alias("edge"), F.col("vec_id").alias("k"), *[at(i).alias(f"c{i}") for i in range(4)])
     lines = lambda a, b: simplify.renumbered(rows.select("edge", "k", F.col(a).alias("x"), F.col(b).alias("y")))
-    return context.segments_to_edges(lines("c0", "c1").withColumnRenamed("edge", "segment"), lines("c2", "c3"))
+    found = context.segments_to_edges(lines("c0", "c1").withColumnRenamed("edge", "segment"), lines("c2", "c3"))
+    best = found.groupBy(F.col("segment.id").alias("segment")).agg(F.min(F.struct("distance", F.col("edge.id").alias("edge"))).alias("m"))
+    return best.select("segment", "m.edge")
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 5 != 0 AND c_custkey % 6 != 3 THEN c_custkey + 0.5::DOUBLE ELSE c_nationkey::DOUBLE END AS x,
