@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.operators import grid
-from rivulet.operators.lineage import cut
+from rivulet.operators.lineage import cut, shuffled
 
 
 def segments(lines: DataFrame) -> DataFrame:
@@ -19,8 +19,8 @@ def segments(lines: DataFrame) -> DataFrame:
     return ends.withColumns({"before": F.sum("length").over(order) - F.col("length"), "total": F.sum("length").over(Window.partitionBy("edge"))})
 
 
-#: Cells that a segment's longer side passes at most at its finest level.
-PASSED = 8
+#: Cells that a segment's longer side passes at most at its finest level, among segments, and where points look for segments.
+PASSED, PASSED_MOST = 8, 64
 
 
 def passed(rows: DataFrame, width: Column, reach: float = 0.0, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
@@ -39,11 +39,12 @@ def passed(rows: DataFrame, width: Column, reach: float = 0.0, x0: float = 0.0,
 def nearest_edge(points: DataFrame, lines: DataFrame, most: float | None = None) -> DataFrame:
     """(id, edge, distance, ratio) of planar points (id, x, y) and lines (edge, k, x, y): the nearest line, the distance to it and the place on it as a share of its length.
 
-    Ties go to the smaller edge and its earlier segment; none beyond ``most``. A segment is dealt to the cells it passes,
-    at all levels from the widest down to the finest at which these are few. A point takes the finest level at which its own cell
-    is passed, so the nearest segment lies within the cell's diagonal: it meets those of that level up to two cells away,
-    and the longer segments, whose finest level is wider, in the cells around it there. Neither an outlier nor a long
-    segment makes the others' cells wider, and the joins are two, whatever the places.
+    Ties go to the smaller edge and its earlier segment; none beyond ``most``. A vertex in the point's own cell, at the
+    finest level where one is, bounds the distance, so the nearest segment passes a cell that the circle with this radius
+    touches. A segment is dealt to the cells it passes, at levels down to the finest at which these are few. A point meets those
+    of the level as wide as its circle and, at their own levels, the longer segments, whose finest level is wider. Neither
+    an outlier nor a long segment makes the others' cells wider. Pairs are gone through twice, for the least distance and
+    for the segment that has it: the first is a plain sum of maps, so pairs are never sorted or spilled.
     """
     parts = cut(segments(lines))
     box = grid.box_of(points, lines)
@@ -51,28 +52,50 @@ def nearest_edge(points: DataFrame, lines: DataFrame, most: float | None = None)
         return points.limit(0).crossJoin(lines.select("edge").limit(0)).select("id", "edge", F.lit(0.0).alias("distance"), F.lit(0.0).alias("ratio"))
     x0, y0, side = box
     x, y, ax, ay, bx, by = (F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by"))
+    at = cut(_with_reach(points, parts, box, most))
+    used = sorted(r.level for r in at.select("level").distinct().collect())  # levels, few
+    if not used:
+        return points.limit(0).crossJoin(lines.select("edge").limit(0)).select("id", "edge", F.lit(0.0).alias("distance"), F.lit(0.0).alias("ratio"))
     longer = F.greatest(F.abs(bx - ax), F.abs(by - ay), F.lit(side * float(grid.FINER) ** (1 - grid.LEVELS)))
-    finest = F.least(F.lit(grid.LEVELS - 1), F.greatest(F.lit(0), F.floor(F.log(F.lit(side * PASSED) / longer) / math.log(grid.FINER)).cast("int")))
-    dealt = parts.withColumn("finest", finest).withColumn("level", F.explode(F.sequence(F.lit(0), F.col("finest"))))
+    finest = F.least(F.lit(grid.LEVELS - 1), F.greatest(F.lit(0), F.floor(F.log(F.lit(side * PASSED_MOST) / longer) / math.log(grid.FINER)).cast("int")))
+    own_levels = F.filter(F.array(*[F.lit(k) for k in used]), lambda k: k <= F.col("finest"))
+    dealt = parts.withColumn("finest", finest).withColumn("level", F.explode(F.array_union(own_levels, F.when(F.col("finest") < used[-1], F.array("finest")).otherwise(F.array().cast("array<int>")))))
     dealt = cut(passed(dealt, F.lit(side) / F.pow(F.lit(float(grid.FINER)), F.col("level")), 0.0, x0, y0))
-    at = grid.finest_level(points, dealt.select("level", "cx", "cy").distinct(), box)
-    if most is not None:
-        at = at.withColumn("level", F.greatest("level", F.lit(grid.level_of(most, side))))
-    at = cut(at)
-    own = at.select("id", "x", "y", "level", F.lit(False).alias("wider"), F.explode(grid.cells_around(2)).alias("o"))
     kinds = sorted(r.finest for r in dealt.select("finest").distinct().collect())  # levels, few
-    wider = at.withColumn("level", F.explode(F.filter(F.array(*[F.lit(k) for k in kinds]), lambda k: k < F.col("level"))))
-    asked = own.unionByName(wider.select("id", "x", "y", "level", F.lit(True).alias("wider"), F.explode(grid.cells_around(1)).alias("o")))
-    asked = asked.select("id", "x", "y", "level", "wider", (grid.cell_at(x, x0, side, F.col("level")) + F.col("o.a")).alias("cx"), (grid.cell_at(y, y0, side, F.col("level")) + F.col("o.b")).alias("cy"))
-    met = asked.join(dealt, ["level", "cx", "cy"]).where("not wider or finest = level")
-    along = F.try_divide((x - ax) * (bx - ax) + (y - ay) * (by - ay), F.col("length") * F.col("length"))
-    met = met.withColumn("u", F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), along)), F.lit(0.0)))
-    met = met.withColumn("distance", F.hypot(x - ax - F.col("u") * (bx - ax), y - ay - F.col("u") * (by - ay)))
+    asked = F.array_union(F.array("level"), F.filter(F.array(*[F.lit(k) for k in kinds]), lambda k: k < F.col("level")))
+    asked = at.select("id", "x", "y", "r", F.col("level").alias("mine"), F.explode(asked).alias("level"))
+    reached = lambda v, low: F.sequence(grid.cell_at(v - F.col("r"), low, side, F.col("level")), grid.cell_at(v + F.col("r"), low, side, F.col("level")))
+    asked = asked.withColumn("cx", F.explode(reached(x, x0))).withColumn("cy", F.explode(reached(y, y0)))
+
+    def met(asked: DataFrame) -> DataFrame:
+        pairs = asked.join(shuffled(dealt), ["level", "cx", "cy"]).where("mine = level or finest = level")
+        along = F.try_divide((x - ax) * (bx - ax) + (y - ay) * (by - ay), F.col("length") * F.col("length"))
+        pairs = pairs.withColumn("u", F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), along)), F.lit(0.0)))
+        return pairs.withColumn("distance", F.hypot(x - ax - F.col("u") * (bx - ax), y - ay - F.col("u") * (by - ay)))
+
+    least = cut(met(asked).groupBy("id").agg(F.min("distance").alias("least")))
     place = F.coalesce(F.try_divide(F.col("before") + F.col("u") * F.col("length"), F.col("total")), F.lit(0.0))
-    best = met.groupBy("id").agg(F.min(F.struct("distance", "edge", "k", place.alias("ratio"))).alias("m")).select("id", "m.edge", "m.distance", "m.ratio")
+    best = met(asked.join(shuffled(least), "id")).where(F.col("distance") <= F.col("least"))
+    best = best.groupBy("id").agg(F.min(F.struct("distance", "edge", "k", place.alias("ratio"))).alias("m")).select("id", "m.edge", "m.distance", "m.ratio")
     return cut(best if most is None else best.where(F.col("distance") <= most))
 
 
+def _with_reach(points: DataFrame, parts: DataFrame, box: tuple[float, float, float], most: float | None) -> DataFrame:
+    """(id, x, y, r, level): how far each point has to look, as some vertex is no farther, and the finest level whose cells are as wide."""
+    x0, y0, side = box
+    vertices = parts.select(F.explode(F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))).alias("v")).select("v.*").distinct()
+    levels = F.explode(F.sequence(F.lit(0), F.lit(grid.LEVELS - 1)))
+    in_cell = lambda rows: rows.withColumn("level", levels).withColumns({c: grid.cell_at(F.col(v), low, side, F.col("level")) for c, v, low in (("cx", "x", x0), ("cy", "y", y0))})
+    some = in_cell(vertices).groupBy("level", "cx", "cy").agg(F.max("x").alias("vx"), F.max("y").alias("vy"), F.min("x").alias("wx"), F.min("y").alias("wy"))
+    # some vertex of the cell lies in the rectangle of all of them, so none of its corners is nearer than the nearest and none of its points farther than the farthest corner
+    far = F.hypot(F.greatest(F.col("vx") - F.col("x"), F.col("x") - F.col("wx")), F.greatest(F.col("vy") - F.col("y"), F.col("y") - F.col("wy")))
+    found = in_cell(points.select("id", "x", "y")).join(shuffled(some), ["level", "cx", "cy"])
+    found = found.groupBy("id").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.min(far).alias("r"))
+    r = F.col("r") if most is None else F.least("r", F.lit(float(most)))
+    found = found.withColumn("r", r * (1 + 1e-9) + side * 1e-12)
+    return found.withColumn("level", F.least(F.lit(grid.LEVELS - 1), F.greatest(F.lit(0), F.floor(F.log(F.lit(side) / F.col("r")) / math.log(grid.FINER)).cast("int"))))
+
+
 def extent(lines: DataFrame, by: list[str]) -> DataFrame:
     """(by..., x_min, y_min, x_max, y_max) of vertices (by..., x, y)."""
     return lines.groupBy(*by).agg(F.min("x").alias("x_min"), F.min("y").alias("y_min"), F.max("x").alias("x_max"), F.max("y").alias("y_max"))

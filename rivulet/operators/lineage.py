@@ -7,6 +7,11 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` to be joined by a shuffle. Spark guesses the size of exploded and compressed tables from their files, far too small, and would send such a side through the driver to all executors."""
+    return df.hint("merge")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` checkpointed in the session's shared folder (a temporary one only in a local session without one, as in tests), so a loop's plan doesn't grow."""
     sc = df.sparkSession.sparkContext
