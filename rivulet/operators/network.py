@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulet.operators.lineage import cut
+from rivulet.operators.lineage import cut, shuffled
 
 
 def _jumped(pointers: DataFrame) -> DataFrame:
     """(id, up) reaching twice as far; pointers beyond an outlet are null."""
     up = pointers.select(F.col("id").alias("up"), F.col("up").alias("_far"))
-    return pointers.join(up, "up", "left").select("id", F.col("_far").alias("up"))
+    return pointers.join(shuffled(up), "up", "left").select("id", F.col("_far").alias("up"))
 
 
 def _any_left(pointers: DataFrame) -> bool:
@@ -44,8 +44,8 @@ def upstream_sums(forest: DataFrame, values: list[str]) -> DataFrame:
             return at.select("id", *values)
         brought = at.where("up is not null").groupBy(F.col("up").alias("id")).agg(*[F.sum(v).alias(f"_{v}") for v in values])
         far = _jumped(at.select("id", "up"))
-        sums = at.drop("up").join(brought, "id", "left").select("id", *[(F.col(v) + F.coalesce(f"_{v}", F.lit(0))).alias(v) for v in values])
-        at = cut(sums.join(far, "id"))
+        sums = at.drop("up").join(shuffled(brought), "id", "left").select("id", *[(F.col(v) + F.coalesce(f"_{v}", F.lit(0))).alias(v) for v in values])
+        at = cut(sums.join(shuffled(far), "id"))
     raise ValueError("the forest has a cycle")
 
 

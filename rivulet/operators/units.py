@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.operators import attach, grid, network
-from rivulet.operators.lineage import cut
+from rivulet.operators.lineage import cut, shuffled
 
 
 def snap(points: DataFrame, acc: DataFrame, threshold: int, most: float) -> DataFrame:
     """(id, i, j, acc, offset): the channel cell (acc of ``threshold`` or more) nearest to each point (id, x, y), x along j, y along i, in cells; none beyond ``most``."""
     channels = grid.streams(acc, threshold).withColumn("target", grid.cell_id())
     found = grid.nearest(points, channels.select("target", F.col("j").cast("double").alias("x"), F.col("i").cast("double").alias("y")), most)
-    return found.join(channels, "target").select("id", "i", "j", "acc", F.col("distance").alias("offset"))
+    return found.join(shuffled(channels), "target").select("id", "i", "j", "acc", F.col("distance").alias("offset"))
 
 
 def candidates(stations: DataFrame, manual: DataFrame, junctions: DataFrame, least_area: float = 0.0) -> DataFrame:
@@ -36,9 +36,9 @@ def place(points: DataFrame, acc: DataFrame, threshold: int, most: float, far: f
     smallest id), ``too small`` if fewer than ``least_cells`` drain there, ``far`` if kept but farther than ``far`` from its
     cell, else ``placed``. No point goes without a row.
     """
-    found = points.select("id").join(snap(points, acc, threshold, most), "id", "left")
+    found = points.select("id").join(shuffled(snap(points, acc, threshold, most)), "id", "left")
     first = found.where("i is not null").groupBy("i", "j").agg(F.min("id").alias("_first"))
-    rated = found.join(first, ["i", "j"], "left")
+    rated = found.join(shuffled(first), ["i", "j"], "left")
     off = F.col("offset") > far if far is not None else F.lit(False)
     status = F.when(F.col("i").isNull(), "out of reach").when(F.col("id") != F.col("_first"), "same cell").when(F.col("acc") < least_cells, "too small").when(off, "far").otherwise("placed")
     return rated.select("id", status.alias("status"), "i", "j", "acc", "offset")
