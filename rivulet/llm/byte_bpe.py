@@ -25,7 +25,7 @@ from rivulet.llm.common import text_or_empty
 #: Bytes that a leaf of the encoding tree holds, and tokens that one of the decoding tree holds.
 LEAF_BYTES, LEAF_TOKENS = 3, 1 << 16
 #: Entries of each of a worker's caches (a full one is emptied) and the longest strings that they keep.
-CACHE, CACHED_BYTES, CACHED_CHARS = 400_000, 32, 24
+CACHE, CACHED_BYTES, CACHED_CHARS = 60_000, 32, 24
 
 
 def load_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
