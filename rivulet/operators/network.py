@@ -6,6 +6,8 @@ logarithm of the depth.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,18 +35,34 @@ def levels(forest: DataFrame) -> DataFrame:
     raise ValueError("the forest has a cycle")
 
 
+def _summed_as(rows: DataFrame, values: list[str]) -> dict[str, str]:
+    """The decimals in which those of ``values`` that are doubles are summed, so that equal totals come out equal in whatever order they are added.
+
+    37 digits from the largest total down keep all 17 digits of a number down to a 10**19th of it. Doubles stay doubles
+    where some are not finite or the total is out of bounds.
+    """
+    doubles = [v for v in values if rows.schema[v].dataType.simpleString() == "double"]
+    if not doubles:
+        return {}
+    whole = rows.agg(*[F.sum(F.abs(v)).alias(v) for v in doubles]).head()
+    return {v: f"decimal(37,{min(37, 36 - math.ceil(math.log10(whole[v])))})" for v in doubles if 1e-12 < (whole[v] or 0) < 1e30}
+
+
 def upstream_sums(forest: DataFrame, values: list[str]) -> DataFrame:
-    """(id, values...): sums over each node and all that drain to it.
+    """(id, values...): sums over each node and all that drain to it; those of doubles are exact but for a last rounding (``_summed_as``).
 
     After k rounds a node has the sum of what is less than 2**k steps above it; the nodes exactly 2**k above bring the next part.
     """
     at = cut(forest.select("id", F.col("parent").alias("up"), *values))
+    types = _summed_as(at, values)
+    typed = lambda v, c: c.cast(types[v]) if v in types else c
+    at = at.select("id", "up", *[typed(v, F.col(v)).alias(v) for v in values])
     for _ in range(40):
         if not _any_left(at):
-            return at.select("id", *values)
-        brought = at.where("up is not null").groupBy(F.col("up").alias("id")).agg(*[F.sum(v).alias(f"_{v}") for v in values])
+            return at.select("id", *[(F.col(v).cast("double") if v in types else F.col(v)).alias(v) for v in values])
+        brought = at.where("up is not null").groupBy(F.col("up").alias("id")).agg(*[typed(v, F.sum(v)).alias(f"_{v}") for v in values])
         far = _jumped(at.select("id", "up"))
-        sums = at.drop("up").join(shuffled(brought), "id", "left").select("id", *[(F.col(v) + F.coalesce(f"_{v}", F.lit(0))).alias(v) for v in values])
+        sums = at.drop("up").join(shuffled(brought), "id", "left").select("id", *[typed(v, F.col(v) + F.coalesce(f"_{v}", typed(v, F.lit(0)))).alias(v) for v in values])
         at = cut(sums.join(shuffled(far), "id"))
     raise ValueError("the forest has a cycle")
 

@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 
-from rivulet.operators import noding
+from rivulet.operators import dag, network, noding
 from rivulet.plans import registry
 from test_oracles import _key, _same
 
@@ -45,3 +45,12 @@ def test_source_lines_whose_middle_lies_far_from_a_line_they_meet(spark):
 def test_nearest_edge_among_many_crossing_lines(spark, tmp_path):
     _embeddings(tmp_path, list(range(1_500)), seed=5)
     _matches(spark, tmp_path, "nearest_edge")
+
+
+def test_river_names_whose_lengths_are_equal_in_another_order(spark):
+    """0.3 + 0.2 + 0.1 and 0.1 + 0.2 + 0.3 differ as doubles; both tributaries are 0.6 long, so the smaller id comes first."""
+    rows = [(0, None, 1.0), (1, 0, 9.0), (10, 0, 0.3), (11, 10, 0.2), (12, 11, 0.1), (20, 0, 0.1), (21, 20, 0.2), (22, 21, 0.3)]
+    named = dag.name_rivers(spark.createDataFrame(rows, "id long, parent long, length double"), "length", "Main", ["Elm", "Oak"])
+    assert {r.id: r.name for r in named.where("id = stem").collect()}.items() >= {10: "Elm", 20: "Oak"}.items()
+    sums = network.upstream_sums(spark.createDataFrame([(1, None, 1e200), (2, 1, 5e-3)], "id long, parent long, v double"), ["v"])
+    assert {r.id: r.v for r in sums.collect()} == {1: 1e200, 2: 5e-3}
