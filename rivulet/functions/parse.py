@@ -1,4 +1,4 @@
-"""Dirty text to typed values: times, numbers, names. All are column expressions, so they stay in generated code."""
+"""Dirty text to typed values: times, numbers, names. All are column expressions."""
 
 from __future__ import annotations
 
@@ -22,24 +22,31 @@ def parse_time(text: Column) -> Column:
     Accepts dashes, slashes, the characters for year, month and day, a T, compact digits (their number decides, so
     20151231 is a date) and five-digit spreadsheet serials counted from 1899-12-30. Month and day default to 1.
     """
-    x = F.translate(F.trim(F.regexp_replace(text, "[\"']", "")), "T年月/", " ---")
-    x = F.trim(F.regexp_replace(F.regexp_replace(x, "日", " "), r"\s+", " "))
-    x = F.regexp_replace(x, "-$", "")
+    return F.get(F.transform(F.array(_cleaned(text)), _time_of), F.lit(0))  # the name of a lambda holds the cleaned text, as every mention of a column expression works it out again
+
+
+def _cleaned(text: Column) -> Column:
+    """A written time with dashes, single spaces and neither quotes nor a dash at its end."""
+    x = F.translate(F.trim(F.translate(text, "\"'", "")), "T年月/日", " --- ")
+    x = F.regexp_replace(F.trim(F.regexp_replace(x, r"\s+", " ")), "-$", "")
     x = F.regexp_replace(x, r"^(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})$", "$1-$2-$3 $4:$5")
-    x = F.regexp_replace(x, r"^(\d{4})(\d{2})(\d{2})( .*)?$", "$1-$2-$3$4")
+    return F.regexp_replace(x, r"^(\d{4})(\d{2})(\d{2})( .*)?$", "$1-$2-$3$4")
+
+
+def _time_of(x: Column) -> Column:
     part = lambda i, default: F.coalesce(F.regexp_extract(x, _DASHED, i).try_cast("int"), F.lit(default))
     dashed = F.try_make_timestamp_ntz(part(1, 0), part(2, 1), part(3, 1), part(4, 0), part(5, 0), part(6, 0).cast("decimal(16,6)"))
     seconds = F.round(x.try_cast("double") * 86400).cast("long")
     serial = F.lit("1899-12-30").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
-    return F.when(x.rlike(_SERIAL), serial).when(x.rlike(_DASHED), dashed)
+    # a cast reads these spellings far faster; what it refuses (60 seconds) is made of its parts
+    return F.when(x.rlike(_DASHED), F.coalesce(x.try_cast("timestamp_ntz"), dashed)).when(x.rlike(_SERIAL), serial)
 
 
 def parse_value(text: Column, scale: float = 1.0) -> Column:
     """double of a written number; null for missing marks, non-finite numbers and those at or below MISSING_BELOW."""
-    x = F.lower(F.trim(text))
-    number = F.translate(x, ",，", "").try_cast("double")
-    usable = ~x.isin(*NULL_TOKENS) & ~F.isnan(number) & (F.abs(number) < float("inf")) & (number > MISSING_BELOW)
-    return F.when(usable, number * scale)
+    # missing marks are no numbers, or NaN, which is no less than infinity
+    number = F.translate(F.trim(text), ",，", "").try_cast("double")
+    return F.when((number > MISSING_BELOW) & (number < float("inf")), number * scale)
 
 
 def norm_key(text: Column) -> Column:

@@ -4,6 +4,9 @@ import duckdb
 import numpy as np
 import pandas as pd
 
+from pyspark.sql import functions as F
+
+from rivulet.functions import parse
 from rivulet.operators import dag, network, noding
 from rivulet.plans import registry
 from test_oracles import _key, _same
@@ -54,3 +57,10 @@ def test_river_names_whose_lengths_are_equal_in_another_order(spark):
     assert {r.id: r.name for r in named.where("id = stem").collect()}.items() >= {10: "Elm", 20: "Oak"}.items()
     sums = network.upstream_sums(spark.createDataFrame([(1, None, 1e200), (2, 1, 5e-3)], "id long, parent long, v double"), ["v"])
     assert {r.id: r.v for r in sums.collect()} == {1: 1e200, 2: 5e-3}
+
+
+def test_parse_time_works_out_its_text_once(spark):
+    rows = [("2015-1-2 3:04:60", "2015-01-02 03:05:00"), ("'2015/1/2'", "2015-01-02 00:00:00"), ("2015年3月日", "2015-03-01 00:00:00"), ("2015-2-30", None), ("12345", "1933-10-18 00:00:00"), ("2015-1-2 3:4", "2015-01-02 03:04:00")]
+    read = spark.createDataFrame(rows, "text string, want string").select("want", parse.parse_time(F.concat("text", F.lit(" "))).cast("string").alias("got"))
+    assert all(r.got == r.want for r in read.collect())
+    assert read._jdf.queryExecution().analyzed().toString().count("concat(") == 1
