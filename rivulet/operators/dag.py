@@ -1,7 +1,7 @@
 """Directed networks whose nodes may have several ways down: totals, orders, reach and outlets.
 
 Edges are (edge, from_node, to_node, ...). Totals go down level by level (a node's turn comes when all its edges from
-above are done), so rounds follow the longest way; what is upstream of a node is found by doubling ways instead.
+above are done), so rounds follow the longest way; what is upstream of a node is found by doubling ways from the forks instead.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.operators import network
-from rivulet.operators.lineage import cut
+from rivulet.operators.lineage import cut, shuffled
 
 
 def _passed_down(edges: DataFrame, values: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -55,27 +55,67 @@ def upstream_totals(edges: DataFrame, values: Sequence[str] = ("length",)) -> Da
     return kept.join(done.select("edge", *names), "edge", "left")
 
 
-def upstream_edges(edges: DataFrame) -> DataFrame:
-    """(node, edge): every edge from which water comes to the node, once each; ways double each round, so rounds are the logarithm of the longest way."""
-    own = cut(edges.select(F.col("to_node").alias("node"), "edge"))
-    # a step from an edge to the edges that its lower end leads on to; steps then join steps
-    ways = cut(edges.select(F.col("edge").alias("a"), F.col("to_node").alias("n")).join(edges.select(F.col("from_node").alias("n"), F.col("edge").alias("b")), "n").select("a", "b").distinct())
-    n = ways.count()
-    while n:
-        longer = ways.join(ways.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
-        ways = cut(ways.unionByName(longer).distinct())
-        before, n = n, ways.count()
+def _reached(starts: DataFrame, steps: DataFrame) -> DataFrame:
+    """(start, node): every node that each start (start, node) leads to by any number of ``steps`` (a, b), its own node included.
+
+    After k rounds the ways of less than 2**k steps are known; those are gone on with by ways of exactly 2**k steps, of which
+    there are few for each node, so a pair is met again only as often as such ways end at one node.
+    """
+    known, ways = cut(starts.distinct()), cut(steps.distinct())
+    n = known.count()
+    while n and not ways.isEmpty():
+        longer = known.join(shuffled(ways.select(F.col("a").alias("node"), "b")), "node").select("start", F.col("b").alias("node"))
+        known = cut(known.unionByName(longer).distinct())
+        before, n = n, known.count()
         if before == n:
             break
-    below = edges.select(F.col("edge").alias("b"), F.col("to_node").alias("node"))
-    return own.unionByName(ways.join(below, "b").select("node", F.col("a").alias("edge"))).distinct()
+        ways = cut(ways.join(shuffled(ways.select(F.col("a").alias("b"), F.col("b").alias("c"))), "b").select("a", F.col("c").alias("b")).distinct())
+    return known
+
+
+def upstream_edges(edges: DataFrame) -> DataFrame:
+    """(node, edge): every edge from which water comes to the node, once each; rounds are the logarithm of the longest way."""
+    steps = edges.select(F.col("from_node").alias("a"), F.col("to_node").alias("b"))
+    return _reached(edges.select(F.col("edge").alias("start"), F.col("to_node").alias("node")), steps).select("node", F.col("start").alias("edge"))
+
+
+def _first_forks(nodes: DataFrame, steps: DataFrame) -> DataFrame:
+    """(id, parent, fork): the fork (several ways down) that each node's single ways lead to, itself if it is one, and the next node on the way to it; null where they end at an outlet.
+
+    A node whose single ways go round for ever is a fork too.
+    """
+    down = steps.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"), F.min("b").alias("parent"))
+    single = cut(nodes.select(F.col("node").alias("id")).join(shuffled(down), "id", "left").select("id", F.when(F.col("n") == 1, F.col("parent")).alias("parent"), F.when(F.col("n") > 1, F.col("id")).alias("fork")))
+    at, left = single.withColumnRenamed("parent", "up"), None
+    while left != (left := at.where("up is not null").count()):  # of ways that end some are shorter than others, so fewer are left each time
+        beyond = at.select(F.col("id").alias("up"), F.col("fork").alias("_fork"), F.col("up").alias("_far"))
+        at = cut(at.join(shuffled(beyond), "up", "left").select("id", F.coalesce("fork", "_fork").alias("fork"), F.col("_far").alias("up")))
+    endless = F.col("up").isNotNull()
+    found = at.select("id", F.when(endless, F.col("id")).otherwise(F.col("fork")).alias("fork"))
+    return single.select("id", "parent").join(shuffled(found), "id").select("id", F.when(~F.col("fork").eqNullSafe(F.col("id")), F.col("parent")).alias("parent"), "fork")
 
 
 def distinct_totals(edges: DataFrame, values: Sequence[str] = ("length",)) -> DataFrame:
-    """(node, edges, values...): how many edges lie upstream of each node, and their sums, each edge once however many ways lead down from it; 0 at sources."""
-    nodes = edges.select(F.explode(F.array("from_node", "to_node")).alias("node")).distinct()
-    sums = upstream_edges(edges).join(edges.select("edge", *values), "edge").groupBy("node").agg(F.count("*").alias("edges"), *[F.sum(v).alias(v) for v in values])
-    return nodes.join(sums, "node", "left").select("node", F.coalesce("edges", F.lit(0)).cast("long").alias("edges"), *[F.coalesce(v, F.lit(0.0)).alias(v) for v in values])
+    """(node, edges, values...): how many edges lie upstream of each node, and their sums, each edge once however many ways lead down from it; 0 at sources.
+
+    What has a single way down to the next fork comes to all below that fork with it. So only forks are followed down, with
+    the sums of all that leads to them by single ways.
+    """
+    nodes = cut(edges.select(F.explode(F.array("from_node", "to_node")).alias("node")).distinct())
+    steps = cut(edges.select(F.col("from_node").alias("a"), F.col("to_node").alias("b")).distinct())
+    led = _first_forks(nodes, steps)
+    names = ["edges", *values]
+    own = edges.groupBy(F.col("to_node").alias("id")).agg(F.count("*").alias("edges"), *[F.sum(v).alias(v) for v in values])
+    valued = cut(led.join(shuffled(own), "id", "left").select("id", "parent", "fork", F.coalesce("edges", F.lit(0)).cast("long").alias("edges"), *[F.coalesce(v, F.lit(0.0)).alias(v) for v in values]))
+    sums = cut(network.upstream_sums(valued.select("id", "parent", *names), names).join(shuffled(valued.select("id", "fork")), "id"))
+    forks = sums.where("fork = id and edges > 0").select(F.col("id").alias("start"), *names)
+    pairs = _reached(forks.select("start", F.col("start").alias("node")), steps)
+    brought = pairs.join(shuffled(forks), "start").groupBy("node").agg(*[F.sum(v).alias(f"_{v}") for v in names])
+    # a node's own fork brings what leads to the node too: a fork itself, or a node on a cycle
+    met = pairs.select(F.col("node").alias("id"), F.col("start").alias("fork"), F.lit(True).alias("_met"))
+    told = sums.join(shuffled(met), ["id", "fork"], "left").join(shuffled(brought.withColumnRenamed("node", "id")), "id", "left")
+    total = lambda v: (F.when(F.col("_met"), F.lit(0)).otherwise(F.col(v)) + F.coalesce(f"_{v}", F.lit(0))).alias(v)
+    return told.select(F.col("id").alias("node"), *[total(v) for v in names])
 
 
 def outlets(edges: DataFrame, heights: DataFrame | None = None) -> DataFrame:

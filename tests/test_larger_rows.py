@@ -64,3 +64,29 @@ def test_parse_time_works_out_its_text_once(spark):
     read = spark.createDataFrame(rows, "text string, want string").select("want", parse.parse_time(F.concat("text", F.lit(" "))).cast("string").alias("got"))
     assert all(r.got == r.want for r in read.collect())
     assert read._jdf.queryExecution().analyzed().toString().count("concat(") == 1
+
+
+def test_upstream_edges_on_ladders_and_cycles(spark):
+    """Random networks, some with cycles, against walks by hand; and a ladder of two ways at each of 40 nodes, whose ways are too many to tell apart."""
+    rng = np.random.default_rng(4)
+    for n, ends in ((40, 90), (60, 60), (30, 25)):
+        pairs = [(int(a), int(b)) for a, b in rng.integers(0, n, (ends, 2)) if n != 60 or a > b]
+        pairs += [(200 + 3 * k + i, 203 + 3 * k + j) for k in range(13) for i in (0, 1) for j in (0, 1)]
+        edges = [(e, a, b, float(e)) for e, (a, b) in enumerate(pairs)]
+        frame = spark.createDataFrame(edges, "edge long, from_node long, to_node long, length double")
+        want = {}
+        for node in {x for p in pairs for x in p}:
+            seen, todo = set(), [node]
+            above = set()
+            while todo:
+                at = todo.pop()
+                for e, a, b, _ in edges:
+                    if b == at:
+                        above.add(e)
+                        if a not in seen:
+                            seen.add(a)
+                            todo.append(a)
+            want[node] = above
+        assert {r.node: (r.edges, r.length) for r in dag.distinct_totals(frame).collect()} == {k: (len(v), float(sum(v))) for k, v in want.items()}
+        if n == 30:
+            assert {(r.node, r.edge) for r in dag.upstream_edges(frame).collect()} == {(k, e) for k, v in want.items() for e in v}
