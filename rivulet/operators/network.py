@@ -134,18 +134,31 @@ def main_stem(forest: DataFrame, length: str) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component): the smallest id that each node is linked to, by least neighbours and pointer jumping."""
-    both = edges.select(F.col(a).alias("id"), F.col(b).alias("to")).unionByName(edges.select(F.col(b).alias("id"), F.col(a).alias("to"))).distinct()
-    both = cut(both)
-    at = cut(both.groupBy("id").agg(F.min("to").alias("_m")).select("id", F.least("id", "_m").alias("component")))
+    """(id, component): the smallest id that each node is linked to.
+
+    Every node points to its smallest neighbour, and of two that point to each other the smaller is a root. So each tree has
+    two nodes at least and its smallest one as root; doubled pointers find it, trees become nodes, and the links between
+    them are looked at again. The nodes halve at least each round.
+    """
+    ends = edges.select(F.col(a).alias("id"), F.col(b).alias("to"))
+    links = cut(ends.unionByName(ends.select(F.col("to").alias("id"), F.col("id").alias("to"))).distinct())
+    rounds = []
     while True:
-        near = both.join(at.select(F.col("id").alias("to"), F.col("component").alias("_c")), "to").groupBy("id").agg(F.min("_c").alias("_c"))
-        step = at.join(near, "id").select("id", F.least("component", "_c").alias("_c"), F.col("component").alias("_old"))
-        jump = at.select(F.col("id").alias("_c"), F.col("component").alias("_cc"))
-        moved = cut(step.join(jump, "_c", "left").select("id", F.least("_c", F.coalesce("_cc", "_c")).alias("component"), "_old"))
-        at = moved.select("id", "component")
-        if moved.where("component != _old").isEmpty():
-            return at
+        least = cut(links.groupBy("id").agg(F.min("to").alias("parent")))
+        other = least.select(F.col("id").alias("parent"), F.col("parent").alias("_back"))
+        pointed = cut(least.join(shuffled(other), "parent").select("id", "parent", ((F.col("_back") == F.col("id")) & (F.col("id") <= F.col("parent"))).alias("_root")))
+        roots = first_marked(pointed, "_root")
+        rounds.append(roots)
+        named = lambda c: roots.select(F.col("id").alias(c), F.col("mark").alias(f"_{c}"))  # noqa: E731, B023
+        between = links.join(shuffled(named("id")), "id").join(shuffled(named("to")), "to").where("_id != _to")
+        links = cut(between.select(F.col("_id").alias("id"), F.col("_to").alias("to")).distinct())
+        if links.isEmpty():
+            break
+    found = rounds.pop()
+    while rounds:  # a tree's root is a node of the next round, or it has no links left
+        later = found.select(F.col("id").alias("mark"), F.col("mark").alias("_last"))
+        found = rounds.pop().join(shuffled(later), "mark", "left").select("id", F.coalesce("_last", "mark").alias("mark"))
+    return found.withColumnRenamed("mark", "component")
 
 
 def node_kinds(edges: DataFrame, start: str = "from_node", end: str = "to_node") -> DataFrame:

@@ -90,3 +90,19 @@ def test_upstream_edges_on_ladders_and_cycles(spark):
         assert {r.node: (r.edges, r.length) for r in dag.distinct_totals(frame).collect()} == {k: (len(v), float(sum(v))) for k, v in want.items()}
         if n == 30:
             assert {(r.node, r.edge) for r in dag.upstream_edges(frame).collect()} == {(k, e) for k, v in want.items() for e in v}
+
+
+def test_components_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    """Smallest neighbours are the nodes before, so one round of doubled pointers is enough; the random links need several and have loops, stars and pairs."""
+    asked = []
+    monkeypatch.setattr(network, "first_marked", lambda *a, real=network.first_marked: asked.append(1) or real(*a))
+    chain = network.components(spark.range(1, 300).selectExpr("id AS a", "id - 1 AS b"))
+    assert {r.component for r in chain.collect()} == {0} and chain.count() == 300 and len(asked) == 1
+    rng = np.random.default_rng(2)
+    pairs = [(int(x), int(y)) for x, y in rng.integers(0, 400, (260, 2))] + [(1000, 1000 - k) for k in range(1, 9)] + [(2000, 2000)]
+    least = {x: x for p in pairs for x in p}
+    for _ in range(len(least)):
+        for x, y in pairs:
+            least[x] = least[y] = min(least[x], least[y])
+    assert {r.id: r.component for r in network.components(spark.createDataFrame(pairs, "a long, b long")).collect()} == least
+    assert network.components(spark.createDataFrame([], "a long, b long")).count() == 0
