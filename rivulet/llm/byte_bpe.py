@@ -24,8 +24,10 @@ from rivulet.llm.common import text_or_empty
 
 #: Bytes that a leaf of the encoding tree holds, and tokens that one of the decoding tree holds.
 LEAF_BYTES, LEAF_TOKENS = 3, 1 << 16
-#: Entries of each of a worker's caches (a full one is emptied) and the longest strings that they keep.
-CACHE, CACHED_BYTES, CACHED_CHARS = 60_000, 32, 24
+#: Entries of a worker's caches of words, of parts of words and of pairs of tokens, and the longest strings that they keep.
+WORDS, PARTS, PAIRS, CACHED_BYTES, CACHED_CHARS = 280_000, 100_000, 240_000, 32, 24
+#: Bytes up to which a search of all pairs beats a heap of them.
+SHORT = 32
 
 
 def load_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -34,6 +36,26 @@ def load_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
 
 
+class Recent(dict):
+    """The values last used, at most ``most`` of them: when half as many are new or used again, those not used since the last time go. None for others."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.half, self.before = most // 2, {}
+
+    def __missing__(self, key):
+        found = self.before.get(key)
+        if found is not None:
+            self.keep(key, found)
+        return found
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.half:
+            self.before = dict(self)
+            self.clear()
+        self[key] = value
+
+
 class Bpe:
     """Encoder and decoder for one vocabulary."""
 
@@ -45,9 +67,7 @@ class Bpe:
         self.length = np.array([len(x) for x in self.bytes_of] or [0])
         self.start = np.concatenate([[0], np.cumsum(self.length)[:-1]])
         self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
-        self.seams: dict[tuple[int, int], list[int]] = {}
-        self.parts: dict[bytes, list[int]] = {}
-        self.words: dict[str, bytes] = {}
+        self.seams, self.parts, self.words = Recent(PAIRS), Recent(PARTS), Recent(WORDS)  # by two tokens, by bytes, by word
 
     def merge(self, data: bytes) -> list[int]:
         """Direct merging of the lowest rank, leftmost first; a heap of pairs and links between parts keep long strings cheap."""
@@ -55,6 +75,8 @@ class Bpe:
         if data in ranks:
             return [ranks[data]]
         n = len(data)
+        if n <= SHORT:
+            return self._merge_short(data)
         parts = [data[i : i + 1] for i in range(n)]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(rank, i, data[i : i + 2]) for i in range(n - 1) if (rank := ranks.get(data[i : i + 2])) is not None]
@@ -75,13 +97,26 @@ class Bpe:
                 heapq.heappush(heap, (rank, h, parts[h] + joined))
         return [ranks[p] for p in parts if p]
 
+    def _merge_short(self, data: bytes) -> list[int]:
+        rank, none = self.ranks.get, len(self.bytes_of)
+        parts = [data[i : i + 1] for i in range(len(data))]
+        pairs = [rank(data[i : i + 2], none) for i in range(len(data) - 1)]
+        while pairs and (least := min(pairs)) < none:
+            i = pairs.index(least)
+            joined = parts[i] = parts[i] + parts.pop(i + 1)
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = rank(joined + parts[i + 1], none)
+            if i:
+                pairs[i - 1] = rank(parts[i - 1] + joined, none)
+        return [self.ranks[p] for p in parts]
+
     def seam(self, a: int, b: int) -> list[int]:
         """The encoding of two tokens' bytes; the pair is valid if it is the pair itself."""
-        found = self.seams.get((a, b))
+        found = self.seams[a, b]
         if found is None:
-            if len(self.seams) > CACHE:
-                self.seams.clear()
-            found = self.seams[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b])
+            found = self.merge(self.bytes_of[a] + self.bytes_of[b])
+            self.seams.keep((a, b), found)
         return found
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
@@ -92,11 +127,11 @@ class Bpe:
         """
         if not left or not right:
             return left + right
-        out = list(left)
+        out = left[:]
         for j, token in enumerate(right):
             window = self.seam(out[-1], token)
-            if window == [out[-1], token]:
-                return out + right[j:]
+            if len(window) == 2 and window[0] == out[-1]:  # then the other is the token
+                return out + right[j:] if j else left + right
             out.pop()
             width = 1
             while out and self.seam(out[-1], window[0]) != [out[-1], window[0]]:
@@ -108,21 +143,21 @@ class Bpe:
 
     def encode_bytes(self, data: bytes) -> list[int]:
         """Encodes the halves and joins them; short strings are remembered. The depth is the logarithm of the length."""
-        found = self.parts.get(data)
+        found = self.parts[data]
         if found is None:
-            if data in self.ranks:
-                found = [self.ranks[data]]
-            elif len(data) <= LEAF_BYTES:
-                found = self.merge(data) if data else []
-            else:
-                half = len(data) // 2
-                found = self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
+            found = self._halves(data)
             if len(data) <= CACHED_BYTES:
-                if len(self.parts) > CACHE:
-                    self.parts.clear()
-                self.parts[data] = found
+                self.parts.keep(data, found)
         return found
 
+    def _halves(self, data: bytes) -> list[int]:
+        if data in self.ranks:
+            return [self.ranks[data]]
+        if len(data) <= LEAF_BYTES:
+            return self.merge(data) if data else []
+        half = len(data) // 2
+        return self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
+
     def pieces(self, text: str) -> bytes:
         """The ids of a text by the splitting pattern."""
         return array("I", [t for piece in self.find(text) for t in self.encode_bytes(piece.encode("utf-8", "surrogatepass"))]).tobytes()
@@ -130,9 +165,9 @@ class Bpe:
     def word(self, word: str) -> bytes:
         """The ids of a string without white space that follows a space; letters alone are one piece of any byte-level pattern."""
         if word.isalpha():
-            return array("I", self.encode_bytes(f" {word}".encode())).tobytes()
+            return array("I", self._halves(f" {word}".encode())).tobytes()
         if word[-1] in ".," and word[:-1].isalpha():
-            return array("I", self.encode_bytes(f" {word[:-1]}".encode()) + self.encode_bytes(word[-1].encode())).tobytes()
+            return array("I", self._halves(f" {word[:-1]}".encode()) + self.encode_bytes(word[-1].encode())).tobytes()
         return self.pieces(f" {word}")
 
     def encode(self, text: str) -> bytes:
@@ -144,15 +179,13 @@ class Bpe:
         words = text.split(" ")
         known, out = self.words, []
         for i, word in enumerate(words):
-            ids = known.get(word) if i else None
+            ids = known[word] if i else None
             if ids is None:
                 if not word or word[0].isspace() or word[-1].isspace():
                     return self.pieces(text)
                 ids = self.word(word) if i else self.pieces(word)
                 if i and len(word) <= CACHED_CHARS:
-                    if len(known) > CACHE:
-                        known.clear()
-                    known[word] = ids
+                    known.keep(word, ids)
             out.append(ids)
         return b"".join(out)
 

@@ -610,3 +610,21 @@ def test_mixing_refuses_a_column_that_is_no_source(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MAX_SOURCES", 1)
     with pytest.raises(ValueError, match="sources"):
         mixing.mix(common.table(spark, SMALL, "documents"))
+
+
+def test_bpe_caches_keep_what_is_used():
+    """Words used again stay while others come and go; short and long strings are merged alike."""
+    kept = byte_bpe.Recent(4)
+    kept.keep("often", 1)
+    for k in range(50):
+        assert kept["often"] == 1 and kept[f"word {k}"] is None
+        kept.keep(f"word {k}", k)
+        assert len(kept) <= 2 and len(kept.before) <= 2
+    ranks = byte_bpe.load_ranks(None, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    bpe, rng = byte_bpe.Bpe(ranks, public_tokenizers.PATTERN), np.random.default_rng(1)
+    for _ in range(500):
+        data = "".join(rng.choice(list("aeinrst -é日"), rng.integers(4, 12))).encode()[: byte_bpe.SHORT]
+        short = bpe.merge(data)
+        byte_bpe.SHORT, before = 0, byte_bpe.SHORT
+        assert bpe.merge(data) == short
+        byte_bpe.SHORT = before
