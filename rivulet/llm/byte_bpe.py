@@ -15,7 +15,7 @@ from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +26,8 @@ from rivulet.llm.common import text_or_empty
 LEAF_BYTES, LEAF_TOKENS = 3, 1 << 16
 #: Entries of a worker's caches of words, of parts of words and of pairs of tokens, and the longest strings that they keep.
 WORDS, PARTS, PAIRS, CACHED_BYTES, CACHED_CHARS = 280_000, 100_000, 240_000, 32, 24
+#: Rows whose texts and ids a task holds as Python objects at once.
+ROWS = 256
 #: Bytes up to which a search of all pairs beats a heap of them.
 SHORT = 32
 
@@ -111,12 +113,15 @@ class Bpe:
                 pairs[i - 1] = rank(parts[i - 1] + joined, none)
         return [self.ranks[p] for p in parts]
 
-    def seam(self, a: int, b: int) -> list[int]:
-        """The encoding of two tokens' bytes; the pair is valid if it is the pair itself."""
-        found = self.seams[a, b]
+    def seam(self, a: int, b: int) -> list[int] | tuple[()]:
+        """The encoding of two tokens' bytes; empty if the pair is valid, that is, its own encoding."""
+        key = a * len(self.bytes_of) + b
+        found = self.seams[key]
         if found is None:
             found = self.merge(self.bytes_of[a] + self.bytes_of[b])
-            self.seams.keep((a, b), found)
+            if len(found) == 2 and found[0] == a:  # then the other is b
+                found = ()
+            self.seams.keep(key, found)
         return found
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
@@ -130,11 +135,11 @@ class Bpe:
         out = left[:]
         for j, token in enumerate(right):
             window = self.seam(out[-1], token)
-            if len(window) == 2 and window[0] == out[-1]:  # then the other is the token
+            if not window:
                 return out + right[j:] if j else left + right
             out.pop()
             width = 1
-            while out and self.seam(out[-1], window[0]) != [out[-1], window[0]]:
+            while out and self.seam(out[-1], window[0]):
                 window = self.merge(b"".join([self.bytes_of[t] for t in out[-width:] + window]))
                 del out[-width:]
                 width *= 2
@@ -213,36 +218,43 @@ def _encoder(key, ranks, pattern: str) -> Bpe:
     return _ENCODERS[key]
 
 
-def _mapped(docs: DataFrame, path: str, pattern: str, make: Callable[[Bpe, str], tuple], schema: str) -> DataFrame:
-    """Applies ``make`` to every text; columns of ``docs`` other than id and text are not read."""
+def _mapped(docs: DataFrame, path: str, pattern: str, make: Callable[[Bpe, list[str]], list[pa.Array]], schema: str) -> DataFrame:
+    """Applies ``make`` to the texts of ``docs`` (doc_id, text), ``ROWS`` at a time: Spark's own batches hold up to 64 MB of texts, and their ids as much again."""
     spark = docs.sparkSession
     ranks, key = spark.sparkContext.broadcast(load_ranks(spark, path)), (path, pattern)
-    names = [x.strip().split()[0] for x in schema.split(",")]
+    names = ["doc_id", *[x.strip().split()[0] for x in schema.split(",")]]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _encoder(key, ranks, pattern)
-        for rows in batches:
-            made = pd.DataFrame([make(bpe, text) for text in rows.text], columns=names[1:])
-            made.insert(0, names[0], rows.doc_id.to_numpy())
-            yield made
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(at, ROWS)
+                yield pa.RecordBatch.from_arrays([rows.column(0), *make(bpe, rows.column(1).to_pylist())], names)
 
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, f"doc_id long, {schema}")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and token ids (array<int>) of every whole text, without special tokens. A null or empty text has no ids; rows keep their count, nothing is shuffled."""
-    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    made = _mapped(rows, path, pattern, lambda bpe, text: (np.frombuffer(bpe.encode(text), "<i4"),), "doc_id string, ids array<int>")
-    return made.select(F.col("doc_id").cast("long").alias("doc_id"), "ids")
+
+    def make(bpe: Bpe, texts: list[str]) -> list[pa.Array]:
+        ids = [bpe.encode(text) for text in texts]
+        ends = np.cumsum([0, *map(len, ids)]) // 4
+        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))]
+
+    return _mapped(_texts(docs, id_col, text_col), path, pattern, make, "ids array<int>")
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_tokens, sha256 of its ids and of the bytes that decoding them gives. A null text counts as empty."""
-    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), text_or_empty(text_col).alias("text"))
 
-    def make(bpe: Bpe, text: str) -> tuple:
-        ids = bpe.encode(text)
-        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()
+    def make(bpe: Bpe, texts: list[str]) -> list[pa.Array]:
+        ids = [bpe.encode(text) for text in texts]
+        told = [[hashlib.sha256(x).hexdigest() for x in found] for found in (ids, map(bpe.decode, ids))]
+        return [pa.array([len(x) // 4 for x in ids], pa.int64()), *[pa.array(x, pa.string()) for x in told]]
 
-    made = _mapped(rows, path, pattern, make, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return made.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return _mapped(_texts(docs, id_col, text_col), path, pattern, make, "n_tokens long, ids_sha256 string, decoded_sha256 string")

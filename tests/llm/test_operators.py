@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -628,3 +629,14 @@ def test_bpe_caches_keep_what_is_used():
         byte_bpe.SHORT, before = 0, byte_bpe.SHORT
         assert bpe.merge(data) == short
         byte_bpe.SHORT = before
+
+
+def test_the_encoder_holds_few_rows_at_once(spark):
+    """A task's batch has thousands of rows, of which only ``ROWS`` are Python objects at a time; ids stay with their rows."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = spark.range(1000).selectExpr("IF(id = 999, null, id) AS doc_id", "IF(id % 7 = 3, null, concat('word', id, ' of ', repeat('x', id))) AS text").coalesce(1)
+    asked = byte_bpe._mapped(docs, path, public_tokenizers.PATTERN, lambda bpe, texts: [pa.array([len(texts)] * len(texts), pa.int64())], "n long")
+    assert asked.count() == 1000 and asked.agg({"n": "max"}).head()[0] == byte_bpe.ROWS < 1000
+    bpe = byte_bpe.Bpe(byte_bpe.load_ranks(None, path), public_tokenizers.PATTERN)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert {r.doc_id: r.ids for r in byte_bpe.encode(docs, path, public_tokenizers.PATTERN).collect()} == {k: np.frombuffer(bpe.encode(t), "<u4").tolist() for k, t in texts.items()}
