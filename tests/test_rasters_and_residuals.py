@@ -63,6 +63,27 @@ def test_rounds_follow_tiles_and_not_cells(spark):
     assert len(rounds) <= 3 and got.count() == z.size
 
 
+def test_tiles_of_a_task_settle_at_once(spark):
+    """1,250 tiles take far fewer calls than tiles, also where a tile goes on in the next batch of rows."""
+    cells = spark.range(20_000).selectExpr("CAST(id div 50 AS int) - 7 AS i", "CAST(id % 50 AS int) AS j", "(id * 37) % 1009 * 0.1 AS z")
+    start = cells.selectExpr("*", "IF(i IN (-7, 392) OR j IN (0, 49), z, double('inf')) AS f")
+    calls, shifts = spark.sparkContext.accumulator(0), grid._shifts
+
+    def sink(z, f):
+        calls.add(1)
+        return np.maximum(z, np.minimum.reduce(list(shifts(f))) + 0.01)
+
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "997")
+    try:
+        got = {(r.i, r.j): r.f for r in grid._in_tiles(start, "f", sink, 4).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    z = np.array([r.z for r in cells.orderBy("i", "j").collect()], float).reshape(400, 50)
+    want = _flooded(z, 0.01)
+    assert calls.value < 5_000 and got == {(i - 7, j): want[i, j] for i in range(400) for j in range(50)}
+
+
 @pytest.mark.parametrize("tile", [4, 64])
 def test_flats_drain_on_shortest_ways(spark, tile):
     z = np.full((9, 12), 5.0)
