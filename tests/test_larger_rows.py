@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from rivulet.functions import parse
-from rivulet.operators import dag, network, noding
+from rivulet.operators import dag, network, noding, simplify
+from rivulet.operators.lineage import cut
 from rivulet.plans import registry
 from test_oracles import _key, _same
 
@@ -106,3 +107,35 @@ def test_components_of_a_long_chain_take_few_rounds(spark, monkeypatch):
             least[x] = least[y] = min(least[x], least[y])
     assert {r.id: r.component for r in network.components(spark.createDataFrame(pairs, "a long, b long")).collect()} == least
     assert network.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_size_guesses_of_loops_stay_numbers(spark):
+    """Each round's guess is at least the square of the last one's: after 15 rounds of these without an end to it, 10 to the power of several hundred thousands."""
+    rows = cut(spark.range(8).selectExpr("id", "id % 3 AS up"))
+    for _ in range(15):
+        rows = cut(rows.join(rows.select(F.col("id").alias("up"), F.col("up").alias("far")), "up").selectExpr("id", "far AS up"))
+    told = rows._jdf.queryExecution().optimizedPlan().stats().simpleString()
+    assert int(told.partition("E+")[2].split(" ")[0] or 0) < 5_000
+    assert {r.id: r.up for r in rows.collect()} == {k: k % 3 for k in range(8)} and rows.schema["id"].dataType.simpleString() == "bigint"
+
+
+def test_simplified_lines_split_one_vertex_at_a_time(spark, monkeypatch):
+    """The farthest vertex of a zigzag that dies out is always the first one left, so each split is one as deep as the last."""
+    cuts = []
+    monkeypatch.setattr(simplify, "cut", lambda df, real=simplify.cut: cuts.append(1) or real(df))
+    zigzag = [(7, k, float(k), (-1.0) ** k * (2000 - k)) for k in range(2000)]
+    found = simplify.simplify(spark.createDataFrame(zigzag, "edge int, k int, x double, y double"), 0.5)
+    assert found.count() == 2000 and len(cuts) < 10
+
+
+def test_simplified_lines_by_rounds_and_at_once(spark):
+    """Long stretches by rounds and short ones at once keep the same vertices, also of equal distances, odd values, keys that repeat and named lines."""
+    rng = np.random.default_rng(8)
+    rows = [(f"w{e}", k, float(x), float(y)) for e in range(2) for k, (x, y) in enumerate(np.cumsum(rng.normal(size=(100, 2)), 0))]
+    rows += [("steps", k, float((k + 1) // 2), float(k // 2 + k % 7 % 2)) for k in range(60)] + [("dot", 4, 1.0, 1.0), ("two", 0, 0.0, 0.0), ("two", 9, 1.0, 1.0), ("two", 3, None, 5.0)]
+    rows += [("odd", k, x, y) for k, (x, y) in enumerate([(0.0, 0.0), (1.0, float("nan")), (2.0, 3.0), (float("inf"), 1.0), (4.0, 4.0), (5.0, -9.0), (6.0, 0.0), (0.0, 0.0)])]
+    rows += [("twice", k // 2, k / 3, float(k * k % 11)) for k in range(24)]
+    lines = spark.createDataFrame(rows, "edge string, k long, x double, y double")
+    kept = lambda at_once: sorted(map(repr, simplify.simplify(lines, 0.8, at_once).collect()))
+    at_once = kept(1_000)
+    assert len({r.split(" x=")[0] for r in at_once}) == len(at_once) and at_once == kept(25)
