@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,25 +51,15 @@ def nearest_edge(points: DataFrame, lines: DataFrame, most: float | None = None)
     box = grid.box_of(points, lines)
     if box is None or parts.isEmpty():
         return points.limit(0).crossJoin(lines.select("edge").limit(0)).select("id", "edge", F.lit(0.0).alias("distance"), F.lit(0.0).alias("ratio"))
-    x0, y0, side = box
     x, y, ax, ay, bx, by = (F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by"))
     at = cut(_with_reach(points, parts, box, most))
-    used = sorted(r.level for r in at.select("level").distinct().collect())  # levels, few
-    if not used:
+    meeting = within_reach(at, parts, box)
+    if meeting is None:
         return points.limit(0).crossJoin(lines.select("edge").limit(0)).select("id", "edge", F.lit(0.0).alias("distance"), F.lit(0.0).alias("ratio"))
-    longer = F.greatest(F.abs(bx - ax), F.abs(by - ay), F.lit(side * float(grid.FINER) ** (1 - grid.LEVELS)))
-    finest = F.least(F.lit(grid.LEVELS - 1), F.greatest(F.lit(0), F.floor(F.log(F.lit(side * PASSED_MOST) / longer) / math.log(grid.FINER)).cast("int")))
-    own_levels = F.filter(F.array(*[F.lit(k) for k in used]), lambda k: k <= F.col("finest"))
-    dealt = parts.withColumn("finest", finest).withColumn("level", F.explode(F.array_union(own_levels, F.when(F.col("finest") < used[-1], F.array("finest")).otherwise(F.array().cast("array<int>")))))
-    dealt = cut(passed(dealt, F.lit(side) / F.pow(F.lit(float(grid.FINER)), F.col("level")), 0.0, x0, y0))
-    kinds = sorted(r.finest for r in dealt.select("finest").distinct().collect())  # levels, few
-    asked = F.array_union(F.array("level"), F.filter(F.array(*[F.lit(k) for k in kinds]), lambda k: k < F.col("level")))
-    asked = at.select("id", "x", "y", "r", F.col("level").alias("mine"), F.explode(asked).alias("level"))
-    reached = lambda v, low: F.sequence(grid.cell_at(v - F.col("r"), low, side, F.col("level")), grid.cell_at(v + F.col("r"), low, side, F.col("level")))
-    asked = asked.withColumn("cx", F.explode(reached(x, x0))).withColumn("cy", F.explode(reached(y, y0)))
+    asked, paired = meeting
 
     def met(asked: DataFrame) -> DataFrame:
-        pairs = asked.join(shuffled(dealt), ["level", "cx", "cy"]).where("mine = level or finest = level")
+        pairs = paired(asked)
         along = F.try_divide((x - ax) * (bx - ax) + (y - ay) * (by - ay), F.col("length") * F.col("length"))
         pairs = pairs.withColumn("u", F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), along)), F.lit(0.0)))
         return pairs.withColumn("distance", F.hypot(x - ax - F.col("u") * (bx - ax), y - ay - F.col("u") * (by - ay)))
@@ -80,6 +71,34 @@ def nearest_edge(points: DataFrame, lines: DataFrame, most: float | None = None)
     return cut(best if most is None else best.where(F.col("distance") <= most))
 
 
+def within_reach(at: DataFrame, parts: DataFrame, box: tuple[float, float, float], same: tuple[str, ...] = (), most_passed: int = PASSED_MOST) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]] | None:
+    """The points ``at`` (x, y, r, level, more) by the cells that their circles touch, and what pairs such rows with the segments passing these cells, of equal ``same`` only; null without points.
+
+    All segments within r of a point are among its pairs, each at least once. Segments pass ``most_passed`` cells or so at their finest level.
+    """
+    x0, y0, side = box
+    x, y, ax, ay, bx, by = (F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by"))
+    used = sorted(r.level for r in at.select("level").distinct().collect())  # levels, few
+    if not used:
+        return None
+    longer = F.greatest(F.abs(bx - ax), F.abs(by - ay), F.lit(side * float(grid.FINER) ** (1 - grid.LEVELS)))
+    finest = F.least(F.lit(grid.LEVELS - 1), F.greatest(F.lit(0), F.floor(F.log(F.lit(side * most_passed) / longer) / math.log(grid.FINER)).cast("int")))
+    own_levels = F.filter(F.array(*[F.lit(k) for k in used]), lambda k: k <= F.col("finest"))
+    dealt = parts.withColumn("finest", finest).withColumn("level", F.explode(F.array_union(own_levels, F.when(F.col("finest") < used[-1], F.array("finest")).otherwise(F.array().cast("array<int>")))))
+    dealt = cut(passed(dealt, F.lit(side) / F.pow(F.lit(float(grid.FINER)), F.col("level")), 0.0, x0, y0))
+    kinds = sorted(r.finest for r in dealt.select("finest").distinct().collect())  # levels, few
+    levels = F.array_union(F.array("level"), F.filter(F.array(*[F.lit(k) for k in kinds]), lambda k: k < F.col("level")))
+    asked = at.select(*[c for c in at.columns if c != "level"], F.col("level").alias("mine"), F.explode(levels).alias("level"))
+    reached = lambda v, low: F.sequence(grid.cell_at(v - F.col("r"), low, side, F.col("level")), grid.cell_at(v + F.col("r"), low, side, F.col("level")))
+    asked = asked.withColumn("cx", F.explode(reached(x, x0))).withColumn("cy", F.explode(reached(y, y0)))
+    return asked, lambda rows: rows.join(shuffled(dealt), [*same, "level", "cx", "cy"]).where("mine = level or finest = level")
+
+
+def level_within(r: Column, side: float) -> Column:
+    """The finest level whose cells are as wide as ``r``, above 0."""
+    return F.least(F.lit(grid.LEVELS - 1), F.greatest(F.lit(0), F.floor(F.log(F.lit(side) / r) / math.log(grid.FINER)).cast("int")))
+
+
 def _with_reach(points: DataFrame, parts: DataFrame, box: tuple[float, float, float], most: float | None) -> DataFrame:
     """(id, x, y, r, level): how far each point has to look, as some vertex is no farther, and the finest level whose cells are as wide."""
     x0, y0, side = box
@@ -93,7 +112,7 @@ def _with_reach(points: DataFrame, parts: DataFrame, box: tuple[float, float, fl
     found = found.groupBy("id").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.min(far).alias("r"))
     r = F.col("r") if most is None else F.least("r", F.lit(float(most)))
     found = found.withColumn("r", r * (1 + 1e-9) + side * 1e-12)
-    return found.withColumn("level", F.least(F.lit(grid.LEVELS - 1), F.greatest(F.lit(0), F.floor(F.log(F.lit(side) / F.col("r")) / math.log(grid.FINER)).cast("int"))))
+    return found.withColumn("level", level_within(F.col("r"), side))
 
 
 def extent(lines: DataFrame, by: list[str]) -> DataFrame:

@@ -1,5 +1,7 @@
 """Queries against their SQL over rows that the small tables don't have."""
 
+import math
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -139,3 +141,38 @@ def test_simplified_lines_by_rounds_and_at_once(spark):
     kept = lambda at_once: sorted(map(repr, simplify.simplify(lines, 0.8, at_once).collect()))
     at_once = kept(1_000)
     assert len({r.split(" x=")[0] for r in at_once}) == len(at_once) and at_once == kept(25)
+
+
+def test_source_lines_look_only_near_the_ends_and_middles(spark, monkeypatch):
+    """Two long lines that all pieces meet: the pairs of their middles and ends with segments follow the pieces, not the lines' length, and find what all segments would."""
+    rng = np.random.default_rng(6)
+    wave = lambda n, shift: [(k / 10, math.sin(k / 7 + shift) / 3) for k in range(n)]
+    lines = [wave(3_000, 0.0), wave(3_000, 2.0)[::-1]]
+    pieces = [[(x + d * way, float(y)) for d, y in zip((0.0, 0.1, 0.2), rng.normal(size=3) / 3, strict=True)] for x, way in zip(rng.uniform(1, 299, 150), rng.choice([-1, 1], 150), strict=True)]
+    pairs = []
+
+    def watched(*a, real=noding.within_reach):
+        rows, paired = real(*a)
+        pairs.append((paired(rows).count(), rows.select("edge", "piece", "line", "spot").distinct().count()))
+        return rows, paired
+
+    monkeypatch.setattr(noding, "within_reach", watched)
+    made = lambda shapes, names: spark.createDataFrame([(*key, k, float(x), float(y)) for key, p in shapes for k, (x, y) in enumerate(p)], names)
+    given = made([((5, n), p) for n, p in enumerate(pieces)], "edge long, piece long, k int, x double, y double"), made([((n,), p) for n, p in enumerate(lines)], "edge long, k int, x double, y double")
+    found = {r.piece: (r.line, r.forward) for r in noding.source_lines(*given, 2.0).collect()}
+    assert all(n < 40 * spots for n, spots in pairs) and pairs[1][1] == 300
+
+    def nearest(p, line):
+        a, b = np.array(line[:-1]), np.array(line[1:])
+        length = np.hypot(*(b - a).T)
+        u = np.clip(((p - a) * (b - a)).sum(1) / length**2, 0, 1)
+        away = np.hypot(*(p - a - u[:, None] * (b - a)).T)
+        return away.min(), (np.cumsum(length) - length + u * length)[away.argmin()]
+
+    for n, piece in enumerate(pieces):
+        line, forward = found[n]
+        assert forward == (nearest(np.array(piece[0]), lines[line])[1] < nearest(np.array(piece[-1]), lines[line])[1])
+    tied = pairs[0][1] // 2
+    assert tied > 30
+    middles = [(np.array(p[0]) + np.array(p[1])) / 2 for p in pieces]
+    assert sum(found[n][0] == min((0, 1), key=lambda e: nearest(m, lines[e])[0]) for n, m in enumerate(middles)) >= tied
